@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Rows of an Arrow batch sent to Python. Texts can be long, so it is small.
 BATCH_ROWS = 1024
 
@@ -34,7 +36,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds; read when a plan is made."""
+    """Bound what one Arrow batch holds (read when a plan is made) and give executors this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
