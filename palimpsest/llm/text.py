@@ -177,3 +177,41 @@ def gram_buckets(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
     h ^= h >> U(29)
     h *= U((0xBF58476D1CE4E5B9 + 2 * n) & (2**64 - 1))
     return (h >> U(64 - bits)).astype(np.int64)
+
+
+class Pool:
+    """Words' ids on end, so that the ids of many words are gathered at once."""
+
+    def __init__(self, kind: type = np.uint32) -> None:
+        self.word: dict[str, int] = {}
+        self.flat = np.empty(1 << 16, kind)
+        self.at = np.zeros(1 << 12, np.int64)
+        self.size = np.zeros(1 << 12, np.int64)
+        self.used = 0
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+    def add(self, word: str, ids: np.ndarray) -> None:
+        k = len(self.word)
+        if k == len(self.at):
+            self.at, self.size = np.resize(self.at, 2 * k), np.resize(self.size, 2 * k)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[k], self.size[k] = self.used, len(ids)
+        self.used += len(ids)
+        self.word[word] = k
+
+    def missing(self, words: list[str]) -> list[str]:
+        known = self.word
+        return [w for w in dict.fromkeys(words) if w not in known]
+
+    def gather(self, words: list[str], per_text: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words on end, and how many each text (of so many words) has."""
+        which = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
+        size = self.size[which]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.at[which] - upto[:-1], size)]
+        first = np.concatenate([[0], np.cumsum(per_text, dtype=np.int64)])
+        return ids, np.diff(upto[first])

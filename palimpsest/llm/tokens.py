@@ -59,12 +59,8 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.word: dict[str, int] = {}
+        self.pool = text.Pool()
         self.part: dict[str, np.ndarray] = {"": np.empty(0, np.uint32)}
-        self.pool = np.empty(1 << 20, np.uint32)
-        self.at = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.used = 0
 
     def _direct(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
@@ -78,17 +74,6 @@ class WordEncoder:
             else:
                 self.part.update(zip(group, self._direct(group), strict=True))
 
-    def _add(self, word: str, ids: np.ndarray) -> None:
-        k = len(self.word)
-        if k == len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * k), np.resize(self.size, 2 * k)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.at[k], self.size[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.word[word] = k
-
     def _learn(self, words: list[str]) -> None:
         shapes, odd = [], []
         for w in words:
@@ -100,25 +85,19 @@ class WordEncoder:
         if new := [p for p in dict.fromkeys(x for _, a, b in shapes for x in (a, b)) if p not in self.part]:
             self._learn_parts(new)
         for w, a, b in shapes:
-            self._add(w, np.concatenate([self.part[a], self.part[b]]) if b else self.part[a])
+            self.pool.add(w, np.concatenate([self.part[a], self.part[b]]) if b else self.part[a])
         for w, ids in zip(odd, self._direct(odd), strict=True):
-            self._add(w, ids)
+            self.pool.add(w, ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and how many each has."""
-        if len(self.word) > MEMORY or len(self.part) > MEMORY:
+        if len(self.pool) > MEMORY or len(self.part) > MEMORY:
             self.clear()
         cut = [[w for w in t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w] for t in texts]
         flat = [w for ws in cut for w in ws]
-        known = self.word
-        if new := [w for w in dict.fromkeys(flat) if w not in known]:
+        if new := self.pool.missing(flat):
             self._learn(new)
-        which = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        size = self.size[which]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.arange(upto[-1]) + np.repeat(self.at[which] - upto[:-1], size)]
-        first = np.concatenate([[0], np.cumsum([len(ws) for ws in cut], dtype=np.int64)])
-        return ids, np.diff(upto[first])
+        return self.pool.gather(flat, [len(ws) for ws in cut])
 
 
 @cache
