@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold queries.
-MODULES = ("licenses", "langid", "toxicity", "tokens", "pieces", "voronoi")
+MODULES = ("licenses", "langid", "toxicity", "tokens", "pieces", "voronoi", "warc")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
