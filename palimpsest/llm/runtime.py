@@ -51,6 +51,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """A table of ``written`` anew, so that it can be joined or cogrouped with itself."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df.shared_path)
+    out.shared_path = df.shared_path
+    return out
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
