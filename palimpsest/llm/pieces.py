@@ -132,8 +132,11 @@ class Automaton:
             at -= int(self.size[back[at]]) if back[at] >= 0 else 1
         return found[::-1]
 
-    def lanes(self, codes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """Piece numbers of many words, given as rows of code points that are longest first."""
+    def lanes(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Piece numbers of many words, given as rows of code points that are longest first.
+
+        Rows are filled from the right; -2 stands before them.
+        """
         n, width = codes.shape
         best = np.full((n, width + 1), -np.inf)
         best[:, 0] = 0
@@ -180,7 +183,7 @@ class Automaton:
             at[todo] -= np.where(k >= 0, self.size[k], 1)
             todo = todo[at[todo] > 0]
             column -= 1
-        return [r[r > -2] for r in out]
+        return out
 
 
 class Codec:
@@ -210,28 +213,47 @@ class Codec:
         front = len(word) - len(word.lstrip(" "))
         return [ord(MARK)] * front + [_LITERAL if c == MARK else ord(c) for c in word[front:]]
 
-    def _learn(self, words: list[str]) -> None:
-        words = sorted(words, key=len, reverse=True)
+    def _learn(self, words: list[str], first: int) -> None:
+        """Solve new words, whose numbers begin at ``first``."""
+        size = np.array([len(w) for w in words])
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
         lo = 0
         while lo < len(words):
-            width = len(words[lo])
+            width = int(size[lo])
             hi = min(len(words), lo + max(1, CELLS // (width + 1)))
             if width > 48:  # rows of about one length keep the table full
-                while hi > lo + 1 and len(words[hi - 1]) * 2 < width:
-                    hi = lo + (hi - lo) // 2
-            group = words[lo:hi]
+                hi = max(lo + 1, min(hi, int(np.searchsorted(-size, -(width // 2), "left"))))
+            group = order[lo:hi]
             if len(group) < FEW or width > 4096:
                 group = group[: FEW - 1]
-                for w in group:
-                    self.pool.add(w, self._ids(w, self.automaton.one(self._codes(w))))
+                each = [self._ids(words[i], self.automaton.one(self._codes(words[i]))) for i in group]
+                self.pool.put(first + group, np.concatenate(each), np.array([len(x) for x in each]))
             else:
-                codes = np.zeros((len(group), width), np.int64)
-                for i, w in enumerate(group):
-                    codes[i, : len(w)] = self._codes(w)
-                for w, k in zip(group, self.automaton.lanes(codes, np.array([len(w) for w in group])), strict=True):
-                    self.pool.add(w, self._ids(w, k))
+                self._solve(words, group, first)
             lo += len(group)
 
+    def _solve(self, words: list[str], group: np.ndarray, first: int) -> None:
+        """Learn words, longest first, side by side."""
+        a = self.automaton
+        part = [words[i] for i in group]
+        size = np.array([len(w) for w in part])
+        flat = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begin = np.cumsum(size) - size
+        flat[flat == ord(MARK)] = _LITERAL
+        blank = flat == ord(" ")  # a word has blanks in front only
+        flat[blank] = ord(MARK)
+        codes = np.zeros((len(part), int(size[0])), np.int64)
+        codes[np.repeat(np.arange(len(part)), size), np.arange(len(flat)) - np.repeat(begin, size)] = flat
+        pieces = a.lanes(codes, size)
+        odd = (pieces == -1).any(1)
+        plain = pieces[~odd]
+        there = plain >= 0
+        self.pool.put(first + group[~odd], a.id[plain[there]], there.sum(1))
+        for i in np.flatnonzero(odd):
+            ids = self._ids(part[i], pieces[i][pieces[i] > -2])
+            self.pool.put(np.array([first + group[i]]), ids, np.array([len(ids)]))
+
     @staticmethod
     def cut(t: str) -> list[str]:
         """A text with its blank in front, as words that no piece crosses."""
@@ -246,10 +268,10 @@ class Codec:
         if len(self.pool) > MEMORY:
             self.pool = text.Pool(np.int32)
         parts = [self.cut(t or "") for t in texts]
-        flat = [w for p in parts for w in p]
-        if new := self.pool.missing(flat):
-            self._learn(new)
-        return self.pool.gather(flat, [len(p) for p in parts])
+        which, new, first = self.pool.numbers([w for p in parts for w in p])
+        if new:
+            self._learn(new, first)
+        return self.pool.gather(which, [len(p) for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""

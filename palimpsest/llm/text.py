@@ -179,37 +179,54 @@ def gram_buckets(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
     return (h >> U(64 - bits)).astype(np.int64)
 
 
+class _Index(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        self.new.append(word)
+        return k
+
+
 class Pool:
     """Words' ids on end, so that the ids of many words are gathered at once."""
 
     def __init__(self, kind: type = np.uint32) -> None:
-        self.word: dict[str, int] = {}
+        self.index = _Index()
         self.flat = np.empty(1 << 16, kind)
         self.at = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
         self.used = 0
 
     def __len__(self) -> int:
-        return len(self.word)
-
-    def add(self, word: str, ids: np.ndarray) -> None:
-        k = len(self.word)
-        if k == len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * k), np.resize(self.size, 2 * k)
-        while self.used + len(ids) > len(self.flat):
+        return len(self.index)
+
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, list[str], int]:
+        """Every word's number; the new words in the order of their numbers, and the first of these.
+
+        The caller puts the new words' ids before it gathers.
+        """
+        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        new, self.index.new = self.index.new, []
+        return which, new, len(self.index) - len(new)
+
+    def put(self, numbers: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """The ids (on end) of the words with these numbers, and how many each has."""
+        while len(self.index) > len(self.at):
+            self.at, self.size = np.resize(self.at, 2 * len(self.at)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.at[k], self.size[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.word[word] = k
-
-    def missing(self, words: list[str]) -> list[str]:
-        known = self.word
-        return [w for w in dict.fromkeys(words) if w not in known]
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.at[numbers] = self.used + np.cumsum(size) - size
+        self.size[numbers] = size
+        self.used += len(flat)
 
-    def gather(self, words: list[str], per_text: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def gather(self, which: np.ndarray, per_text: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words on end, and how many each text (of so many words) has."""
-        which = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
         size = self.size[which]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(upto[-1]) + np.repeat(self.at[which] - upto[:-1], size)]

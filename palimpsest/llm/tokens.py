@@ -38,15 +38,21 @@ _FILE = struct.Struct("<4sIQ")
 
 
 class WordEncoder:
-    """A tokenizer whose pieces never cross blanks, with the ids of words remembered.
+    """A tokenizer whose tokens never cross blanks, with the ids of text parts remembered.
 
-    Texts are cut at blanks; a word's ids are those the library gives it. A word
-    of letters followed by ASCII marks is two pre-tokens, which are remembered
-    apart; many are sent to the library in one text, where the end-of-word mark
-    of the vocabulary tells them apart.
+    Texts of plain Latin letters are cut into the tokenizer's own pre-tokens,
+    lower-cased as it does; others are cut at blanks. A part's ids are those the
+    library gives it. Pre-tokens are sent to it many in one text, where the
+    vocabulary's end-of-word mark tells them apart.
     """
 
-    _SHAPE = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+    #: Characters for which the pattern below cuts as the tokenizer does: none beyond Latin Extended-A,
+    #: nor the dotted capital I, which lower-cases to two.
+    _OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]")
+    _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f"
+    _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+    _BLANK = "\t-\r \x85\xa0"
+    _PART = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -56,48 +62,36 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for w, i in vocab.items():
             self.ends[i] = w.endswith("</w>")
-        self.clear()
-
-    def clear(self) -> None:
+        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.pool = text.Pool()
-        self.part: dict[str, np.ndarray] = {"": np.empty(0, np.uint32)}
-
-    def _direct(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        groups = [parts[i : i + 500] for i in range(0, len(parts), 500)]
-        for group, ids in zip(groups, self._direct([" ".join(g) for g in groups]), strict=True):
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(group) and (not len(cut) or cut[-1] == len(ids)):
-                self.part.update(zip(group, np.split(ids, cut[:-1]), strict=True))
-            else:
-                self.part.update(zip(group, self._direct(group), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        shapes, odd = [], []
-        for w in words:
-            m = self._SHAPE.fullmatch(w)
-            if m and m[1].isalpha():
-                shapes.append((w, m[1].lower() if m[1].isascii() else m[1], m[2]))
-            else:
-                odd.append(w)
-        if new := [p for p in dict.fromkeys(x for _, a, b in shapes for x in (a, b)) if p not in self.part]:
-            self._learn_parts(new)
-        for w, a, b in shapes:
-            self.pool.add(w, np.concatenate([self.part[a], self.part[b]]) if b else self.part[a])
-        for w, ids in zip(odd, self._direct(odd), strict=True):
-            self.pool.add(w, ids)
+
+    def _cut(self, t: str) -> list[str]:
+        if (t.isascii() or not self._OTHER.search(t)) and not any(x in t for x in self.special):
+            return self._PART.findall(t.lower())
+        return [w for w in t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
+
+    def _learn(self, words: list[str], first: int) -> None:
+        for lo in range(0, len(words), 50_000):
+            part = words[lo : lo + 50_000]
+            groups = [part[i : i + 500] for i in range(0, len(part), 500)]
+            for k, (group, e) in enumerate(zip(groups, self.lib.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True)):
+                ids = np.array(e.ids, np.uint32)
+                size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+                if len(size) != len(group) or size.sum() != len(ids) or any(" " in w for w in group) or any(len(self._PART.findall(w.lower())) != 1 for w in group if not w.isalpha()):
+                    each = [x.ids for x in self.lib.encode_batch_fast(group, add_special_tokens=False)]
+                    size, ids = np.array([len(x) for x in each]), np.array([i for x in each for i in x], np.uint32)
+                at = first + lo + 500 * k
+                self.pool.put(np.arange(at, at + len(group)), ids, size)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and how many each has."""
-        if len(self.pool) > MEMORY or len(self.part) > MEMORY:
-            self.clear()
-        cut = [[w for w in t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w] for t in texts]
-        flat = [w for ws in cut for w in ws]
-        if new := self.pool.missing(flat):
-            self._learn(new)
-        return self.pool.gather(flat, [len(ws) for ws in cut])
+        if len(self.pool) > MEMORY:
+            self.pool = text.Pool()
+        cut = [self._cut(t) for t in texts]
+        which, new, first = self.pool.numbers([w for ws in cut for w in ws])
+        if new:
+            self._learn(new, first)
+        return self.pool.gather(which, [len(ws) for ws in cut])
 
 
 @cache
