@@ -112,11 +112,14 @@ def common_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return both
 
 
-def ranked_sets(documents: DataFrame, flags: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id, n, sid, prefix`` of every document; ``prefix`` has only shingles that others may share."""
+def ranked_sets(documents: DataFrame, flags: tuple[np.ndarray, np.ndarray], more: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n, sid, prefix`` of every document; ``prefix`` has only shingles that others may share.
+
+    ``more`` names columns of longs that are carried along.
+    """
     runtime.arrow_limits(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(flags)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("prefix", pa.list_(pa.int64())), *[(c, pa.int64()) for c in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several, many = shared.value
@@ -137,9 +140,10 @@ def ranked_sets(documents: DataFrame, flags: tuple[np.ndarray, np.ndarray]) -> D
                         prefixes.append(np.concatenate([s[r == 1], s[r == 2]])[:left].astype(np.int64))
                     else:
                         prefixes.append(np.empty(0, np.int64))
-                yield runtime.out_batch(schema, doc_id=b["doc_id"].slice(lo, hi - lo), n=[len(s) for s in sets], sid=names, prefix=prefixes)
+                yield runtime.out_batch(schema, doc_id=b["doc_id"].slice(lo, hi - lo), n=[len(s) for s in sets], sid=names, prefix=prefixes, **{c: b[c].slice(lo, hi - lo) for c in more})
 
-    return runtime.written(runtime.need(documents, "doc_id", "text").mapInArrow(run, "doc_id long, n int, sid long, prefix array<long>"), "ranked-sets")
+    kind = "doc_id long, n int, sid long, prefix array<long>" + "".join(f", {c} long" for c in more)
+    return runtime.written(runtime.need(documents, "doc_id", "text", *more).mapInArrow(run, kind), "ranked-sets")
 
 
 def coarse_groups(ranked: DataFrame) -> DataFrame:
@@ -280,13 +284,13 @@ def verified_links(sets: DataFrame) -> DataFrame:
     return direct.unionByName(solved)
 
 
-def set_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, n, sid`` of every document, and ``sid, root`` of the sets that link with another."""
-    docs = runtime.need(documents, "doc_id", "text")
-    ranked = ranked_sets(docs, common_shingles(docs))
+def set_components(documents: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n, sid`` (and more columns) of every document, and ``sid, root`` of the sets that link with another."""
+    docs = runtime.need(documents, "doc_id", "text", *more)
+    ranked = ranked_sets(docs, common_shingles(docs), more)
     groups = coarse_groups(ranked)
     found = components.connected(verified_links(group_sets(docs, ranked, groups)))
-    return ranked.select("doc_id", "n", "sid"), runtime.written(found.select(F.col("node").alias("sid"), "root"), "set-roots")
+    return ranked.select("doc_id", "n", "sid", *more), runtime.written(found.select(F.col("node").alias("sid"), "root"), "set-roots")
 
 
 def labelled(documents: DataFrame) -> DataFrame:
@@ -298,6 +302,43 @@ def labelled(documents: DataFrame) -> DataFrame:
     return rooted.join(least, "root", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """The rows, all columns kept, of one document of each component: the least ``doc_id``.
+
+    Of rows that share this number and a component, the least text's hash stays,
+    once. Empty sets are alone and stay. A filter of fixed size lets the rows that
+    stay for certain pass in place; only the others are shuffled.
+    """
+    spark = documents.sparkSession
+    docs = runtime.need(documents, "doc_id", "text").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ranked, roots = set_components(docs, "key")
+    rooted = runtime.written(ranked.where("n > 0").join(roots, "sid", "left").select("doc_id", "key", F.coalesce("root", "sid").alias("root")), "rooted")
+    least = runtime.written(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("m"), F.count("*").alias("rows")).where("rows > 1").select("root", "m.*", "rows"), "least-documents")
+    least = least.select("root", F.col("doc_id").alias("least_id"), F.col("key").alias("least_key"))
+    # Rows of components with several rows; of those the least stays, once.
+    several = runtime.written(rooted.join(least, "root").select("doc_id", "key", (F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("key") == F.col("least_key"))).alias("stays")).distinct(), "several")
+    own = F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    shared = spark.sparkContext.broadcast(filters.build(several.select(F.xxhash64("doc_id", "key").alias("own")), "own"))
+    names = documents.columns
+    runtime.arrow_limits(spark)
+
+    def passing(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(filters.may_hold(shared.value, b["_own"].to_numpy()) == want)).select(names)
+
+        return run
+
+    rows = documents.withColumn("_own", own)
+    certain = rows.mapInArrow(passing(False), documents.schema)
+    asked = rows.mapInArrow(passing(True), documents.schema).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    marks = several.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "stays")
+    judged = asked.join(marks, asked["doc_id"].eqNullSafe(marks["_id"]) & (asked["_key"] == marks["_k"]), "left").drop("_id", "_k")
+    alone = judged.where("stays is null").select(names)
+    once = judged.where("stays").dropDuplicates(["doc_id", "_key"]).select(names)
+    return certain.unionByName(alone).unionByName(once)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(runtime.table(spark, sf_dir, "documents"))
 
