@@ -317,7 +317,8 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     least = least.select("root", F.col("doc_id").alias("least_id"), F.col("key").alias("least_key"))
     # Rows of components with several rows; of those the least stays, once.
     several = runtime.written(rooted.join(least, "root").select("doc_id", "key", (F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("key") == F.col("least_key"))).alias("stays")).distinct(), "several")
-    own = F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own, key, left_id, left_key, stays = runtime.fresh(documents, "own", "key", "left_id", "left_key", "stays")
+    mine = F.xxhash64(F.coalesce("text", F.lit("")))
     shared = spark.sparkContext.broadcast(filters.build(several.select(F.xxhash64("doc_id", "key").alias("own")), "own"))
     names = documents.columns
     runtime.arrow_limits(spark)
@@ -325,17 +326,17 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     def passing(want: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array(filters.may_hold(shared.value, b["_own"].to_numpy()) == want)).select(names)
+                yield b.filter(pa.array(filters.may_hold(shared.value, b[own].to_numpy()) == want)).select(names)
 
         return run
 
-    rows = documents.withColumn("_own", own)
+    rows = documents.withColumn(own, F.xxhash64("doc_id", mine))
     certain = rows.mapInArrow(passing(False), documents.schema)
-    asked = rows.mapInArrow(passing(True), documents.schema).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marks = several.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "stays")
-    judged = asked.join(marks, asked["doc_id"].eqNullSafe(marks["_id"]) & (asked["_key"] == marks["_k"]), "left").drop("_id", "_k")
-    alone = judged.where("stays is null").select(names)
-    once = judged.where("stays").dropDuplicates(["doc_id", "_key"]).select(names)
+    asked = rows.mapInArrow(passing(True), documents.schema).withColumn(key, mine)
+    marks = several.select(F.col("doc_id").alias(left_id), F.col("key").alias(left_key), F.col("stays").alias(stays))
+    judged = asked.join(marks, asked["doc_id"].eqNullSafe(marks[left_id]) & (asked[key] == marks[left_key]), "left").drop(left_id, left_key)
+    alone = judged.where(F.col(stays).isNull()).select(names)
+    once = judged.where(F.col(stays)).dropDuplicates(["doc_id", key]).select(names)
     return certain.unionByName(alone).unionByName(once)
 
 

@@ -80,6 +80,17 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have, made from those given."""
+    held, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in held:
+            n += "_"
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
 def out_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A batch of ``schema`` from arrays or lists."""
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)

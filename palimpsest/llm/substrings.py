@@ -197,12 +197,13 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def with_parts(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """The rows with ``key`` and ``parts``, the flagged windows of each (null if there are none)."""
-    parts = duplicate_windows(runtime.need(documents, "doc_id", "text"), span).groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "size", "flags")).alias("parts"))
-    parts = parts.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
-    rows = documents.withColumn("_own", _key())
-    return rows.join(parts, rows["doc_id"].eqNullSafe(parts["_id"]) & (rows["_own"] == parts["_key"]), "left").drop("_id", "_key", "_own")
+def with_parts(documents: DataFrame, span: int = SPAN) -> tuple[DataFrame, str]:
+    """The rows with their flagged windows (null if there are none), and the name of that column."""
+    name, own, left_id, left_key = runtime.fresh(documents, "parts", "own", "left_id", "left_key")
+    parts = duplicate_windows(runtime.need(documents, "doc_id", "text"), span).groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "size", "flags")).alias(name))
+    parts = parts.withColumnsRenamed({"doc_id": left_id, "key": left_key})
+    rows = documents.withColumn(own, _key())
+    return rows.join(parts, rows["doc_id"].eqNullSafe(parts[left_id]) & (rows[own] == parts[left_key]), "left").drop(left_id, left_key, own), name
 
 
 def _parts(column: pa.Array, i: int) -> list[tuple[int, int, bytes]]:
@@ -226,11 +227,11 @@ def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
         for b in batches:
             rows = []
             for i, t in enumerate(b["text"]):
-                kept, n = _kept((t.as_py() or "").encode("utf-8", "surrogatepass"), _parts(b["parts"], i), span)
+                kept, n = _kept((t.as_py() or "").encode("utf-8", "surrogatepass"), _parts(b[parts], i), span)
                 rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield runtime.out_batch(schema, doc_id=b["doc_id"], n_words=[r[0] for r in rows], n_removed=[r[1] for r in rows], kept_sha256=[r[2] for r in rows])
 
-    rows = with_parts(runtime.need(documents, "doc_id", "text"), span)
+    rows, parts = with_parts(runtime.need(documents, "doc_id", "text"), span)
     runtime.arrow_limits(documents.sparkSession)
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
@@ -247,12 +248,12 @@ def removed(documents: DataFrame, span: int = SPAN) -> DataFrame:
         for b in batches:
             texts = []
             for i, t in enumerate(b["text"].to_pylist()):
-                parts = _parts(b["parts"], i)
-                texts.append(b" ".join(_kept(t.encode("utf-8", "surrogatepass"), parts, span)[0]).decode("utf-8", "surrogatepass") if parts else t)
+                flagged = _parts(b[parts], i)
+                texts.append(b" ".join(_kept(t.encode("utf-8", "surrogatepass"), flagged, span)[0]).decode("utf-8", "surrogatepass") if flagged else t)
             columns = [pa.array(texts, b.schema.field("text").type) if n == "text" else b[n] for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = with_parts(documents, span)
+    rows, parts = with_parts(documents, span)
     runtime.arrow_limits(documents.sparkSession)
     return rows.mapInArrow(run, documents.schema)
 
