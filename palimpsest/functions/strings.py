@@ -137,5 +137,5 @@ def role(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Trimmed lines that are not blank; the whole text if there is none."""
-    found = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    found = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(found) > 0, found).otherwise(F.array(c))

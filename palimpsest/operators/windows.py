@@ -62,4 +62,4 @@ def observation(session: Column, date: Column, first: Column, last: Column, text
 def merged_passes(*passes: Column) -> Column:
     """Facts of several passes over a chunk: trimmed, blanks dropped, the first of equal ones kept."""
     facts = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in passes]))
-    return F.array_distinct(F.filter(F.transform(facts, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(facts, lambda x: F.trim(x)), lambda x: x != ""))
