@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import ship_active
+
 
 def closed(t: str) -> str:
     """The text with its open string and brackets closed, in order."""
@@ -44,6 +46,7 @@ def readable(t: str | None) -> str | None:
 
 def repaired(c: Column) -> Column:
     """``readable`` over a column."""
+    ship_active()
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

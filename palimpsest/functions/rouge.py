@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import ship_active
+
 _VOWELS = "aeiou"
 
 
@@ -108,6 +110,7 @@ def f_measure(a: str | None, b: str | None) -> float:
 
 def best_f(fact: Column, lines: Column) -> Column:
     """The best ROUGE-L F of a fact with the lines that share a word with it; 0 without one."""
+    ship_active()
 
     @F.pandas_udf("double")
     def run(facts: pd.Series, contexts: pd.Series) -> pd.Series:

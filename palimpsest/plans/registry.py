@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("turn_queries", "memory_queries", "retrieval_queries", "evaluation_queries")
+MODULES = ("turn_queries", "memory_queries", "retrieval_queries", "evaluation_queries", "source_queries")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

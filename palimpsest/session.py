@@ -40,3 +40,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def ship_active() -> None:
+    """The same for the session in use, where only columns are at hand."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
