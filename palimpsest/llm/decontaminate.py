@@ -223,7 +223,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     if len(d):
                         yield runtime.out_batch(schema, doc_id=b["doc_id"].take(pa.array(d + lo)), item_id=[shared.value.ids[i] for i in k.tolist()], start_word=s, edits=e)
 
-        found = runtime.need(documents, "doc_id", "text").mapInArrow(run, "doc_id long, item_id long, start_word long, edits long")
+        found = runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(run), "doc_id long, item_id long, start_word long, edits long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -243,7 +243,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[leaks_in(*_words(buf, offs), shared.value)[0] + lo] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, documents.schema)
+        out = out.mapInArrow(runtime.lean(run), documents.schema)
     return out
 
 

@@ -82,7 +82,7 @@ def common_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, buf, offs in text.doc_slices(b["text"], 2 * text.SLICE_BYTES):
+            for _, _, buf, offs in text.doc_slices(b["text"]):
                 keys = np.concatenate([*sets_of(buf, offs), np.empty(0, np.uint64)]) >> np.uint64(22)
                 keys.sort()
                 at = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << np.uint64(32))
@@ -104,9 +104,9 @@ def common_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 k = text.mix(keys[new[lo : lo + (1 << 16)]][t > 1].astype(np.uint64) | np.uint64(r << 32))
                 yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(t[t > 1] >= COMMON)], names=["key", "common"])
 
-    dealt = documents.select("text").mapInArrow(spread, "range int, low binary").repartition("range")
+    dealt = documents.select("text").mapInArrow(runtime.lean(spread), "range int, low binary").repartition("range")
     runtime.arrow_limits(documents.sparkSession, 4096)
-    found = runtime.written(dealt.mapInArrow(gather, "key long, common boolean"), "shared-shingles")
+    found = runtime.written(dealt.mapInArrow(runtime.lean(gather), "key long, common boolean"), "shared-shingles")
     both = filters.build(found, "key"), filters.build(found.where("common"), "key", 23)
     runtime.discard(documents.sparkSession, found.shared_path)
     return both
@@ -143,7 +143,9 @@ def ranked_sets(documents: DataFrame, flags: tuple[np.ndarray, np.ndarray], more
                 yield runtime.out_batch(schema, doc_id=b["doc_id"].slice(lo, hi - lo), n=[len(s) for s in sets], sid=names, prefix=prefixes, **{c: b[c].slice(lo, hi - lo) for c in more})
 
     kind = "doc_id long, n int, sid long, prefix array<long>" + "".join(f", {c} long" for c in more)
-    return runtime.written(runtime.need(documents, "doc_id", "text", *more).mapInArrow(run, kind), "ranked-sets")
+    out = runtime.written(runtime.need(documents, "doc_id", "text", *more).mapInArrow(runtime.lean(run), kind), "ranked-sets")
+    shared.unpersist()  # the table stays; the filters are not needed again
+    return out
 
 
 def coarse_groups(ranked: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def group_sets(documents: DataFrame, ranked: DataFrame, groups: DataFrame) -> Da
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
                 yield runtime.out_batch(schema, sid=sid[keep], first=doc_ids[lo:hi][keep], n=size, shingles=lists)
 
-    found = runtime.need(documents, "doc_id", "text").mapInArrow(run, "sid long, first long, n int, shingles array<long>")
+    found = runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(run), "sid long, first long, n int, shingles array<long>")
     return found.join(chosen, ["sid", "first"]).select("group", "sid", "n", "shingles")
 
 
@@ -331,8 +333,8 @@ def deduplicated(documents: DataFrame) -> DataFrame:
         return run
 
     rows = documents.withColumn(own, F.xxhash64("doc_id", mine))
-    certain = rows.mapInArrow(passing(False), documents.schema)
-    asked = rows.mapInArrow(passing(True), documents.schema).withColumn(key, mine)
+    certain = rows.mapInArrow(runtime.lean(passing(False)), documents.schema)
+    asked = rows.mapInArrow(runtime.lean(passing(True)), documents.schema).withColumn(key, mine)
     marks = several.select(F.col("doc_id").alias(left_id), F.col("key").alias(left_key), F.col("stays").alias(stays))
     judged = asked.join(marks, asked["doc_id"].eqNullSafe(marks[left_id]) & (asked[key] == marks[left_key]), "left").drop(left_id, left_key)
     alone = judged.where(F.col(stays).isNull()).select(names)

@@ -76,7 +76,7 @@ def train(labelled: DataFrame, max_docs: int = MAX_DOCS) -> LangModel:
         return LangModel([], np.zeros((0, 1 << BITS)), np.zeros(0))
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_docs / n))])
     part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
-    sums = part.drop("doc_id").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = part.drop("doc_id").mapInArrow(runtime.lean(_counted), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
     counts = np.full((len(langs), 1 << BITS), SMOOTHING)
     prior = np.zeros(len(langs))
@@ -127,7 +127,7 @@ def predict(documents: DataFrame, model: LangModel) -> DataFrame:
                 best = np.where(known, np.argmax(np.nan_to_num(p), 1), -1)
                 yield runtime.out_batch(schema, doc_id=ids, lang_pred=[m.langs[i] if i >= 0 else "und" for i in best], score=np.where(known, np.nan_to_num(p).max(1), 0.0))
 
-    return runtime.need(documents, "doc_id", "text").mapInArrow(score, SCHEMA)
+    return runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(score), SCHEMA)
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:

@@ -188,7 +188,7 @@ def license_scan(documents: DataFrame) -> DataFrame:
     if there are base phrases only, else 0.
     """
     runtime.arrow_limits(documents.sparkSession)
-    return runtime.need(documents, "doc_id", "text").mapInArrow(scan_batches, SCHEMA)
+    return runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(scan_batches), SCHEMA)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,7 +322,7 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
                 upto = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield runtime.out_batch(schema, doc_id=b["doc_id"].slice(lo, hi - lo), ids=pa.ListArray.from_arrays(pa.array(upto), pa.array(flat, pa.int32())))
 
-    return runtime.need(documents, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -340,7 +340,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 t = b"".join(map(raw.__getitem__, ids[i].values.to_pylist() if ids[i].is_valid else [])).decode("utf-8", "surrogatepass")
                 yield runtime.out_batch(schema, doc_id=b["doc_id"].slice(i, 1), text=[t[1:]])
 
-    return runtime.need(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return runtime.need(encoded, "doc_id", "ids").mapInArrow(runtime.lean(run), "doc_id long, text string")
 
 
 def digests(documents: DataFrame, model: str) -> DataFrame:
@@ -362,7 +362,7 @@ def digests(documents: DataFrame, model: str) -> DataFrame:
                     round_trip=[codec.decode(x) == (t or "") for x, t in zip(found, texts, strict=True)],
                 )
 
-    return runtime.need(documents, "doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(run), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def shared_anchors(documents: DataFrame, span: int) -> np.ndarray:
                 keys, n = np.unique(phrases_of(buf, offs, span)["anchor"], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
-    counted = documents.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counted = documents.select("text").mapInArrow(runtime.lean(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     return filters.build(counted.where("n > 1"), "anchor")
 
 
@@ -111,7 +111,7 @@ def candidate_phrases(documents: DataFrame, flags: np.ndarray, span: int) -> Dat
                 windows = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((upto * 8).astype(np.int32).tobytes()), pa.py_buffer(flat.astype("<u8").tobytes())])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(keys[doc]), pa.array(p["pos"][keep].astype(np.int32)), pa.array(phrase.astype(np.int64)), pa.array(anchor.astype(np.int64)), pa.array(off.astype(np.int32)), windows], schema=_PHRASES)
 
-    return documents.mapInArrow(run, "doc_id long, key long, pos int, phrase long, anchor long, lo int, windows binary")
+    return documents.mapInArrow(runtime.lean(run), "doc_id long, key long, pos int, phrase long, anchor long, lo int, windows binary")
 
 
 def _parse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def duplicate_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
     distinct = found.groupBy("phrase", "anchor", "lo", "windows").agg(F.count("*").alias("n"))
     runtime.arrow_limits(spark, 4096)
     blocks = distinct.repartition("anchor").sortWithinPartitions("anchor").select("phrase", "anchor", "windows", "n")
-    held = runtime.written(blocks.mapInArrow(_parse_blocks, "phrase long, size int, flags binary"), "factors")
+    held = runtime.written(blocks.mapInArrow(runtime.lean(_parse_blocks), "phrase long, size int, flags binary"), "factors")
     return found.select("doc_id", "key", "pos", "phrase").join(held, "phrase").drop("phrase")
 
 
@@ -233,7 +233,7 @@ def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
 
     rows, parts = with_parts(runtime.need(documents, "doc_id", "text"), span)
     runtime.arrow_limits(documents.sparkSession)
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(runtime.lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def removed(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -255,7 +255,7 @@ def removed(documents: DataFrame, span: int = SPAN) -> DataFrame:
 
     rows, parts = with_parts(documents, span)
     runtime.arrow_limits(documents.sparkSession)
-    return rows.mapInArrow(run, documents.schema)
+    return rows.mapInArrow(runtime.lean(run), documents.schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

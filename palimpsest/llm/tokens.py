@@ -177,7 +177,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end_id: int
 
     rows = runtime.need(documents, "doc_id", "text")
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return runtime.written(dealt.mapInArrow(run, MANIFEST), "token-manifest")
+    return runtime.written(dealt.mapInArrow(runtime.lean(run), MANIFEST), "token-manifest")
 
 
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -207,7 +207,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 yield runtime.out_batch(schema, doc_id=doc_ids, start=begin + start, n_tokens=counts.astype(np.int64), ids_crc32=crc)
 
     files = spark.createDataFrame(rows, "uri string, start long")
-    return files.repartition(max(1, len(rows))).mapInArrow(run, SCHEMA)
+    return files.repartition(max(1, len(rows))).mapInArrow(runtime.lean(run), SCHEMA)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

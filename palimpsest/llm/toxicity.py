@@ -30,6 +30,8 @@ MAX_DOCS = 3000
 #: N-grams in fewer fitted documents, or with a flatter ratio, carry no weight.
 MIN_DOCS, MIN_RATIO = 5, 0.7
 SMOOTHING, PENALTY, ROUNDS = 1.0, 1e-3, 300
+#: Documents of a step of the fit.
+FITTED = 500
 THRESHOLD = 0.7
 
 
@@ -53,11 +55,9 @@ def fit(texts: list[str | None], toxic: np.ndarray, prior: float) -> ToxicModel:
     toxic = toxic.astype(bool)
     if not toxic.any() or toxic.all():
         return ToxicModel(np.zeros(1 << BITS, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    df = np.zeros((2, 1 << BITS), np.int64)
-    rows = []
+    df = np.zeros((2, 1 << BITS), np.int32)
     for t, y in zip(texts, toxic, strict=True):
-        rows.append(present(text.folded([t])[0]).astype(np.int32))
-        df[int(y), rows[-1]] += 1
+        df[int(y), present(text.folded([t])[0])] += 1
     n0, n1 = int((~toxic).sum()), int(toxic.sum())
     ratio = np.log((df[1] + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((df[0] + SMOOTHING) / (n0 + 2 * SMOOTHING))
     kept = (df.sum(0) >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO)
@@ -65,19 +65,27 @@ def fit(texts: list[str | None], toxic: np.ndarray, prior: float) -> ToxicModel:
     ids = np.flatnonzero(kept)
     column = np.full(1 << BITS, -1, np.int32)
     column[ids] = np.arange(len(ids), dtype=np.int32)
-    rows = [c[c >= 0] for r in rows for c in (column[r],)]
+    # Features are made again rather than kept: most n-grams carry no weight.
+    rows = [c[c >= 0] for t in texts for c in (column[present(text.folded([t])[0])],)]
     size = np.array([len(r) for r in rows])
     col = np.concatenate([*rows, np.empty(0, np.int32)])
-    row = np.repeat(np.arange(len(rows)), size)
-    x = ratio[ids][col]
+    del rows
+    offs = np.concatenate([[0], np.cumsum(size)])
+    scale = ratio[ids]
     y = toxic.astype(float)
     share = np.where(toxic, prior / n1, (1 - prior) / n0)  # the sample's documents weigh as they occur
     w, b, sw, sb = np.zeros(len(ids)), 0.0, np.full(len(ids), 1e-8), 1e-8
-    for _ in range(ROUNDS):  # full-batch AdaGrad
-        z = np.bincount(row, x * w[col], len(rows)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        gw = np.bincount(col, g[row] * x, len(ids)) + PENALTY * w / max(1, len(ids)) ** 0.5
-        gb = g.sum()
+    for _ in range(ROUNDS):  # full-batch AdaGrad, some documents at a time so that little is held
+        gw, gb = PENALTY * w / max(1, len(ids)) ** 0.5, 0.0
+        ws = w * scale
+        for lo in range(0, len(size), FITTED):
+            hi = min(len(size), lo + FITTED)
+            c = col[offs[lo] : offs[hi]]
+            row = np.repeat(np.arange(hi - lo), size[lo:hi])
+            z = np.bincount(row, ws[c], hi - lo) + b
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[lo:hi]) * share[lo:hi]
+            gw += np.bincount(c, g[row] * scale[c], len(ids))
+            gb += g.sum()
         sw += gw * gw
         sb += gb * gb
         w -= 0.1 * gw / np.sqrt(sw)
@@ -97,10 +105,26 @@ def train(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) ->
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, F.lit(min(1.0, max_docs / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, max_docs / max(1, sizes.get(0, 0))))) * 1_000_000
-    # The sample's ids are bounded by max_docs, so they may be broadcast and no text is shuffled.
-    sample = runtime.need(documents, "doc_id", "text").join(F.broadcast(marks.where(chosen)), "doc_id").toPandas()
-    sample = sample.sort_values(["doc_id", "toxic", "text"], kind="stable")
-    return fit(sample["text"].tolist(), sample["toxic"].to_numpy(), sizes.get(1, 0) / max(1, total))
+    # The sample's ids are bounded by max_docs, so they may be broadcast and no text is shuffled
+    # but the sample's, which one task fits; only the weights reach the driver.
+    sample = runtime.need(documents, "doc_id", "text").join(F.broadcast(marks.where(chosen)), "doc_id")
+    prior = sizes.get(1, 0) / max(1, total)
+    runtime.arrow_limits(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b["doc_id"].to_pylist(), b["toxic"].to_pylist(), b["text"].to_pylist(), strict=True)]
+        rows.sort(key=lambda r: (r[0], r[1], r[2] or ""))
+        model = fit([r[2] for r in rows], np.array([r[1] for r in rows]), prior)
+        at = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([at.astype("<i4").tobytes()]), pa.array([model.weights[at].astype("<f4").tobytes()])], names=["bias", "at", "weights"])
+
+    found = sample.select("doc_id", "toxic", "text").repartition(1).mapInArrow(runtime.lean(run), "bias double, at binary, weights binary").first()
+    if found is None:  # an empty sample may have no task
+        return fit([], np.empty(0), prior)
+    bias, at, weights = found
+    out = ToxicModel(np.zeros(1 << BITS, np.float32), bias)
+    out.weights[np.frombuffer(at, "<i4")] = np.frombuffer(weights, "<f4")
+    return out
 
 
 SCHEMA = "doc_id long, score double"
@@ -125,7 +149,7 @@ def score(documents: DataFrame, model: ToxicModel) -> DataFrame:
             for lo, hi, _, _ in text.doc_slices(b["text"], text.SLICE_BYTES // 2):
                 yield runtime.out_batch(schema, doc_id=b["doc_id"].slice(lo, hi - lo), score=scores(shared.value, b["text"].slice(lo, hi - lo).to_pylist()))
 
-    return runtime.need(documents, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(run), SCHEMA)
 
 
 def trained(spark: SparkSession, sf_dir: str) -> ToxicModel:
@@ -146,7 +170,7 @@ def clean(documents: DataFrame, model: ToxicModel) -> DataFrame:
                 part = b.slice(lo, hi - lo)
                 yield part.filter(pa.array(scores(shared.value, part["text"].to_pylist()) < THRESHOLD))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(runtime.lean(run), documents.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,7 @@ def assign(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([part["vec_id"], part["v"], pa.array(np.full(len(x), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(dist)], names=["vec_id", "v", "d", "cell", "dist"])
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, d int, cell int, dist double")
+    return rows.mapInArrow(runtime.lean(run), "vec_id long, v array<double>, d int, cell int, dist double")
 
 
 def summaries(cells: DataFrame, k: int) -> pd.DataFrame:

@@ -186,7 +186,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.write(z.flush())
             yield runtime.out_batch(_WRITTEN, uri=[out.done()], index_uri=[None], records=[n])
 
-    return runtime.written(pages.mapInArrow(run, WRITTEN), "warc-files")
+    return runtime.written(pages.mapInArrow(runtime.lean(run), WRITTEN), "warc-files")
 
 
 def each_file(files: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                 side.write(zlib.compress("\n".join(index).encode(), 6, 31))
                 yield runtime.out_batch(_WRITTEN, uri=[out.done()], index_uri=[side.done()], records=[n])
 
-    return runtime.written(each_file(files).mapInArrow(run, WRITTEN), "warc-members")
+    return runtime.written(each_file(files).mapInArrow(runtime.lean(run), WRITTEN), "warc-members")
 
 
 PAGES = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -259,7 +259,7 @@ def read_records(files: DataFrame, payloads: bool = True) -> DataFrame:
                     if found:
                         yield pa.RecordBatch.from_pylist(found, schema)
 
-    return each_file(files).mapInArrow(run, PAGES)
+    return each_file(files).mapInArrow(runtime.lean(run), PAGES)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
