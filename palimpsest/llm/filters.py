@@ -42,7 +42,7 @@ def build(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     dealt = rows.repartition(F.shiftright("bit", PAGE))
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (PAGE - 3)
-    for r in dealt.mapInArrow(runtime.lean(run), "page int, flags binary").toLocalIterator():
+    for r in dealt.mapInArrow(runtime.lean(run), "page int, flags binary").collect():  # as large as the filter
         out[r["page"] * size : (r["page"] + 1) * size] = np.frombuffer(r["flags"], np.uint8)
     return out
 

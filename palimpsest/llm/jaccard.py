@@ -149,11 +149,14 @@ def ranked_sets(documents: DataFrame, flags: tuple[np.ndarray, np.ndarray], more
 
 
 def coarse_groups(ranked: DataFrame) -> DataFrame:
-    """``sid, group``: sets that may link, by chains of equal prefix shingles and near sizes."""
+    """``sid, group``: sets that may link, by runs of near sizes among the sets with a prefix shingle."""
     rows = ranked.select("sid", "n", F.explode("prefix").alias("token")).distinct()
     order = W.partitionBy("token").orderBy("n", "sid")
-    chain = rows.select("sid", "n", F.lag("sid").over(order).alias("before"), F.lag("n").over(order).alias("n0"))
-    edges = chain.where("before is not null and 4 * n <= 5 * n0").select(F.col("sid").alias("a"), F.col("before").alias("b"))
+    before = F.lag("n").over(order)
+    starts = before.isNull() | (4 * F.col("n") > 5 * before)
+    head = F.last(F.when(F.col("starts"), F.col("sid")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    # Stars around the first set of each run, rather than chains, so that components settle soon.
+    edges = rows.withColumn("starts", starts).withColumn("head", head).where("sid <> head").select(F.col("sid").alias("a"), F.col("head").alias("b"))
     return components.connected(edges).select(F.col("node").alias("sid"), F.col("root").alias("group"))
 
 
