@@ -335,10 +335,14 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = shared.broadcast.value.raw
         for b in batches:
-            ids = b["ids"]
-            for i in range(len(ids)):
-                t = b"".join(map(raw.__getitem__, ids[i].values.to_pylist() if ids[i].is_valid else [])).decode("utf-8", "surrogatepass")
-                yield runtime.out_batch(schema, doc_id=b["doc_id"].slice(i, 1), text=[t[1:]])
+            texts, held, lo = [], 0, 0
+            for i, ids in enumerate(b["ids"]):
+                t = b"".join(map(raw.__getitem__, ids.values.to_pylist() if ids.is_valid else [])).decode("utf-8", "surrogatepass")[1:]
+                texts.append(t)
+                held += len(t)
+                if held > text.SLICE_BYTES or i == b.num_rows - 1:
+                    yield runtime.out_batch(schema, doc_id=b["doc_id"].slice(lo, len(texts)), text=texts)
+                    texts, held, lo = [], 0, i + 1
 
     return runtime.need(encoded, "doc_id", "ids").mapInArrow(runtime.lean(run), "doc_id long, text string")
 
