@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import strings
 
 
-def rule_label(old: Column, new: Column, threshold: float = 0.5) -> Column:
-    """The offline labelling rule, on sets of words.
+def labelled(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Pairs (old, new) with ``label`` by the offline rule, on sets of words.
 
     Equal sets: EQV. The new one holds all of the old and more: OSN; the reverse:
-    NSO. Otherwise CON if similar enough, else IND.
+    NSO. Otherwise CON if similar enough, else IND. Each pair's sets are made and
+    compared once; what is left of them is three sizes.
     """
-    a, b = F.array_distinct(strings.tokens(old)), F.array_distinct(strings.tokens(new))
-    both = F.size(F.array_intersect(a, b))
-    return (
-        F.when((both == F.size(a)) & (both == F.size(b)), "EQV")
-        .when(both == F.size(a), "OSN")
-        .when(both == F.size(b), "NSO")
-        .when(strings.jaccard(a, b) >= threshold, "CON")
-        .otherwise("IND")
-    )
+    x, y, z = "_old_words", "_new_words", "_sizes"
+    rows = pairs.withColumns({x: F.array_distinct(strings.tokens(F.col("old"))), y: F.array_distinct(strings.tokens(F.col("new")))})
+    rows = rows.withColumn(z, F.struct(F.size(x).alias("a"), F.size(y).alias("b"), F.size(F.array_intersect(x, y)).alias("k"))).drop(x, y)
+    a, b, k = (F.col(f"{z}.{n}") for n in "abk")
+    union = a + b - k
+    label = F.when((k == a) & (k == b), "EQV").when(k == a, "OSN").when(k == b, "NSO").when((union > 0) & (k >= threshold * union), "CON").otherwise("IND")
+    return rows.withColumn("label", label).drop(z)
 
 
 def plans(labelled: DataFrame, key: list[str]) -> DataFrame:

@@ -124,4 +124,4 @@ PAIRS = r"""
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import relations
 
-    return fact_pairs(spark, sf_dir).withColumn("label", relations.rule_label(F.col("old"), F.col("new")))
+    return relations.labelled(fact_pairs(spark, sf_dir))
