@@ -118,10 +118,10 @@ def train(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) ->
         at = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([at.astype("<i4").tobytes()]), pa.array([model.weights[at].astype("<f4").tobytes()])], names=["bias", "at", "weights"])
 
-    found = sample.select("doc_id", "toxic", "text").repartition(1).mapInArrow(runtime.lean(run), "bias double, at binary, weights binary").first()
-    if found is None:  # an empty sample may have no task
+    found = sample.select("doc_id", "toxic", "text").repartition(1).mapInArrow(runtime.lean(run), "bias double, at binary, weights binary").collect()
+    if not found:  # an empty sample may have no task
         return fit([], np.empty(0), prior)
-    bias, at, weights = found
+    bias, at, weights = found[0]
     out = ToxicModel(np.zeros(1 << BITS, np.float32), bias)
     out.weights[np.frombuffer(at, "<i4")] = np.frombuffer(weights, "<f4")
     return out
@@ -131,9 +131,20 @@ SCHEMA = "doc_id long, score double"
 
 
 def scores(model: ToxicModel, texts: list[str | None]) -> np.ndarray:
-    """The probability that each text is toxic."""
+    """The probability that each text is toxic.
+
+    Most n-grams carry no weight; only the others are sorted to find those of each
+    text once.
+    """
     codes, offs = text.folded(texts)
-    z = np.array([model.weights[present(codes[offs[i] : offs[i + 1]])].sum(dtype=float) for i in range(len(texts))]) + model.bias
+    end = np.repeat(offs[1:], np.diff(offs))
+    held = []
+    for n in ORDERS:
+        buckets = text.gram_buckets(codes, n, BITS)
+        at = np.flatnonzero((model.weights[buckets] != 0) & (np.arange(len(codes)) + n <= end))
+        held.append((np.searchsorted(offs, at, "right") - 1) << BITS | buckets[at])
+    once = np.unique(np.concatenate(held))
+    z = np.bincount(once >> BITS, model.weights[once & ((1 << BITS) - 1)], len(texts)) + model.bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
