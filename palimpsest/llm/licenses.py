@@ -195,5 +195,39 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(runtime.table(spark, sf_dir, "documents"))
 
 
+def template_pattern(markup: str) -> str:
+    """The template as a regular expression over words that have one blank before each."""
+    out = ""
+    for piece in re.findall(r"<<[^>]*>>|[^\s<]+", markup):
+        if piece == "<<optional>>":
+            out += "(?:"
+        elif piece == "<<end>>":
+            out += ")?"
+        elif piece.startswith("<<var"):
+            out += "(?: [^ ]+){0,%d}" % int(piece[5:-2])
+        else:
+            out += " " + piece.lower()
+    return out + " "
+
+
+def _sql() -> str:
+    """The scan in SQL, made from the same phrases and templates."""
+    places = " OR ".join(" AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p in PHRASES)
+    base = ", ".join(f"CASE WHEN contains(t, ' {p} ') THEN '{v}' END" for p, v in PHRASES.items())
+    more = ", ".join(f"CASE WHEN regexp_matches(t, '{template_pattern(m)}') THEN '{k}' END" for k, all_of in TEMPLATES.items() for m in all_of)
+    joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda x: x IS NOT NULL))), ',')"
+    return rf"""
+    WITH w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+    ),
+    p AS (SELECT doc_id, len(w) AS n_words, list_filter(range(1, len(w) + 1), lambda i: {places}) AS places, ' ' || array_to_string(w, ' ') || ' ' AS t FROM w),
+    l AS (SELECT doc_id, n_words, places, [{base}] AS b, [{more}] AS m FROM p)
+    SELECT doc_id, n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+      coalesce({joined("b")}, '') AS base_labels, coalesce({joined("list_concat(b, m)")}, '') AS labels,
+      CAST(CASE WHEN len(list_filter(m, lambda x: x IS NOT NULL)) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
+    FROM l
+    """
+
+
 QUERIES = {"op10_license_scan": op10_license_scan}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_license_scan": _sql()}

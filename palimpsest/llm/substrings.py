@@ -263,4 +263,19 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_substring_dedup": op8_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_substring_dedup": r"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+    g AS (
+      SELECT *, md5(string_agg(x, ' ') OVER s) AS h, count(*) OVER s AS n FROM u
+      WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+    ),
+    d AS (SELECT h FROM g WHERE n = 35 GROUP BY h HAVING count(*) > 1),
+    f AS (SELECT g.doc_id, g.i, g.x, CASE WHEN g.n = 35 AND d.h IS NOT NULL THEN 1 ELSE 0 END AS starts FROM g LEFT JOIN d ON d.h = g.h),
+    c AS (SELECT *, max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f)
+    SELECT t.doc_id, count(c.x) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+      sha256(coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
+    FROM documents t LEFT JOIN c ON c.doc_id = t.doc_id GROUP BY t.doc_id
+    """
+}
