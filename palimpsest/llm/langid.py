@@ -49,7 +49,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, codes, offs in _packed(b["text"]):
             names = b["lang"].slice(lo, hi - lo).to_pylist()
-            all_of = [text.gram_buckets(codes, n, BITS) for n in ORDERS]
+            all_of = [b for _, b in text.gram_buckets(codes, ORDERS, BITS)]
             for i, name in enumerate(names):
                 into = counts.setdefault(name, np.zeros(1 << BITS, np.int64))
                 docs[name] = docs.get(name, 0) + 1
@@ -92,8 +92,7 @@ def posteriors(model: LangModel, texts: list[str | None]) -> np.ndarray:
     """Rows of probabilities, one for each text; NaN for texts without a letter."""
     codes, offs = text.folded(texts)
     total = np.zeros((len(texts), len(model.langs)))
-    for n in ORDERS:
-        buckets = text.gram_buckets(codes, n, BITS)
+    for _, buckets in text.gram_buckets(codes, ORDERS, BITS):
         for k in range(len(model.langs)):
             total[:, k] += np.add.reduceat(model.logp[k][buckets], offs[:-1])
     grams = len(ORDERS) * np.diff(offs)

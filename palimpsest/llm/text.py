@@ -168,15 +168,21 @@ def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], at[offs]
 
 
-def gram_buckets(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Hash bucket of the n-gram that starts at each code point; those past the end wrap to padding."""
+def gram_buckets(codes: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each order n, ascending, the hash bucket of the n-gram that starts at each code point.
+
+    Those that would pass the end are filled up with zeros.
+    """
     h = np.zeros(len(codes), np.uint64)
-    padded = np.concatenate([codes, np.zeros(n, np.uint32)])
-    for i in range(n):
-        h = (h + padded[i : i + len(codes)].astype(np.uint64)) * U(0x9E3779B97F4A7C15)
-    h ^= h >> U(29)
-    h *= U((0xBF58476D1CE4E5B9 + 2 * n) & (2**64 - 1))
-    return (h >> U(64 - bits)).astype(np.int64)
+    padded = np.concatenate([codes, np.zeros(max(orders), codes.dtype)]).astype(np.uint64)
+    for n in range(1, max(orders) + 1):
+        h += padded[n - 1 : n - 1 + len(codes)]
+        h *= U(0x9E3779B97F4A7C15)
+        if n in orders:
+            x = h ^ (h >> U(29))
+            x *= U((0xBF58476D1CE4E5B9 + 2 * n) & (2**64 - 1))
+            x >>= U(64 - bits)
+            yield n, x.view(np.int64)
 
 
 class _Index(dict):

@@ -47,7 +47,7 @@ def present(codes: np.ndarray) -> np.ndarray:
     """Distinct buckets of one document's n-grams."""
     if len(codes) < min(ORDERS):
         return np.empty(0, np.int64)
-    return np.unique(np.concatenate([text.gram_buckets(codes, n, BITS)[: max(0, len(codes) - n + 1)] for n in ORDERS]))
+    return np.unique(np.concatenate([b[: max(0, len(codes) - n + 1)] for n, b in text.gram_buckets(codes, ORDERS, BITS)]))
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, prior: float) -> ToxicModel:
@@ -139,8 +139,7 @@ def scores(model: ToxicModel, texts: list[str | None]) -> np.ndarray:
     codes, offs = text.folded(texts)
     end = np.repeat(offs[1:], np.diff(offs))
     held = []
-    for n in ORDERS:
-        buckets = text.gram_buckets(codes, n, BITS)
+    for n, buckets in text.gram_buckets(codes, ORDERS, BITS):
         at = np.flatnonzero((model.weights[buckets] != 0) & (np.arange(len(codes)) + n <= end))
         held.append((np.searchsorted(offs, at, "right") - 1) << BITS | buckets[at])
     once = np.unique(np.concatenate(held))
