@@ -197,13 +197,33 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def with_parts(documents: DataFrame, span: int = SPAN) -> tuple[DataFrame, str]:
-    """The rows with their flagged windows (null if there are none), and the name of that column."""
-    name, own, left_id, left_key = runtime.fresh(documents, "parts", "own", "left_id", "left_key")
-    parts = duplicate_windows(runtime.need(documents, "doc_id", "text"), span).groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "size", "flags")).alias(name))
-    parts = parts.withColumnsRenamed({"doc_id": left_id, "key": left_key})
-    rows = documents.withColumn(own, _key())
-    return rows.join(parts, rows["doc_id"].eqNullSafe(parts[left_id]) & (rows[own] == parts[left_key]), "left").drop(left_id, left_key, own), name
+def split_by_parts(documents: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame, str]:
+    """Rows that have no flagged window for certain, and the others with theirs (null if none) in a named column.
+
+    A filter of fixed size tells them apart, so texts without duplicate spans are
+    never shuffled.
+    """
+    spark = documents.sparkSession
+    name, own, key, left_id, left_key = runtime.fresh(documents, "parts", "own", "key", "left_id", "left_key")
+    found = duplicate_windows(runtime.need(documents, "doc_id", "text"), span)
+    parts = runtime.written(found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "size", "flags")).alias("parts")), "spans")
+    shared = spark.sparkContext.broadcast(filters.build(parts.select(F.xxhash64("doc_id", "key").alias("own")), "own"))
+    runtime.arrow_limits(spark)
+
+    def passing(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(filters.may_hold(shared.value, b[own].to_numpy()) == want)).select(names)
+
+        return run
+
+    names = documents.columns
+    rows = documents.withColumn(own, F.xxhash64("doc_id", _key()))
+    certain = rows.mapInArrow(runtime.lean(passing(False)), documents.schema)
+    asked = rows.mapInArrow(runtime.lean(passing(True)), documents.schema).withColumn(key, _key())
+    marks = parts.select(F.col("doc_id").alias(left_id), F.col("key").alias(left_key), F.col("parts").alias(name))
+    joined = asked.join(marks, asked["doc_id"].eqNullSafe(marks[left_id]) & (asked[key] == marks[left_key]), "left")
+    return certain, joined.select(*names, name), name
 
 
 def _parts(column: pa.Array, i: int) -> list[tuple[int, int, bytes]]:
@@ -231,9 +251,10 @@ def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
                 rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield runtime.out_batch(schema, doc_id=b["doc_id"], n_words=[r[0] for r in rows], n_removed=[r[1] for r in rows], kept_sha256=[r[2] for r in rows])
 
-    rows, parts = with_parts(runtime.need(documents, "doc_id", "text"), span)
-    runtime.arrow_limits(documents.sparkSession)
-    return rows.mapInArrow(runtime.lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    certain, asked, parts = split_by_parts(runtime.need(documents, "doc_id", "text"), span)
+    none = certain.withColumn(parts, F.lit(None).cast(asked.schema[parts].dataType))
+    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return none.mapInArrow(runtime.lean(run), kind).unionByName(asked.mapInArrow(runtime.lean(run), kind))
 
 
 def removed(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -253,9 +274,8 @@ def removed(documents: DataFrame, span: int = SPAN) -> DataFrame:
             columns = [pa.array(texts, b.schema.field("text").type) if n == "text" else b[n] for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows, parts = with_parts(documents, span)
-    runtime.arrow_limits(documents.sparkSession)
-    return rows.mapInArrow(runtime.lean(run), documents.schema)
+    certain, asked, parts = split_by_parts(documents, span)
+    return certain.unionByName(asked.mapInArrow(runtime.lean(run), documents.schema))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
