@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-#: Bits of the filter: 2**27 are 16 MB.
-BITS, PAGE = 27, 16
+#: Bits of the filter: 2**27 are 16 MB, 2**30 (the most that ``bits_for`` gives) 128 MB.
+BITS, MOST_BITS, PAGE = 27, 30, 16
+
+
+def bits_for(table: DataFrame) -> int:
+    """Bits for keys from a table: more for tables beyond 32 GB, within the bound."""
+    return min(MOST_BITS, max(BITS, BITS + (runtime.size_hint(table) >> 35).bit_length()))
 
 
 def build(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:

@@ -38,8 +38,11 @@ from pyspark.sql import Window as W
 from . import components, filters, runtime, text
 
 SHINGLE = 5
-#: Hash bits that are counted: ranges of 32 bits each. A shingle is common from this many documents on.
-RANGES, COMMON = 1 << 10, 200
+#: Ranges of 32 hash bits each in which shingles are counted, as bits; bytes of a table for each range beyond the least.
+#: A shingle is common from this many documents on.
+RANGE_BITS, MOST_RANGE_BITS, RANGE_BYTES, COMMON = 10, 20, 32 << 20, 200
+#: Shingles that a task gathers before it sends them out by range.
+GATHERED = 1 << 19
 #: Rows of a block, and bits of a bitmap.
 BLOCK, BITMAP = 2048, 2048
 
@@ -72,47 +75,78 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def common_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Filters of the shingles that occur in two documents, and of those in very many.
+def range_bits(documents: DataFrame) -> int:
+    """Enough ranges that a task sorts some ten million shingles of one at a time, whatever the table's size."""
+    return min(MOST_RANGE_BITS, max(RANGE_BITS, (runtime.size_hint(documents) // RANGE_BYTES).bit_length()))
 
-    42 bits of each hash are counted: rows carry arrays of the low 32 bits for a
-    range of the high ten, four bytes a shingle.
+
+def counted_key(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits of a shingle's hash by which it is counted."""
+    return shingles >> np.uint64(32 - bits)
+
+
+def common_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Filters of the shingles that occur in two documents, and of those in very many; and the bits of a range.
+
+    The leading bits of each hash are counted: rows carry arrays of 32 bits for a
+    range of the bits before them, four bytes a shingle.
     """
     runtime.arrow_limits(documents.sparkSession)
+    bits = range_bits(documents)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def sent() -> pa.RecordBatch:
+            keys = np.sort(counted_key(np.concatenate(held), bits))
+            high = keys >> np.uint64(32)
+            new = np.flatnonzero(np.diff(high, prepend=high[0] + np.uint64(1)))
+            low = keys.astype(np.uint32).astype("<u4")
+            return pa.RecordBatch.from_arrays([pa.array(high[new].astype(np.int32)), pa.array([low[a:e].tobytes() for a, e in zip(new, [*new[1:], len(low)], strict=True)], pa.binary())], names=["range", "low"])
+
         for b in batches:
             for _, _, buf, offs in text.doc_slices(b["text"]):
-                keys = np.concatenate([*sets_of(buf, offs), np.empty(0, np.uint64)]) >> np.uint64(22)
-                keys.sort()
-                at = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << np.uint64(32))
-                some = np.flatnonzero(np.diff(at))
-                flat = keys.astype(np.uint32).astype("<u4")
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([flat[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], names=["range", "low"])
+                sets = sets_of(buf, offs)
+                held += sets
+                n += sum(map(len, sets))
+                if n >= GATHERED:
+                    yield sent()
+                    held, n = [], 0
+        if any(map(len, held)):
+            yield sent()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for r, low in zip(b["range"].to_pylist(), b["low"], strict=True):
-                held.setdefault(r, []).append(np.frombuffer(low.as_buffer(), "<u4"))
-        for r, parts in held.items():
-            keys = np.sort(np.concatenate(parts))
+        """Rows sorted by range: one range is held at a time."""
+        held, now = [], None
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            keys = np.sort(np.concatenate(held))
             new = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
             times = np.diff(np.append(new, len(keys)))
+            new, times = new[times > 1], times[times > 1]
             for lo in range(0, len(new), 1 << 16):
-                t = times[lo : lo + (1 << 16)]
-                k = text.mix(keys[new[lo : lo + (1 << 16)]][t > 1].astype(np.uint64) | np.uint64(r << 32))
-                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(t[t > 1] >= COMMON)], names=["key", "common"])
+                k = text.mix(keys[new[lo : lo + (1 << 16)]].astype(np.uint64) | np.uint64(now << 32))
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(times[lo : lo + (1 << 16)] >= COMMON)], names=["key", "common"])
 
-    dealt = documents.select("text").mapInArrow(runtime.lean(spread), "range int, low binary").repartition("range")
+        for b in batches:
+            for r, low in zip(b["range"].to_pylist(), b["low"], strict=True):
+                if r != now and held:
+                    yield from counted()
+                    held = []
+                now = r
+                held.append(np.frombuffer(low.as_buffer(), "<u4"))
+        if held:
+            yield from counted()
+
+    dealt = documents.select("text").mapInArrow(runtime.lean(spread), "range int, low binary").repartition("range").sortWithinPartitions("range")
     runtime.arrow_limits(documents.sparkSession, 4096)
     found = runtime.written(dealt.mapInArrow(runtime.lean(gather), "key long, common boolean"), "shared-shingles")
-    both = filters.build(found, "key"), filters.build(found.where("common"), "key", 23)
+    both = filters.build(found, "key", filters.bits_for(documents)), filters.build(found.where("common"), "key", 23)
     runtime.discard(documents.sparkSession, found.shared_path)
-    return both
+    return *both, bits
 
 
-def ranked_sets(documents: DataFrame, flags: tuple[np.ndarray, np.ndarray], more: tuple[str, ...] = ()) -> DataFrame:
+def ranked_sets(documents: DataFrame, flags: tuple[np.ndarray, np.ndarray, int], more: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n, sid, prefix`` of every document; ``prefix`` has only shingles that others may share.
 
     ``more`` names columns of longs that are carried along.
@@ -122,12 +156,12 @@ def ranked_sets(documents: DataFrame, flags: tuple[np.ndarray, np.ndarray], more
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("prefix", pa.list_(pa.int64())), *[(c, pa.int64()) for c in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        several, many = shared.value
+        several, many, bits = shared.value
         for b in batches:
             for lo, hi, buf, offs in text.doc_slices(b["text"]):
                 sets = sets_of(buf, offs)
                 flat = np.concatenate([*sets, np.empty(0, np.uint64)])
-                key = text.mix(flat >> np.uint64(22))
+                key = text.mix(counted_key(flat, bits))
                 rank = filters.may_hold(several, key).astype(np.int8)
                 rank += (rank > 0) & filters.may_hold(many, key)
                 at, prefixes, names = 0, [], []

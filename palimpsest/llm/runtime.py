@@ -100,6 +100,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def size_hint(df: DataFrame) -> int:
+    """The optimizer's estimate of the table's bytes; for a table in files, the files' size. Nothing is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so other columns with clashing names play no part."""
     return df.select(*[df[n] for n in names])
