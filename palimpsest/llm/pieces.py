@@ -292,6 +292,9 @@ def codec_of(shared) -> Codec:
     return held[shared.id]
 
 
+runtime.KEPT["pieces"] = codec_of.__dict__.clear
+
+
 class _Shared:
     """A broadcast automaton with a name that stays equal between tasks."""
 
@@ -322,7 +325,7 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
                 upto = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield runtime.out_batch(schema, doc_id=b["doc_id"].slice(lo, hi - lo), ids=pa.ListArray.from_arrays(pa.array(upto), pa.array(flat, pa.int32())))
 
-    return runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(run), "doc_id long, ids array<int>")
+    return runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(run, "pieces"), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -366,7 +369,7 @@ def digests(documents: DataFrame, model: str) -> DataFrame:
                     round_trip=[codec.decode(x) == (t or "") for x, t in zip(found, texts, strict=True)],
                 )
 
-    return runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(run), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return runtime.need(documents, "doc_id", "text").mapInArrow(runtime.lean(run, "pieces"), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

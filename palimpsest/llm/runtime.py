@@ -12,6 +12,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyarrow import fs
@@ -56,7 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # a task buffers a row group
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
@@ -76,10 +77,20 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def lean(run):
-    """A batch function after which the worker gives back the memory it no longer uses; workers live on."""
+#: What operators keep in a worker between tasks: by name, how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(run, keep: str = ""):
+    """A batch function after which the worker gives back the memory it no longer uses; workers live on.
+
+    What other operators kept in the worker is dropped before it starts.
+    """
 
     def wrapped(batches):
+        for name, drop in KEPT.items():
+            if name != keep:
+                drop()
         try:
             yield from run(batches)
         finally:

@@ -83,7 +83,7 @@ def shared_anchors(documents: DataFrame, span: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
     counted = documents.select("text").mapInArrow(runtime.lean(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    return filters.build(counted.where("n > 1"), "anchor")
+    return filters.build(counted.where("n > 1"), "anchor", filters.bits_for(documents))
 
 
 _PHRASES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("phrase", pa.int64()), ("anchor", pa.int64()), ("lo", pa.int32()), ("windows", pa.binary())])
@@ -105,7 +105,7 @@ def candidate_phrases(documents: DataFrame, flags: np.ndarray, span: int) -> Dat
                 anchor, off = p["anchor"][keep], p["lo"][keep]
                 upto = np.concatenate([[0], np.cumsum(size)])
                 flat = p["hash"][np.arange(upto[-1]) + np.repeat(at - upto[:-1], size)]
-                powers, _ = text.powers(0xA24BAED4963EE407, int(size.max()) + 1)
+                powers, _ = text.powers(int(size.max()) + 1)
                 within = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
                 phrase = text.mix(np.add.reduceat(flat * powers[within], upto[:-1]) + anchor + off.astype(np.uint64))
                 windows = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((upto * 8).astype(np.int32).tobytes()), pa.py_buffer(flat.astype("<u8").tobytes())])

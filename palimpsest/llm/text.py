@@ -1,7 +1,7 @@
 """Vectorised text kernels: words, hashes of words and of word windows.
 
 Everything works on the UTF-8 bytes of an Arrow string array, in slices of
-about a megabyte, so memory stays bounded for any batch.
+about half a megabyte, so memory stays bounded for any batch.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U = np.uint64
 
 
@@ -32,22 +32,21 @@ def _bytes_table(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The base of all prefix hashes; one table of its powers serves words and windows.
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and their inverses."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base modulo 2**64, and their inverses."""
+    if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, SLICE_BYTES + 1)
-        inverse = pow(base, -1, 1 << 64)
-        both = []
-        for b in (base, inverse):
+        _POWERS.clear()
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        have = _POWERS[base] = (both[0], both[1])
-    return have[0][:n], have[1][:n]
+            _POWERS.append(np.multiply.accumulate(p, out=p))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -116,7 +115,7 @@ def words(buf: np.ndarray, offs: np.ndarray, word: np.ndarray) -> Words:
 
 def word_hashes(buf: np.ndarray, w: Words, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of each word."""
-    p, q = powers(0x9E3779B97F4A7C15 + 2 * seed, len(buf) + 1)
+    p, q = powers(len(buf) + 1)
     c = np.empty(len(buf) + 1, np.uint64)
     c[0] = 0
     np.cumsum(_bytes_table(seed)[buf] * p[:-1], out=c[1:])
@@ -128,11 +127,11 @@ def windows(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    p, q = powers(0xC2B2AE3D27D4EB4F + 2 * seed, len(h) + 1)
+    p, q = powers(len(h) + 1)
     c = np.empty(len(h) + 1, np.uint64)
     c[0] = 0
     np.cumsum(h * p[:-1], out=c[1:])
-    return mix((c[k:] - c[:n]) * q[:n] + U(k))
+    return mix((c[k:] - c[:n]) * q[:n] + U(k) + U(seed * 0xD1B54A32D192ED03 & (2**64 - 1)))
 
 
 def whole(first: np.ndarray, k: int) -> np.ndarray:

@@ -99,6 +99,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+runtime.KEPT["tokens"] = encoder.cache_clear
+
+
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """One file: documents' ids (with a flag for null) and lengths, then the coded ids."""
     known = np.array([i is not None for i in doc_ids], np.uint8)
@@ -177,7 +180,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end_id: int
 
     rows = runtime.need(documents, "doc_id", "text")
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return runtime.written(dealt.mapInArrow(runtime.lean(run), MANIFEST), "token-manifest")
+    return runtime.written(dealt.mapInArrow(runtime.lean(run, "tokens"), MANIFEST), "token-manifest")
 
 
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
