@@ -7,12 +7,16 @@ within floor(L * ``RATE``) word edits of it.
 1. An item is cut into one block more than its edits allow, so a leaking window
    holds a block unchanged. A fixed-size filter over the blocks' hashes finds the
    places; each gives the item-sized windows whose start lies within the allowed
-   edits of where the block puts it. No leaking window is lost here.
+   edits of where the block puts it. No leaking window is lost here, nor by the
+   next filter: words of a window that the item has not are an edit each.
 2. A random walk (CGK) embeds windows and items: each step writes the current
    word and moves on by a random bit of it, so a small edit distance becomes a
    small Hamming distance. ``WALKS`` walks times ``TABLES`` tables sample
-   ``SAMPLES`` positions each; a pair that agrees in one table is a candidate.
-3. Candidates are decided by their exact edit distance.
+   ``SAMPLES`` positions each. Pairs that agree in one table are decided first.
+3. The exact edit distance decides. Windows that the LSH does not name are decided
+   as well, unless the words they lack alone make them worse than a window that is
+   already found for the same document and item. So the LSH saves distances and
+   loses no leak, whatever the item's length.
 
 Rows: null and empty texts hold nothing, nor does an item without words. Equal
 items match apart. Of an item's windows in a row, the one with the fewest edits
@@ -36,8 +40,8 @@ RATE = 0.2
 WALKS, TABLES, SAMPLES = 6, 16, 4
 #: Items of one broadcast, and characters of them; more items take further passes.
 ITEMS, ITEM_CHARS = 20_000, 32 << 20
-#: Windows that are embedded together.
-TOGETHER = 20_000
+#: Windows that are embedded together, and words of them (a single window may have more).
+TOGETHER, CELLS = 20_000, 2_000_000
 
 U = np.uint64
 
@@ -48,6 +52,11 @@ def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text.word_hashes(low, w, seed=9), w.first
 
 
+def word_keys(h: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """A key for each word (hash) as a word of an item."""
+    return text.mix(h ^ (item.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15))
+
+
 @dataclass
 class Items:
     """Benchmark items as word hashes, with the index of their blocks."""
@@ -57,6 +66,7 @@ class Items:
     edits: np.ndarray
     blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by block size: hash, item, place
     flags: dict[int, np.ndarray] = field(default_factory=dict)
+    held: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # keys of each item's words, sorted
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None], rate: float = RATE) -> Items:
@@ -81,6 +91,9 @@ class Items:
             flags = np.zeros(1 << 21, bool)
             flags[(keys >> U(43)).astype(np.int64)] = True
             out.flags[k] = flags
+        if words:
+            which = np.repeat(np.arange(len(words)), [len(h) for h in words])
+            out.held = np.unique(word_keys(np.concatenate(words), which))
         return out
 
 
@@ -170,24 +183,57 @@ def edit_distance(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray)
     return out
 
 
-def leaks_in(h: np.ndarray, first: np.ndarray, items: Items, exact: bool = False) -> tuple[np.ndarray, ...]:
-    """Document, item, start in the document and distance of each leak; ``exact`` passes over the LSH."""
+def least_edits(a: np.ndarray, own: np.ndarray, k: np.ndarray, size: np.ndarray, items: Items) -> np.ndarray:
+    """A lower bound of each window's distance to its item: words that the item has not, or the missing length."""
+    keys = word_keys(a, k[:, None])
+    at = np.minimum(np.searchsorted(items.held, keys), len(items.held) - 1)
+    inside = np.arange(a.shape[1]) < own[:, None]
+    return np.maximum((inside & (items.held[at] != keys)).sum(1), size - own)
+
+
+def leaks_in(h: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """Document, item, start in the document and distance of each leak."""
     doc, item, start = windows_of(h, first, items)
     kept: list[np.ndarray] = []
     all_sizes = np.array([len(w) for w in items.words])
-    for lo in range(0, len(doc), TOGETHER):
-        d, k, s = doc[lo : lo + TOGETHER], item[lo : lo + TOGETHER], start[lo : lo + TOGETHER]
+    order = np.lexsort((start, doc, item, all_sizes[item])) if len(doc) else doc
+    doc, item, start = doc[order], item[order], start[order]
+    lo = 0
+    while lo < len(doc):
+        hi = min(lo + TOGETHER, len(doc))
+        while hi - lo > 1 and (hi - lo) * all_sizes[item[hi - 1]] > CELLS:
+            hi = (lo + hi) // 2
+        d, k, s = doc[lo:hi], item[lo:hi], start[lo:hi]
+        lo = hi
         size = all_sizes[k]
-        width = int(size.max())
         own = np.minimum(size, first[d + 1] - s)
-        a = padded(h, s, own, width)
-        flat = np.concatenate([items.words[i] for i in np.unique(k)])
-        begin = dict(zip(np.unique(k).tolist(), np.concatenate([[0], np.cumsum(all_sizes[np.unique(k)])[:-1]]).tolist(), strict=True))
-        b = padded(flat, np.array([begin[i] for i in k.tolist()]), size, width)
-        near = np.ones(len(d), bool) if exact else agree(a, b, size)
-        e = edit_distance(a[near], own[near], b[near], size[near])
-        ok = e <= items.edits[k[near]]
-        kept.append(np.stack([d[near][ok], k[near][ok], (s - first[d])[near][ok], e[ok]]))
+        a = padded(h, s, own, int(size.max()))
+        least = least_edits(a, own, k, size, items)
+        can = least <= items.edits[k]
+        if not can.any():
+            continue
+        d, k, s, a, own, size, least = d[can], k[can], s[can], a[can], own[can], size[can], least[can]
+        which, row = np.unique(k, return_inverse=True)
+        flat = np.concatenate([items.words[i] for i in which])
+        begin = np.cumsum(all_sizes[which]) - all_sizes[which]
+        b = padded(flat, begin[row], size, a.shape[1])
+        pair = np.unique(np.stack([d, k]), axis=1, return_inverse=True)[1].ravel()
+        bound = np.full(pair.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(bound, pair, items.edits[k])
+        # First what the LSH names and each pair's most promising window, then all that can still be as good.
+        first_of = np.lexsort((least, pair))
+        now = agree(a, b, size)
+        now[first_of[np.flatnonzero(np.diff(pair[first_of], prepend=-1))]] = True
+        done = np.zeros(len(d), bool)
+        for _ in range(2):
+            e = edit_distance(a[now], own[now], b[now], size[now])
+            ok = e <= items.edits[k[now]]
+            kept.append(np.stack([d[now][ok], k[now][ok], (s - first[d])[now][ok], e[ok]]))
+            np.minimum.at(bound, pair[now], e)
+            done |= now
+            now = ~done & (least <= bound[pair])
+            if not now.any():
+                break
     if not kept:
         return tuple(np.empty((4, 0), np.int64))
     rows = np.concatenate(kept, axis=1)

@@ -187,6 +187,44 @@ def test_leaks_reach_the_recall_of_all_windows(spark):
     assert len(found.ids) == 31
 
 
+def test_leaks_at_the_limit_whatever_the_length():
+    r = random.Random(21)
+    vocabulary = samples.words(22, 4000)
+    items = [r.sample(vocabulary, n) for n in (59, 100, 200, 400) for _ in range(6)]
+    docs, want = [], []
+    for i, w in enumerate(items):
+        limit, w = len(w) // 5, list(w)
+        for p in r.sample(range(len(w)), limit):
+            w[p] = f"other{r.randrange(10**6)}"
+        docs.append(" ".join([*r.sample(vocabulary, 30), *w, *r.sample(vocabulary, 30)]))
+        want.append((i, i, 30, limit))
+        w[w.index(next(x for x in w if not x.startswith("other")))] = "onemore"  # past the limit
+        docs.append(" ".join(["z"] * 30 + w + ["z"] * 30))
+    found = decontaminate.Items.of(list(range(len(items))), [" ".join(w) for w in items])
+    got = []
+    for lo, _, buf, offs in text.doc_slices(pa.array(docs)):
+        d, k, s, e = decontaminate.leaks_in(*decontaminate._words(buf, offs), found)
+        got += zip((d + lo).tolist(), k.tolist(), s.tolist(), e.tolist())
+    assert sorted(got) == [(2 * d, i, s, e) for d, i, s, e in want]
+
+
+@pytest.mark.parametrize("cells", [2_000_000, 300])
+def test_leaks_equal_all_windows(monkeypatch, cells):
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
+    r, vocabulary = random.Random(31), samples.words(32, 40)
+    items = [r.choices(vocabulary, k=r.randint(1, 40)) for _ in range(25)]
+    docs = [r.choices(vocabulary, k=r.randint(0, 15)) + edited(w, n, r, vocabulary) + r.choices(vocabulary, k=r.randint(0, 15)) for w in items for n in (0, len(w) // 10, len(w) // 5, len(w) // 4)]
+    want = []
+    for d, w in enumerate(docs):
+        for i, v in enumerate(items):
+            e, s = min((distance(v, w[s : s + len(v)]), s) for s in range(max(1, len(w) - len(v) + 1)))
+            if w and e <= int(len(v) * 0.2 + 1e-9):
+                want.append((d, i, s, e))
+    found = decontaminate.Items.of(list(range(len(items))), [" ".join(w) for w in items])
+    (_, _, buf, offs), = text.doc_slices(pa.array([" ".join(w) for w in docs]))
+    assert sorted(zip(*(x.tolist() for x in decontaminate.leaks_in(*decontaminate._words(buf, offs), found)))) == want
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
