@@ -1,7 +1,7 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
 Pivots split the space into cells. Summaries of each cell (how many vectors, the
-greatest distance to the pivot, the k + 1 smallest ones) and of each group of
+greatest distance to the pivot, the k + 1 ids nearest to it) and of each group of
 queries (their greatest distance to the pivot, their greatest norm) bound the
 scores that a group can reach in a cell from above, and its k-th best score from
 below. A query goes only to the cells that can hold one of its best; cells and
@@ -78,9 +78,15 @@ def assign(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 
 def summaries(cells: DataFrame, k: int) -> pd.DataFrame:
-    """For each cell its size, radius and k + 1 smallest distances: a bounded number of rows."""
-    order = W.partitionBy("d", "cell").orderBy("dist")
-    near = cells.select("d", "cell", "dist").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("d", "cell").agg(F.sort_array(F.collect_list("dist")).alias("near"))
+    """For each cell its size, radius and k + 1 nearest ids with their distances: a bounded number of rows.
+
+    An id counts once in a cell, by its nearest row, so k are left without a query's own id.
+    """
+    order = W.partitionBy("d", "cell").orderBy("dist", "vec_id")
+    once = cells.groupBy("d", "cell", "vec_id").agg(F.min("dist").alias("dist"))
+    pair = F.sort_array(F.collect_list(F.struct("dist", "vec_id")))
+    near = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).groupBy("d", "cell").agg(pair.alias("m"))
+    near = near.select("d", "cell", F.col("m.dist").alias("near"), F.col("m.vec_id").alias("near_ids"))
     return cells.groupBy("d", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).join(near, ["d", "cell"]).toPandas()
 
 
@@ -90,11 +96,14 @@ def needed_cells(own: pd.DataFrame, groups: pd.DataFrame, pivots: np.ndarray, k:
     cell = own["cell"].to_numpy()
     p = pivots[cell]
     norm = np.sqrt((p * p).sum(1))
+    ids = np.concatenate([np.asarray(x) for x in own["near_ids"]])
     for g in groups.itertuples():
         dot, reach = p @ pivots[g.cell], g.radius * norm
         upper = dot + reach + g.norm * own["radius"].to_numpy()
         lower = np.concatenate([d - r - g.norm * np.asarray(near) for d, r, near in zip(dot, reach, own["near"], strict=True)])
-        bound = np.sort(lower)[::-1][k] if len(lower) > k else -np.inf  # one more than k: the query itself is no candidate
+        down = np.argsort(-lower, kind="stable")
+        lower = lower[down[np.sort(np.unique(ids[down], return_index=True)[1])]]  # the greatest of each id
+        bound = lower[k] if len(lower) > k else -np.inf  # one more than k: a query's own id is no candidate
         out[g.cell] = cell[upper >= bound - 1e-6 * (1 + abs(bound))].tolist()
     return out
 
@@ -106,13 +115,15 @@ def route(queries: DataFrame, own: pd.DataFrame, pivots: dict[int, np.ndarray],
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_of, piv, cells_of = shared.value
         by = {d: x.set_index("cell") for d, x in all_of.groupby("d")}
+        ids_of = {d: np.concatenate([np.asarray(m) for m in x["near_ids"]]) for d, x in by.items()}
         for pdf in batches:
             rows = []
             for q in pdf.itertuples():
                 s, v = by[q.d], np.asarray(q.v)
                 length, dot = np.sqrt(v @ v), piv[q.d][s.index] @ v
                 lower = np.concatenate([x - length * np.asarray(near) for x, near in zip(dot, s["near"], strict=True)])
-                bound = np.sort(lower)[::-1][k] if len(lower) > k else -np.inf
+                lower = lower[ids_of[q.d] != q.vec_id]
+                bound = np.sort(lower)[-k] if len(lower) >= k else -np.inf
                 upper = dict(zip(s.index, dot + length * s["radius"], strict=True))
                 for c in cells_of[q.d, q.cell]:
                     if upper[c] >= bound - 1e-6 * (1 + abs(bound)):

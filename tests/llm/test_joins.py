@@ -271,6 +271,19 @@ def test_voronoi_equals_all_pairs(spark, monkeypatch, block):
     assert voronoi.topk_join(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies, spread", [(1, False), (2, False), (11, True)])
+def test_voronoi_with_a_query_id_that_is_repeated(spark, copies, spread):
+    rows = vectors(20, 3)
+    large = [9.0 * x for x in vectors(1, 12)[0][1]]
+    rows = [(i + 1, v, 0) for i, v, _ in rows] + [(100, [float(np.float32(x + (c / 8 if spread else 0))) for x in large], 0) for c in range(copies)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in voronoi.topk_join(df, F.col("vec_id") % 100 == 0).collect())
+    whole = [(i, tuple(int(np.floor(1024 * np.float64(np.float32(x)))) for x in v)) for i, v, _ in rows]
+    v = min(x for i, x in whole if i == 100)
+    best = sorted((-sum(a * b for a, b in zip(v, x)), i) for i, x in whole if i != 100)[:10]
+    assert got == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_warc_round_trip(spark, monkeypatch):
     from palimpsest.llm import runtime
 
