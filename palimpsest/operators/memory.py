@@ -6,14 +6,14 @@ parent_primary, edge, answer_hidden, answer_id, stale, session_index, embedding.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import dates
-
-#: Levels of an evidence tree that are followed; a deeper tree is a cycle.
-DEPTH = 64
+from ..session import ship
 
 
 def role() -> Column:
@@ -64,26 +64,49 @@ def listed(memories: DataFrame, descending: bool = False) -> DataFrame:
 
 
 def descendants(memories: DataFrame) -> DataFrame:
-    """``history_name, root_id, memory_id, depth`` of what hangs below each root, level by level.
+    """``history_name, root_id, memory_id, seq, depth`` of what hangs below each root, level by level.
 
-    A root is a primary without a parent. The joins stay within histories; the
-    loop ends with the deepest tree, and a node is never reached twice.
+    A root is a primary without a parent. Trees stay within histories and are
+    followed to their ends, however deep. A cycle can hang below a root only where
+    a history repeats an id; there an id is not reached again below itself.
     """
-    spark = memories.sparkSession
+    ship(memories.sparkSession)
     base = memories.select("history_name", "memory_id", "parent_primary", is_primary().alias("p"), "seq")
-    base.createOrReplaceTempView("_tree_rows")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree(history_name, root_id, memory_id, seq, depth) MAX RECURSION LEVEL {DEPTH} AS (
-          SELECT history_name, memory_id, memory_id, seq, 0 FROM _tree_rows WHERE p AND parent_primary IS NULL
-          UNION ALL
-          SELECT c.history_name, t.root_id, c.memory_id, c.seq, t.depth + 1
-          FROM tree t JOIN _tree_rows c ON c.history_name = t.history_name AND c.parent_primary = t.memory_id
-          WHERE NOT c.p AND t.depth < {DEPTH - 1}
-        )
-        SELECT history_name, root_id, memory_id, seq, depth FROM tree
-        """
-    )
+    kinds = {f.name: f.dataType for f in base.schema}
+    schema = StructType([StructField(n, kinds[k]) for n, k in (("history_name", "history_name"), ("root_id", "memory_id"), ("memory_id", "memory_id"), ("seq", "seq"))] + [StructField("depth", IntegerType())])
+    return base.groupBy("history_name").applyInArrow(_trees, schema)
+
+
+def _trees(rows: pa.Table) -> pa.Table:
+    """The trees of one history; a history without a name has roots only."""
+    ids, parents, primary = (rows[c].to_pylist() for c in ("memory_id", "parent_primary", "p"))
+    children: dict = {}
+    if rows["history_name"][0].is_valid:
+        for i, (parent, p) in enumerate(zip(parents, primary, strict=True)):
+            if parent is not None and not p:
+                children.setdefault(parent, []).append(i)
+    repeated = len(set(ids)) < len(ids)
+    # Each node: its root's row, its own row, its depth, the node above it.
+    root = [i for i, p in enumerate(primary) if p and parents[i] is None]
+    row, depth, above = list(root), [0] * len(root), [-1] * len(root)
+    node = 0
+    while node < len(row):
+        below = children.get(ids[row[node]], ()) if ids[row[node]] is not None else ()
+        if repeated and below:
+            path, at = set(), node
+            while at >= 0:
+                path.add(ids[row[at]])
+                at = above[at]
+            below = [i for i in below if ids[i] not in path]
+        for i in below:
+            root.append(root[node])
+            row.append(i)
+            depth.append(depth[node] + 1)
+            above.append(node)
+        node += 1
+    own = rows.take(pa.array(row, pa.int64()))
+    roots = rows["memory_id"].take(pa.array(root, pa.int64()))
+    return pa.table({"history_name": own["history_name"], "root_id": roots, "memory_id": own["memory_id"], "seq": own["seq"], "depth": pa.array(depth, pa.int32())})
 
 
 def fused_bundles(memories: DataFrame) -> DataFrame:

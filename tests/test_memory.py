@@ -81,6 +81,25 @@ def test_dedup_is_idempotent_and_keeps_dated_copies(spark):
     assert once.exceptAll(memory.deduplicated(once)).count() == 0
 
 
+def test_trees_are_followed_to_their_ends(spark):
+    schema = "history_name string, memory_id long, parent_primary long, memory_role string, seq long, text string, time string"
+    big = 2**60
+    chain = [("h", big + i, big + i - 1 if i else None, "evidence" if i else "primary", i, f"t{i}", "") for i in range(200)]
+    # A covered primary and what hangs below it are in no tree; nor is a cycle without a root, or what hangs below nothing.
+    apart = [("g", 1, None, None, 1, "a", ""), ("g", 2, 1, "primary", 2, "b", ""), ("g", 3, 2, "evidence", 3, "c", ""), ("g", 4, 5, "evidence", 4, "d", ""), ("g", 5, 4, "evidence", 5, "e", ""), ("g", 6, 99, "evidence", 6, "f", ""), ("g", 7, 1, "answer", 7, "g", "")]
+    # Ids that are repeated: once for each way, and never below itself.
+    again = [("r", 1, None, "primary", 1, "a", ""), ("r", 2, 1, "evidence", 2, "b", ""), ("r", 2, 1, "evidence", 3, "c", ""), ("r", 3, 2, "evidence", 4, "d", ""), ("r", 1, 3, "evidence", 5, "e", "")]
+    none = [(None, 1, None, "primary", 1, "a", ""), (None, 2, 1, "evidence", 2, "b", "")]
+    df = spark.createDataFrame(chain + apart + again + none, schema)
+    got = sorted((str(r["history_name"]), r["root_id"], r["depth"], r["memory_id"], r["seq"]) for r in memory.descendants(df).collect())
+    want = [("h", big, i, big + i, i) for i in range(200)] + [("g", 1, 0, 1, 1), ("g", 1, 1, 7, 7), ("None", 1, 0, 1, 1)]
+    want += [("r", 1, 0, 1, 1), ("r", 1, 1, 2, 2), ("r", 1, 1, 2, 3), ("r", 1, 2, 3, 4), ("r", 1, 2, 3, 4)]
+    assert got == sorted(want)
+    fused = memory.fused_bundles(df.where("history_name = 'h'")).first()
+    assert fused["members"] == 200 and fused["text"] == "\n".join(f"t{i}" for i in range(200))
+    assert memory.descendants(df.limit(0)).count() == 0
+
+
 def test_clusters():
     rows = pd.DataFrame({"history_name": "h", "seq": range(5), "embedding": [[1, 0], [0.9, 0.1], [0, 1], [1, 0.05], [1, 0]], "at": [0, None, 0, 3600.0, 30 * 86400.0]})
     assert folds.cluster(rows)["cluster"].str[-1].tolist() == ["0", "0", "1", "0", "2"]
