@@ -1,20 +1,19 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring dedup by counting the windows of anchored phrases, an exact count.
 
 A window is ``SPAN`` consecutive words of a document. Every window has an anchor,
 its ``ANCHOR`` words with the least hash (the leftmost of equal ones); equal
 windows have equal anchors at equal places. The windows of one anchor form a
-phrase. Anchors assign phrases to reference blocks, so each document is parsed
-against every block that can hold a match, and against no other.
+phrase. Anchors assign phrases to blocks, so equal windows meet in one block.
+This is not relative Lempel-Ziv parsing: no reference text is indexed, and no
+factor is extended.
 
 1. Anchors that occur twice anywhere pass a filter of fixed size; phrases of
    other anchors cannot repeat and go no further.
 2. Equal phrases are counted, before the shuffle and after it; a passage in
    very many documents becomes one row.
-3. A block indexes the windows of its phrases. Phrases are parsed greedily: a
-   factor starts at the first window that the index holds elsewhere, and each
-   next word belongs to it while the next window is held. At a factor's end the
-   windows across the boundary are tested, so factors from different places may
-   overlap. Factors of at least ``SPAN`` words are duplicate spans.
+3. A block sorts the hashes of its phrases' windows by anchor and counts them. A
+   window that occurs more than once is held elsewhere, and all its ``SPAN`` words
+   are duplicates; windows that overlap make longer spans.
 
 Rows: null, empty and short texts have no window and keep all words. Repeated
 rows are documents of their own, so their windows occur elsewhere. Windows are
