@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
@@ -56,3 +57,12 @@ def may_hold(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For each key, whether it passes the filter."""
     at = keys.astype(np.uint64) & np.uint64(8 * len(flags) - 1)
     return (flags[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def passes(shared: Broadcast, column: str) -> Column:
+    """Whether a column of longs passes a broadcast filter; other columns of the rows stay in the JVM."""
+
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(may_hold(shared.value, keys.to_numpy()))
+
+    return F.arrow_udf(run, "boolean")(column)

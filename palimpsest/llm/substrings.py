@@ -1,19 +1,29 @@
-"""Substring dedup by counting the windows of anchored phrases, an exact count.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
 A window is ``SPAN`` consecutive words of a document. Every window has an anchor,
 its ``ANCHOR`` words with the least hash (the leftmost of equal ones); equal
-windows have equal anchors at equal places. The windows of one anchor form a
-phrase. Anchors assign phrases to blocks, so equal windows meet in one block.
-This is not relative Lempel-Ziv parsing: no reference text is indexed, and no
-factor is extended.
+windows have equal anchors at equal places. The windows of one anchor in a row
+form a phrase. Anchors assign phrases to reference blocks, so a document is
+parsed against every block that can hold one of its windows, and against no other.
 
-1. Anchors that occur twice anywhere pass a filter of fixed size; phrases of
+1. Anchors that occur twice anywhere pass a filter of bounded size; phrases of
    other anchors cannot repeat and go no further.
 2. Equal phrases are counted, before the shuffle and after it; a passage in
    very many documents becomes one row.
-3. A block sorts the hashes of its phrases' windows by anchor and counts them. A
-   window that occurs more than once is held elsewhere, and all its ``SPAN`` words
-   are duplicates; windows that overlap make longer spans.
+3. A block is indexed by a suffix array over its phrases, whose symbols are windows
+   (64-bit hashes of their words). Each phrase is factored greedily: the longest
+   match elsewhere in the block, found among its neighbours in the suffix order,
+   is a factor; a symbol without a match is a literal.
+4. A factor of k symbols is SPAN + k - 1 words and thus always long enough. The
+   parse goes on one window after the factor's last one, so at a boundary it looks
+   back over SPAN - 1 words, and no repeated window across the boundary is missed.
+   The factors' words are the duplicate spans; factors that overlap make longer ones.
+5. Anchors with very many different phrases (common lines in ever other contexts)
+   are no block's: their phrases are cut into windows, which are counted by
+   themselves, a row for each window and task.
+
+Two windows are equal if their hashes are; for n different windows the chance that
+any two collide is about n**2 / 2**65.
 
 Rows: null, empty and short texts have no window and keep all words. Repeated
 rows are documents of their own, so their windows occur elsewhere. Windows are
@@ -27,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +45,8 @@ from . import filters, runtime, text
 
 #: Words of a window and of an anchor.
 SPAN, ANCHOR = 35, 8
+#: Phrases that are indexed together; different phrases of an anchor from which on its windows are counted instead.
+INDEXED, HOT = 20_000, 2048
 _PLACE = 28  # bits for places in a slice, below the bits of the hash
 
 
@@ -88,9 +101,8 @@ def shared_anchors(documents: DataFrame, span: int) -> np.ndarray:
 _PHRASES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("phrase", pa.int64()), ("anchor", pa.int64()), ("lo", pa.int32()), ("windows", pa.binary())])
 
 
-def candidate_phrases(documents: DataFrame, flags: np.ndarray, span: int) -> DataFrame:
+def candidate_phrases(documents: DataFrame, shared: Broadcast, span: int) -> DataFrame:
     """The phrases whose anchor passes the filter, with their windows' hashes."""
-    shared = documents.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,44 +125,90 @@ def candidate_phrases(documents: DataFrame, flags: np.ndarray, span: int) -> Dat
     return documents.mapInArrow(runtime.lean(run), "doc_id long, key long, pos int, phrase long, anchor long, lo int, windows binary")
 
 
+def suffix_ranks(symbols: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """For each doubling level k, equal numbers for positions whose next 2**k symbols (up to their phrase's end) are equal.
+
+    The numbers sort as the symbols do; the last level orders whole suffixes.
+    """
+    at = np.arange(len(symbols))
+    ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
+    step, most = 1, int((end - at).max(initial=0))
+    while step < most:
+        r = ranks[-1]
+        after = np.zeros(len(r), np.int64)
+        more = at + step < end
+        after[more] = r[at[more] + step] + 1
+        ranks.append(np.unique(r * (len(r) + 1) + after, return_inverse=True)[1].astype(np.int64))
+        step *= 2
+    return ranks
+
+
+def longest_matches(symbols: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many symbols from each position on, within its phrase, occur at another position too."""
+    ranks = suffix_ranks(symbols, end)
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1], order[1:]
+    common = np.zeros(len(a), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = a + common, b + common
+        both = np.flatnonzero((x + (1 << k) <= end[a]) & (y + (1 << k) <= end[b]))
+        same = both[ranks[k][x[both]] == ranks[k][y[both]]]
+        common[same] += 1 << k
+    longest = np.zeros(len(symbols), np.int64)
+    np.maximum.at(longest, a, common)
+    np.maximum.at(longest, b, common)
+    return longest
+
+
+def factors(symbols: np.ndarray, offs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of all phrases of a block: phrase, first symbol in it, symbols.
+
+    ``times`` tells how often each phrase occurs; one that occurs again is a factor itself.
+    """
+    size = np.diff(offs)
+    end = np.repeat(offs[1:], size)
+    longest = longest_matches(symbols, end)
+    again = np.repeat(times > 1, size)
+    longest[again] = (end - np.arange(len(symbols)))[again]
+    phrase, at = np.flatnonzero(size), offs[:-1][size > 0].copy()
+    found = []
+    while len(at):
+        n = longest[at]
+        hit = n > 0
+        found.append(np.stack([phrase[hit], (at - offs[phrase])[hit], n[hit]]))
+        at = at + np.maximum(n, 1)
+        live = at < offs[phrase + 1]
+        phrase, at = phrase[live], at[live]
+    rows = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+    return tuple(rows[:, np.lexsort((rows[1], rows[0]))])
+
+
+def _windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Window hashes of some phrases on end, and where each phrase's begin."""
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    return np.frombuffer(column.buffers()[2], "<u8")[offs[0] : offs[-1]], offs - offs[0]
+
+
+_FACTORS = "phrase long, first int, size int"
+
+
 def _parse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor; phrases with a factor, and for each of their windows whether it occurs elsewhere."""
+    """Rows sorted by anchor; the factors of each phrase. A block ends where an anchor does."""
 
     def parsed(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        w = t["windows"].chunk(0)
-        offs = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w) + 1] // 8
-        flat = np.frombuffer(w.buffers()[2], "<u8")[offs[0] : offs[-1]]
-        offs = offs - offs[0]
-        size = np.diff(offs)
-        # The index of the block: windows by anchor and hash, with how often each occurs.
-        anchor = np.repeat(t["anchor"].to_numpy().astype(np.uint64), size)
-        times = np.repeat(t["n"].to_numpy(), size)
-        order = np.lexsort((flat, anchor))
-        a, f = anchor[order], flat[order]
-        new = np.ones(len(f), bool)
-        new[1:] = (a[1:] != a[:-1]) | (f[1:] != f[:-1])
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, times[order])
-        held = np.empty(len(f), bool)
-        held[order] = total[group] > 1
-        some = np.add.reduceat(held.astype(np.int64), offs[:-1]) > 0
-        flags = [np.packbits(held[offs[i] : offs[i + 1]], bitorder="little").tobytes() for i in np.flatnonzero(some)]
-        return pa.RecordBatch.from_arrays([pa.array(t["phrase"].to_numpy()[some]), pa.array(size[some].astype(np.int32)), pa.array(flags, pa.binary())], names=["phrase", "size", "flags"])
+        which, first, size = factors(*_windows(t["windows"].chunk(0)), t["n"].to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(t["phrase"].to_numpy()[which]), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], names=["phrase", "first", "size"])
 
     held: list[pa.RecordBatch] = []
     rows, last = 0, None
     for b in batches:
         if not b.num_rows:
             continue
-        anchors = b["anchor"].to_numpy()
-        if rows >= 20_000 and anchors[0] != last:
-            yield parsed(pa.Table.from_batches(held))
-            held, rows = [], 0
-        elif rows >= 20_000:  # an anchor goes on: close before the next one
-            cut = int(np.searchsorted(anchors != last, True)) if (anchors != last).any() else len(anchors)
+        if rows >= INDEXED:  # an anchor that goes on is taken along
+            anchors = b["anchor"].to_numpy()
+            cut = int(np.argmax(anchors != last)) if (anchors != last).any() else len(anchors)
             held.append(b.slice(0, cut))
-            rows += cut
             b = b.slice(cut)
             if not b.num_rows:
                 continue
@@ -163,30 +221,49 @@ def _parse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield parsed(pa.Table.from_batches(held))
 
 
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of each phrase."""
+    for b in batches:
+        flat, offs = _windows(b["windows"])
+        size = np.diff(offs)
+        row = pa.array(np.repeat(np.arange(len(size)), size))
+        place = np.arange(len(flat)) - np.repeat(offs[:-1], size)
+        yield pa.RecordBatch.from_arrays([b["phrase"].take(row), pa.array(place.astype(np.int32)), pa.array(flat.astype(np.int64)), b["n"].take(row)], names=["phrase", "first", "window", "n"])
+
+
 def duplicate_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """``doc_id, key, pos, size, flags``: from window ``pos`` on, which of ``size`` windows occur elsewhere.
+    """``doc_id, key, pos, size``: from window ``pos`` on, ``size`` windows that occur elsewhere.
 
     ``key`` is a hash of the text, so rows that share a ``doc_id`` stay apart.
     """
     spark = documents.sparkSession
     runtime.arrow_limits(spark)
     docs = documents.select("doc_id", "text", _key().alias("key"))
-    flags = shared_anchors(docs, span)
+    flags = spark.sparkContext.broadcast(shared_anchors(docs, span))
     found = runtime.written(candidate_phrases(docs, flags, span), "phrases")
-    distinct = found.groupBy("phrase", "anchor", "lo", "windows").agg(F.count("*").alias("n"))
+    flags.destroy()
+    distinct = runtime.written(found.groupBy("phrase", "anchor", "lo", "windows").agg(F.count("*").alias("n")).select("phrase", "anchor", "windows", "n"), "distinct-phrases")
     runtime.arrow_limits(spark, 4096)
-    blocks = distinct.repartition("anchor").sortWithinPartitions("anchor").select("phrase", "anchor", "windows", "n")
-    held = runtime.written(blocks.mapInArrow(runtime.lean(_parse_blocks), "phrase long, size int, flags binary"), "factors")
-    return found.select("doc_id", "key", "pos", "phrase").join(held, "phrase").drop("phrase")
-
-
-def covered(n_words: int, parts: list[tuple[int, int, bytes]], span: int = SPAN) -> np.ndarray:
-    """Which words of a document its duplicate windows cover."""
+    hot = spark.sparkContext.broadcast(filters.build(distinct.groupBy("anchor").count().where(F.col("count") >= HOT), "anchor", 23))
+    is_hot = filters.passes(hot, "anchor")
+    blocks = distinct.where(~is_hot).repartition("anchor").sortWithinPartitions("anchor")
+    parsed = blocks.mapInArrow(runtime.lean(_parse_blocks), _FACTORS)
+    single = runtime.reread(distinct).where(is_hot).mapInArrow(runtime.lean(_single_windows), "phrase long, first int, window long, n long")
+    again = single.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+    counted = single.join(again.hint("merge"), "window").select("phrase", "first", F.lit(1).alias("size"))
+    held = runtime.written(parsed.unionByName(counted), "factors")
+    hot.destroy()
+    runtime.discard(spark, distinct.shared_path)
+    return found.select("doc_id", "key", "pos", "phrase").join(held.hint("merge"), "phrase").select("doc_id", "key", (F.col("pos") + F.col("first")).alias("pos"), "size")
+
+
+def covered(n_words: int, parts: list[tuple[int, int]], span: int = SPAN) -> np.ndarray:
+    """Which words of a document its duplicate windows (the first, and how many) cover."""
     edge = np.zeros(n_words + 1, np.int64)
-    for pos, size, flags in parts:
-        at = pos + np.flatnonzero(np.unpackbits(np.frombuffer(flags, np.uint8), count=size, bitorder="little"))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + span, -1)
+    if parts:
+        pos, size = np.array(parts).T
+        np.add.at(edge, pos, 1)
+        np.add.at(edge, pos + size - 1 + span, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -205,31 +282,24 @@ def split_by_parts(documents: DataFrame, span: int = SPAN) -> tuple[DataFrame, D
     spark = documents.sparkSession
     name, own, key, left_id, left_key = runtime.fresh(documents, "parts", "own", "key", "left_id", "left_key")
     found = duplicate_windows(runtime.need(documents, "doc_id", "text"), span)
-    parts = runtime.written(found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "size", "flags")).alias("parts")), "spans")
+    # A set, since rows that are repeated give the same parts.
+    parts = runtime.written(found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "size")).alias("parts")), "spans")
     shared = spark.sparkContext.broadcast(filters.build(parts.select(F.xxhash64("doc_id", "key").alias("own")), "own"))
     runtime.arrow_limits(spark)
-
-    def passing(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(filters.may_hold(shared.value, b[own].to_numpy()) == want)).select(names)
-
-        return run
-
     names = documents.columns
     rows = documents.withColumn(own, F.xxhash64("doc_id", _key()))
-    certain = rows.mapInArrow(runtime.lean(passing(False)), documents.schema)
-    asked = rows.mapInArrow(runtime.lean(passing(True)), documents.schema).withColumn(key, _key())
+    certain = rows.where(~filters.passes(shared, own)).select(names)
+    asked = rows.where(filters.passes(shared, own)).select(*names, _key().alias(key))
     marks = parts.select(F.col("doc_id").alias(left_id), F.col("key").alias(left_key), F.col("parts").alias(name))
-    joined = asked.join(marks, asked["doc_id"].eqNullSafe(marks[left_id]) & (asked[key] == marks[left_key]), "left")
+    joined = asked.join(marks.hint("merge"), asked["doc_id"].eqNullSafe(marks[left_id]) & (asked[key] == marks[left_key]), "left")
     return certain, joined.select(*names, name), name
 
 
-def _parts(column: pa.Array, i: int) -> list[tuple[int, int, bytes]]:
-    return [(x["pos"], x["size"], x["flags"]) for x in column[i].as_py() or []]
+def _parts(column: pa.Array, i: int) -> list[tuple[int, int]]:
+    return [(x["pos"], x["size"]) for x in column[i].as_py() or []]
 
 
-def _kept(raw: bytes, parts: list[tuple[int, int, bytes]], span: int) -> tuple[list[bytes], int]:
+def _kept(raw: bytes, parts: list[tuple[int, int]], span: int) -> tuple[list[bytes], int]:
     """Words that stay, and how many there were; bytes are split at the same blanks."""
     all_of = raw.split()
     if not parts:
