@@ -6,8 +6,10 @@ with an L2 penalty is fitted on the scaled features.
 
 Rows: a null or empty text has no features and gets the score of the intercept.
 A document with several labels teaches each of them. Without labels of both
-kinds every score is the share of toxic labels (0 if there are none). Ids,
-languages and sources are never features.
+kinds every score is the share of toxic labels, within 1e-6 of 0 and 1 (1e-6 if
+there are none). Rows that repeat a document or a label may exceed the sample's
+bound of documents; its texts are bounded by ``MAX_CHARS`` as well: beyond them a
+sample is drawn more thinly. Ids, languages and sources are never features.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from .langid import held_out
 
 #: Orders of the n-grams, and bits of their hash.
 ORDERS, BITS = (4, 5, 6), 20
-#: Bound of the fitted sample: documents of each label, chosen by a hash of their id.
-MAX_DOCS = 3000
+#: Bound of the fitted sample: documents of each label, chosen by a hash of their id, and characters of all.
+MAX_DOCS, MAX_CHARS = 3000, 24 << 20
 #: N-grams in fewer fitted documents, or with a flatter ratio, carry no weight.
 MIN_DOCS, MIN_RATIO = 5, 0.7
 SMOOTHING, PENALTY, ROUNDS = 1.0, 1e-3, 300
@@ -52,12 +54,17 @@ def present(codes: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str | None], toxic: np.ndarray, prior: float) -> ToxicModel:
     """Fit on texts in memory; ``prior`` is the share of toxic documents outside the sample."""
+    return fit_features([present(text.folded([t])[0]) for t in texts], toxic, prior)
+
+
+def fit_features(features: list[np.ndarray], toxic: np.ndarray, prior: float) -> ToxicModel:
+    """The same for the distinct buckets of each text."""
     toxic = toxic.astype(bool)
     if not toxic.any() or toxic.all():
         return ToxicModel(np.zeros(1 << BITS, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
     df = np.zeros((2, 1 << BITS), np.int32)
-    for t, y in zip(texts, toxic, strict=True):
-        df[int(y), present(text.folded([t])[0])] += 1
+    for f, y in zip(features, toxic, strict=True):
+        df[int(y), f] += 1
     n0, n1 = int((~toxic).sum()), int(toxic.sum())
     ratio = np.log((df[1] + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((df[0] + SMOOTHING) / (n0 + 2 * SMOOTHING))
     kept = (df.sum(0) >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO)
@@ -65,8 +72,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, prior: float) -> ToxicModel:
     ids = np.flatnonzero(kept)
     column = np.full(1 << BITS, -1, np.int32)
     column[ids] = np.arange(len(ids), dtype=np.int32)
-    # Features are made again rather than kept: most n-grams carry no weight.
-    rows = [c[c >= 0] for t in texts for c in (column[present(text.folded([t])[0])],)]
+    rows = [c[c >= 0] for f in features for c in (column[f],)]
     size = np.array([len(r) for r in rows])
     col = np.concatenate([*rows, np.empty(0, np.int32)])
     del rows
@@ -95,32 +101,43 @@ def fit(texts: list[str | None], toxic: np.ndarray, prior: float) -> ToxicModel:
     return ToxicModel(weights, float(b))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> ToxicModel:
+def train(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> ToxicModel:
     """Fit on the documents that ``labels`` marks.
 
-    The sample is bounded: about ``max_docs`` documents of each label, by a hash
-    of the id, weighted back to the shares of all labels.
+    The sample is bounded: about ``max_docs`` documents of each label and
+    ``max_chars`` characters, by a hash of the id, weighted back to the shares of
+    all labels.
     """
     marks = runtime.need(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, F.lit(min(1.0, max_docs / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, max_docs / max(1, sizes.get(0, 0))))) * 1_000_000
-    # The sample's ids are bounded by max_docs, so they may be broadcast and no text is shuffled
-    # but the sample's, which one task fits; only the weights reach the driver.
-    sample = runtime.need(documents, "doc_id", "text").join(F.broadcast(marks.where(chosen)), "doc_id")
+    # The sample's ids are bounded by max_docs, so they may be broadcast, and no text is shuffled.
+    # Tasks cut the texts into n-grams; one task fits on those; only the weights reach the driver.
+    sample = runtime.written(runtime.need(documents, "doc_id", "text").join(F.broadcast(marks.where(chosen)), "doc_id").select("doc_id", "toxic", "text"), "labelled-sample")
+    chars = sample.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > max_chars:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < 1_000_000 * max_chars / chars)
     prior = sizes.get(1, 0) / max(1, total)
-    runtime.arrow_limits(documents.sparkSession)
+    runtime.arrow_limits(documents.sparkSession, 64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [present(text.folded([t])[0]).astype("<i4").tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(grams, pa.binary())], names=["doc_id", "toxic", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b["doc_id"].to_pylist(), b["toxic"].to_pylist(), b["text"].to_pylist(), strict=True)]
-        rows.sort(key=lambda r: (r[0], r[1], r[2] or ""))
-        model = fit([r[2] for r in rows], np.array([r[1] for r in rows]), prior)
+        rows = [r for b in batches for r in zip(b["doc_id"].to_pylist(), b["toxic"].to_pylist(), b["grams"].to_pylist(), strict=True)]
+        rows.sort()
+        model = fit_features([np.frombuffer(r[2], "<i4") for r in rows], np.array([r[1] for r in rows]), prior)
         at = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([at.astype("<i4").tobytes()]), pa.array([model.weights[at].astype("<f4").tobytes()])], names=["bias", "at", "weights"])
 
-    found = sample.select("doc_id", "toxic", "text").repartition(1).mapInArrow(runtime.lean(run), "bias double, at binary, weights binary").collect()
+    dealt = sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").repartition(documents.sparkSession.sparkContext.defaultParallelism)
+    grams = dealt.mapInArrow(runtime.lean(cut), "doc_id long, toxic int, grams binary")
+    found = grams.repartition(1).mapInArrow(runtime.lean(run), "bias double, at binary, weights binary").collect()
     if not found:  # an empty sample may have no task
-        return fit([], np.empty(0), prior)
+        return fit_features([], np.empty(0), prior)
     bias, at, weights = found[0]
     out = ToxicModel(np.zeros(1 << BITS, np.float32), bias)
     out.weights[np.frombuffer(at, "<i4")] = np.frombuffer(weights, "<f4")
