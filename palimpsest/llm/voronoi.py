@@ -5,12 +5,13 @@ greatest distance to the pivot, the k + 1 ids nearest to it) and of each group o
 queries (their greatest distance to the pivot, their greatest norm) bound the
 scores that a group can reach in a cell from above, and its k-th best score from
 below. A query goes only to the cells that can hold one of its best; cells and
-queries are dealt in blocks of bounded size, and each block keeps k rows for a
-query.
+queries are dealt in blocks of bounded size, a block of a cell is sent only to
+the blocks of queries that ask for it, and each meeting keeps k rows for a query.
 
 Rows: vectors that are null, empty, or hold null or non-finite components, and
 rows without an id, take no part. Vectors of another length than the query's are
-no candidates. Each repeated row is a candidate of its own, but rows with the
+no candidates; lengths beyond the ``LENGTHS`` commonest are one cell each, without
+bounds. Each repeated row is a candidate of its own, but rows with the
 query's id are not; an id that is repeated asks once, with its smallest vector.
 Equal scores go to the smaller id. An empty table gives no rows.
 """
@@ -28,14 +29,18 @@ from pyspark.sql import Window as W
 
 from . import runtime
 
-#: Pivots at most (they are collected and broadcast), and rows of a block.
-PIVOTS, BLOCK = 64, 4096
+#: Pivots of a length, as many as the square root of its rows over 4 within these bounds, and lengths with pivots; all are collected and broadcast.
+PIVOTS, MOST_PIVOTS, LENGTHS = 64, 512, 256
+#: Rows of a block, of queries or of a cell; routed rows that are sent together.
+BLOCK, ROUTED = 16384, 8192
 K, GRID = 10, 1024.0
+#: Components of pivots at most, over all lengths.
+PIVOT_VALUES = 1 << 22
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column whose lists have one length."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def integral(rows: DataFrame) -> DataFrame:
@@ -45,21 +50,25 @@ def integral(rows: DataFrame) -> DataFrame:
     return runtime.need(rows, "vec_id", "embedding").where("embedding is not null").where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def choose_pivots(rows: DataFrame, most: int = PIVOTS) -> dict[int, np.ndarray]:
-    """By vector length, pivots: at most ``most`` vectors each, the first by a hash of the id."""
+def choose_pivots(rows: DataFrame, least: int = PIVOTS, most: int = MOST_PIVOTS) -> dict[int, np.ndarray]:
+    """By vector length, for the commonest lengths, the pivots: the first vectors by a hash of the id."""
     keyed = rows.withColumn("d", F.size("v")).withColumn("h", F.xxhash64("vec_id"))
+    common = keyed.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(LENGTHS).collect()
+    room = PIVOT_VALUES // max(1, len(common))
+    want = {r["d"]: min(most, max(least, int(r["n"] ** 0.5) // 4), max(1, room // r["d"])) for r in common if r["d"] <= room}
+    if not want:
+        return {}
     order = W.partitionBy("d").orderBy("h", "vec_id", "v")
-    found = keyed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("d", "v").collect()
+    limit = F.create_map(*[F.lit(x) for pair in want.items() for x in pair])[F.col("d")]
+    found = keyed.where(F.col("d").isin(list(want))).withColumn("i", F.row_number().over(order)).where(F.col("i") <= max(want.values())).where(F.col("i") <= limit).select("d", "v").collect()
     by: dict[int, list] = {}
     for r in found:
         by.setdefault(r["d"], []).append(r["v"])
-    if len(by) > 256:
-        raise ValueError("more than 256 vector lengths: the pivots have no bound")
     return {d: np.unique(np.array(v), axis=0) for d, v in by.items()}
 
 
 def assign(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Adds ``d`` (length), ``cell`` (nearest pivot) and ``dist`` to it."""
+    """Adds ``d`` (length), ``cell`` (nearest pivot) and ``dist`` to it; -1 and 0 for a length without pivots."""
     runtime.arrow_limits(rows.sparkSession, 4096)
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
@@ -68,10 +77,12 @@ def assign(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             size = np.diff(b["v"].offsets.to_numpy())
             for d in np.unique(size):
                 part = b.filter(pa.array(size == d))
-                x, p = _matrix(part["v"]), shared.value[int(d)]
-                gap = (x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * (x @ p.T)
-                cell = gap.argmin(1)
-                dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
+                x = _matrix(part["v"])
+                cell, dist = np.full(len(x), -1), np.zeros(len(x))
+                if (p := shared.value.get(int(d))) is not None:
+                    gap = (x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * (x @ p.T)
+                    cell = gap.argmin(1)
+                    dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([part["vec_id"], part["v"], pa.array(np.full(len(x), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(dist)], names=["vec_id", "v", "d", "cell", "dist"])
 
     return rows.mapInArrow(runtime.lean(run), "vec_id long, v array<double>, d int, cell int, dist double")
@@ -111,6 +122,7 @@ def needed_cells(own: pd.DataFrame, groups: pd.DataFrame, pivots: np.ndarray, k:
 def route(queries: DataFrame, own: pd.DataFrame, pivots: dict[int, np.ndarray], reach: dict[tuple[int, int], list[int]], k: int) -> DataFrame:
     """A row for each query and block of a cell that its own bounds cannot rule out."""
     shared = queries.sparkSession.sparkContext.broadcast((own, pivots, reach))
+    names = ["query_id", "q", "d", "cell", "part", "block"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_of, piv, cells_of = shared.value
@@ -128,31 +140,35 @@ def route(queries: DataFrame, own: pd.DataFrame, pivots: dict[int, np.ndarray],
                 for c in cells_of[q.d, q.cell]:
                     if upper[c] >= bound - 1e-6 * (1 + abs(bound)):
                         rows += [(q.vec_id, q.v, q.d, c, j, q.block) for j in range(-(-int(s.at[c, "n"]) // BLOCK))]
-            yield pd.DataFrame(rows, columns=["query_id", "q", "d", "cell", "part", "block"])
+                if len(rows) >= ROUTED:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return queries.mapInPandas(run, "query_id long, q array<double>, d int, cell int, part int, block int")
 
 
 def _solve(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """The k best rows of one block for each query of another."""
-        out = []
+        out = [np.empty((3, 0), np.int64)]
         if len(left) and len(right):
-            x, ids = np.stack(right["v"]), right["vec_id"].to_numpy()
+            asked, ids = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
             order = np.argsort(ids, kind="stable")
-            x, ids = x[order], ids[order]
+            x, ids = _matrix(right["v"])[order], ids[order]
+            all_q = _matrix(left["q"])
             for lo in range(0, len(left), 256):
-                q = np.stack(left["q"].iloc[lo : lo + 256])
+                q = all_q[lo : lo + 256]
                 exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1] < 2**53
                 scores = (q @ x.T).astype(np.int64) if exact else q.astype(np.int64) @ x.astype(np.int64).T
-                for i, qid in enumerate(left["query_id"].iloc[lo : lo + 256]):
-                    s = scores[i].copy()
+                for i, qid in enumerate(asked[lo : lo + 256]):
+                    s = scores[i]
                     mine = np.flatnonzero(ids != qid)
                     if len(mine) > k:  # rows below the k-th best score cannot count
                         mine = mine[s[mine] >= np.partition(s[mine], -k)[-k]]
                     best = mine[np.argsort(-s[mine], kind="stable")[:k]]
-                    out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                    out.append(np.stack([np.full(len(best), qid), ids[best], s[best]]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), np.concatenate(out, axis=1), strict=True)))
 
     return run
 
@@ -165,25 +181,24 @@ def topk_join(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     rows = integral(vectors)
     pivots = choose_pivots(rows)
-    if not pivots:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     cells = runtime.written(assign(rows, pivots), "voronoi-cells")
-    own = summaries(cells, k)
+    own = summaries(cells.where("cell >= 0"), k)
     asked = cells.where(is_query).groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("d"), "v", "cell", "dist")).alias("s")).select("vec_id", "s.*")
-    n_queries = asked.count()
-    blocks = max(1, -(-n_queries // BLOCK))
+    blocks = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    groups = asked.groupBy("d", "cell").agg(F.max("dist").alias("radius"), F.max(norm).alias("norm")).toPandas()
+    groups = asked.where("cell >= 0").groupBy("d", "cell").agg(F.max("dist").alias("radius"), F.max(norm).alias("norm")).toPandas()
     reach = {(d, g): c for d in pivots for g, c in needed_cells(own[own["d"] == d], groups[groups["d"] == d], pivots[d], k).items()}
-    left = route(asked, own, pivots, reach, k)
-    sizes = spark.createDataFrame(own[["d", "cell", "n"]].astype({"d": "int32", "cell": "int32"}), "d int, cell int, n long")
-    right = cells.join(F.broadcast(sizes), ["d", "cell"]).select(
-        "vec_id", "v", "d", "cell", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
+    sizes = runtime.written(cells.groupBy("d", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "cell-sizes")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    unbounded = asked.where("cell < 0").join(sizes, ["d", "cell"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "d", "cell", every, "block")
+    left = runtime.written(route(asked.where("cell >= 0"), own, pivots, reach, k).unionByName(unbounded), "routed-queries")
+    # A block of a cell is sent where a query asks for it, and nowhere else.
+    wanted = runtime.reread(left).select("d", "cell", "part", "block").distinct()
+    dealt = runtime.reread(cells).join(runtime.reread(sizes), ["d", "cell"]).select("vec_id", "v", "d", "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
+    right = dealt.join(wanted, ["d", "cell", "part"])
     key = ["d", "cell", "part", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_solve(k), "query_id long, vec_id long, score long")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_solve(k), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
