@@ -3,7 +3,10 @@
 A template is wording with two kinds of markup: ``<<optional>> ... <<end>>``
 around words that may be left out, and ``<<var N>>`` for up to N words of any
 kind. It is compiled into an automaton over tokens; a place in a text is
-accepted when all mandatory wording is there, word for word and in order.
+accepted when all mandatory wording is there, word for word and in order. There
+are notices and whole licences, whose replaceable regions are the parts that
+holders fill in. A text is tokenized only if it holds a chosen mandatory word of
+some template or phrase; the automata themselves tell which words are mandatory.
 
 Rows: null and empty texts have no words, labels are then empty strings and the
 score is 0. Repeated rows are scanned like any others. Only ``doc_id`` and
@@ -47,6 +50,26 @@ TEMPLATES = {
     "gpl-2.0": ["under the terms of the gnu general public license as published by the free software foundation <<optional>> either <<end>> version 2 <<optional>> of the license <<end>>"],
     "cc-by-nc-4.0": ["licensed under <<optional>> a <<end>> <<optional>> creative commons <<end>> cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"],
     "cc-by-4.0": ["licensed under <<optional>> a <<end>> <<optional>> creative commons <<end>> cc by 4 0", "creative commons attribution 4 0 international"],
+    "mit-text": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall <<var 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ],
+    "isc-text": [
+        "permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <<var 12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall <<var 12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ],
+    "bsd-2-clause-text": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<optional>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "this software is provided by <<var 20>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall <<var 20>> be liable for any direct indirect incidental special exemplary or consequential damages",
+    ],
     "bsd-3-clause": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var 120>> neither the name of <<var 12>> nor the names of its contributors may be used"],
     "isc": ["permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted"],
 }
@@ -79,6 +102,19 @@ class Automaton:
                     todo.append(t)
         return seen
 
+    def mandatory(self) -> list[bytes]:
+        """Words without which the automaton accepts nothing."""
+        words = {w for d in self.steps for w in d}
+        return [w for w in words if self.final not in self.reachable(w)]
+
+    def reachable(self, without: bytes) -> set[int]:
+        """States that can be reached if one word never comes."""
+        seen = todo = {0}
+        while todo:
+            todo = {t for s in todo for t in self.free[s] | self.wild[s] | {t for w, to in self.steps[s].items() if w != without for t in to}} - seen
+            seen = seen | todo
+        return seen
+
     def starts(self) -> set[bytes]:
         """Tokens that can begin an accepted place."""
         return {w for s in self.reach({0}) for w in self.steps[s]}
@@ -127,12 +163,19 @@ def automata() -> list[Automaton]:
 
 @cache
 def _plan() -> tuple[dict[bytes, list], list[bytes], list[tuple[list[bytes], str]]]:
-    """By first token the automata; words one of which every match holds; base phrases."""
+    """By first token the automata; parts of words one of which every match holds; base phrases."""
     by = {}
     for a in automata():
         for w in a.starts():
             by.setdefault(w, []).append(a)
-    return by, [b"licens", b"permission", b"redistribution", b"creative", b"gnu"], [(p.encode().split(), v) for p, v in PHRASES.items()]
+    phrases = [(p.encode().split(), v) for p, v in PHRASES.items()]
+    rare = {max(p, key=lambda w: (len(w), w)) for p, _ in phrases}
+    for a in automata():
+        words = a.mandatory()
+        if not any(w in v for w in rare for v in words):
+            # A template without a mandatory word would have to be tried on every text: the empty word is in each.
+            rare.add(max(words, key=lambda w: (len(w), w), default=b""))
+    return by, sorted(rare), phrases
 
 
 def scan(low: bytes) -> dict:
