@@ -8,7 +8,8 @@ Rows: a null page is an empty payload, and a page without a URL has no target
 header. Payloads of at least ``MIN_REVISIT`` bytes that are equal have one
 response, the page with the largest id (each row of it, if it is repeated);
 others are revisits of it. Pages without an id are revisits if an equal page has
-one. An empty table makes no file.
+one. An empty table makes no file. The normaliser takes records without a
+Content-Length as damage and raises ValueError, as for anything that is no record.
 """
 
 from __future__ import annotations
@@ -80,7 +81,10 @@ def parse(raw: bytes) -> tuple[Record, int] | None:
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])]
-    size = int(next(v for k, v in fields if k.lower() == "content-length"))
+    size = next((v for k, v in fields if k.lower() == "content-length"), "")
+    if not size.isdecimal():
+        raise ValueError("a WARC record without a length")
+    size = int(size)
     if len(raw) < end + 4 + size + 4:
         return None
     return Record(fields, bytes(raw[end + 4 : end + 4 + size])), end + 8 + size
