@@ -85,7 +85,7 @@ def test_links_threshold_is_exact():
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(500, 500), (-5, 7), (i, i + 1) if False else (7, 8)]
-    edges += [(1000 + i, 1001 + i) for i in range(60)]
+    edges += [(1000 + i, 1001 + i) for i in range(200)] + [(4000, 4001 + i) for i in range(300)] + [(600, 600)] * 3
     up = {x: x for e in edges for x in e}
 
     def find(x):
@@ -101,6 +101,17 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_forest_names_the_least_node_of_each_component():
+    r = np.random.default_rng(4)
+    a, b = r.integers(0, 60, 45), r.integers(0, 60, 45)
+    nodes, roots = components.forest(a, b)
+    up = {x: x for x in nodes.tolist()}
+    for _ in range(60):
+        for x, y in zip(a.tolist(), b.tolist()):
+            up[x] = up[y] = min(up[x], up[y])
+    assert up == dict(zip(nodes.tolist(), roots.tolist()))
+
+
 def test_filter_misses_nothing(spark):
     keys = [random.Random(2).randrange(-(2**63), 2**63) for _ in range(500)]
     flags = filters.build(spark.createDataFrame([(k,) for k in keys] + [(None,)], "k long"), "k", 20)
@@ -121,6 +132,41 @@ def repeated_windows(rows, span):
         yield d, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()
 
 
+def plain_factors(phrases, times):
+    """Greedy factors by trying every length at every place."""
+    for p, (w, n) in enumerate(zip(phrases, times)):
+        i = 0
+        while i < len(w):
+            best = len(w) - i if n > 1 else max(
+                k for k in range(len(w) - i + 1)
+                if not k or any(v[j : j + k] == w[i : i + k] for q, v in enumerate(phrases) for j in range(len(v) - k + 1) if (p, i) != (q, j))
+            )
+            if best:
+                yield p, i, best
+            i += max(1, best)
+
+
+@pytest.mark.parametrize("letters", [2, 5, 40])
+def test_factors_are_greedy_and_longest(letters):
+    r = random.Random(letters)
+    phrases = [[r.randrange(letters) for _ in range(r.randint(0, 28))] for _ in range(25)]
+    times = [r.choice([1, 1, 1, 2]) for _ in phrases]
+    offs = np.concatenate([[0], np.cumsum([len(w) for w in phrases])])
+    got = substrings.factors(np.array([x for w in phrases for x in w], np.uint64), offs, np.array(times))
+    assert list(zip(*(x.tolist() for x in got))) == list(plain_factors(phrases, times))
+
+
+@pytest.mark.parametrize("hot, indexed", [(1, 20_000), (3, 2), (2048, 5)])
+def test_substrings_do_not_depend_on_hot_anchors_or_block_sizes(spark, monkeypatch, hot, indexed):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "INDEXED", indexed)
+    line = samples.words(60, 12)  # a common line in ever other contexts, twice in an equal one
+    rows = [(i, " ".join(samples.words(400 + i, 15) + line + samples.words(500 + i % 25, 15)), None, None, 0) for i in range(30)]
+    rows += samples.documents() + [(900, "x " * 90, None, None, 0)]
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.digests(samples.frame(spark, rows), 20).collect())
+    assert got == sorted((d or 0, a, b, c) for d, a, b, c in repeated_windows([(r[0], r[1]) for r in rows], 20))
+
+
 @pytest.mark.parametrize("span", [35, 9])
 def test_substrings_equal_a_plain_count(spark, span):
     rows = samples.documents() + near_copies(60, 8) + [(900, "x " * 90, None, None, 0), (901, "a b " * 40, None, None, 0)]
@@ -271,7 +317,20 @@ def test_voronoi_equals_all_pairs(spark, monkeypatch, block):
     assert voronoi.topk_join(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
-@pytest.mark.parametrize("copies, spread", [(1, False), (2, False), (11, True)])
+def test_voronoi_with_more_lengths_than_have_pivots(spark, monkeypatch):
+    monkeypatch.setattr(voronoi, "LENGTHS", 2)
+    monkeypatch.setattr(voronoi, "BLOCK", 7)
+    rows = [(i, [float(x) for x in np.random.default_rng(i).integers(-9, 9, 1 + i % 5) / 8], 0) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in voronoi.topk_join(df, F.col("vec_id") % 10 == 0).collect())
+    want = []
+    for q, v, _ in rows[::10]:
+        best = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(v, x)), i) for i, x, _ in rows if i != q and len(x) == len(v))[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("copies, spread", [(1, False), (2, False), (11, True), (20, False)])
 def test_voronoi_with_a_query_id_that_is_repeated(spark, copies, spread):
     rows = vectors(20, 3)
     large = [9.0 * x for x in vectors(1, 12)[0][1]]
@@ -318,6 +377,13 @@ def test_gzip_streams_of_several_members_and_broken_ones():
         list(warc.records(warc.inflated(io.BytesIO(raw[:-30]))))
 
 
+def test_records_without_a_length_are_damage():
+    with pytest.raises(ValueError, match="without a length"):
+        list(warc.records(iter([b"WARC/1.1\r\nWARC-Type: response\r\n\r\nxx\r\n\r\n"])))
+    with pytest.raises(ValueError, match="not a WARC record"):
+        list(warc.records(iter([b"hello\r\n\r\n"])))
+
+
 def test_phrase_hashes_agree_for_equal_windows():
     w = samples.words(3, 80)
     (_, _, buf, offs), = text.doc_slices(pa.array([" ".join(w), " ".join(["x", "y", *w[10:70]])]))

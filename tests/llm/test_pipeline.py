@@ -36,6 +36,23 @@ def test_stages_keep_columns_and_act(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == counts[-1]
 
 
+def tables(spark, folder, rows, marks, items):
+    docs = samples.frame(spark, rows)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    tables(spark, f"{tmp_path}/none", [], [], [])
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rows = samples.documents()
+    tables(spark, f"{tmp_path}/some", rows, [], [(1, None), (2, "")])
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in pipeline.run(spark, f"{tmp_path}/some").collect())
+    gone = {11, 12, 13, 32, 34}  # copies and near copies of 10, 31 and 33
+    assert got == [(False, i) for i in sorted({r[0] for r in rows if r[0] is not None} - gone - {60})] + [(True, 0)]
+
+
 def test_registry_names_every_operator():
     registry = importlib.import_module("palimpsest.llm.registry")
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
