@@ -2,32 +2,39 @@
 
 Intermediate tables go to the folder that ``spark.checkpoint.dir`` names, which
 the driver and all executors share; a temporary folder is used only where the
-setting is absent (local tests).
+setting is absent and everything runs on one machine (local tests).
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 
 #: Rows of an Arrow batch sent to Python. Texts can be long, so it is small.
 BATCH_ROWS = 1024
+#: The JVM's command that returns the C library's free memory; seconds between two uses.
+TRIM, RELIEF_S = "systemTrimNativeHeap", 5.0
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from the session's settings."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "palimpsest-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,11 +65,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("parquet.block.size", 16 << 20).parquet(path)  # a task buffers a row group
+    relieve(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
 
 
+_relieved = 0.0
+
+
+def relieve(spark: SparkSession) -> None:
+    """Have the driver drop what nothing refers to any more, and return free native memory; every few seconds at most.
+
+    Shuffles and broadcasts of finished steps are removed when the driver collects
+    its garbage. Operators of many small jobs start hundreds of short-lived threads
+    there, whose allocations the C library keeps; a JVM without a command to return
+    them is left alone.
+    """
+    global _relieved
+    if time.monotonic() - _relieved < RELIEF_S:
+        return
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    gateway = spark.sparkContext._gateway
+    jvm, kind = gateway.jvm, gateway.jvm.java.lang.Class.forName
+
+    def called(method: str, *given: tuple[str, object]):
+        # By reflection on the public interface: the server's own class is not accessible.
+        kinds, values = gateway.new_array(jvm.java.lang.Class, len(given)), gateway.new_array(jvm.java.lang.Object, len(given))
+        for i, (k, v) in enumerate(given):
+            kinds[i], values[i] = kind(k), v
+        return kind("javax.management.MBeanServer").getMethod(method, kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+    commands = ("javax.management.ObjectName", jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"))
+    if called("isRegistered", commands) and any(x.getName() == TRIM for x in called("getMBeanInfo", commands).getOperations()):
+        called("invoke", commands, ("java.lang.String", TRIM), ("[Ljava.lang.Object;", None), ("[Ljava.lang.String;", None))
+    _relieved = time.monotonic()
+
+
 def reread(df: DataFrame) -> DataFrame:
     """A table of ``written`` anew, so that it can be joined or cogrouped with itself."""
     out = df.sparkSession.read.schema(df.schema).parquet(df.shared_path)
@@ -81,22 +121,38 @@ def discard(spark: SparkSession, path: str) -> None:
 KEPT: dict[str, Callable[[], None]] = {}
 
 
-def lean(run, keep: str = ""):
-    """A batch function after which the worker gives back the memory it no longer uses; workers live on.
+def prepare(keep: str) -> None:
+    """Drop what other operators kept in this worker."""
+    for name, drop in KEPT.items():
+        if name != keep:
+            drop()
+
+
+def release(*shared: Broadcast) -> None:
+    """Give back what a worker no longer uses at the end of a task; workers live on.
+
+    Values of the broadcasts given are dropped, to be read again by the next task.
+    """
+    for b in shared:
+        b.__dict__.pop("_value", None)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run, keep: str = "", shared: tuple[Broadcast, ...] = ()):
+    """A function of batches after which the worker gives back memory.
 
-    What other operators kept in the worker is dropped before it starts.
+    What other operators kept in the worker is dropped before it starts; module
+    functions do that, so that it is the worker's own and not a copy sent to it.
     """
 
     def wrapped(batches):
-        for name, drop in KEPT.items():
-            if name != keep:
-                drop()
+        prepare(keep)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            release(*shared)
 
     return wrapped
 

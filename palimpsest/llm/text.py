@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import runtime
+
 SLICE_BYTES = 1 << 19
 U = np.uint64
 
@@ -35,6 +37,7 @@ def _bytes_table(seed: int) -> np.ndarray:
 #: The base of all prefix hashes; one table of its powers serves words and windows.
 BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
+runtime.KEPT["powers"] = _POWERS.clear
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
