@@ -41,7 +41,7 @@ WALKS, TABLES, SAMPLES = 6, 16, 4
 #: Items of one broadcast, and characters of them; more items take further passes.
 ITEMS, ITEM_CHARS = 20_000, 32 << 20
 #: Windows that are embedded together, and words of them (a single window may have more).
-TOGETHER, CELLS = 20_000, 2_000_000
+TOGETHER, CELLS = 20_000, 500_000
 
 U = np.uint64
 

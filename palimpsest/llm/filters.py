@@ -1,12 +1,13 @@
-"""A one-hash filter of fixed size: which of many 64-bit keys may be in a set.
+"""A one-hash filter of bounded size: which of many 64-bit keys may be in a set.
 
-It never misses a key of the set and lets some others pass. Its size does not
-depend on the data, so it may be broadcast; what passes it is decided exactly
+It never misses a key of the set and lets some others pass. Its size follows the
+input's within bounds, so it may be broadcast; what passes it is decided exactly
 afterwards.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,18 +18,23 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-#: Bits of the filter: 2**27 are 16 MB, 2**30 (the most that ``bits_for`` gives) 128 MB.
-BITS, MOST_BITS, PAGE = 27, 30, 16
+#: Bits of a filter: 2**20 are 128 KB, 2**30 are 128 MB; bits of a page.
+LEAST_BITS, MOST_BITS, PAGE = 20, 30, 16
+#: Bytes of a table for each bit of a filter, as a power of 2: of its shingles, its phrases' anchors, its rows.
+SHINGLES, ANCHORS, ROWS = 1, 3, 6
 
 
-def bits_for(table: DataFrame) -> int:
-    """Bits for keys from a table: more for tables beyond 32 GB, within the bound."""
-    return min(MOST_BITS, max(BITS, BITS + (runtime.size_hint(table) >> 35).bit_length()))
+def bits_for(table: DataFrame, each: int) -> int:
+    """Bits for keys from a table, by its size, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, (runtime.size_hint(table) >> each).bit_length()))
 
 
-def build(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """The filter of a column of longs, made page by page on the executors."""
-    runtime.arrow_limits(keys.sparkSession)
+def build(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The filter of a column of longs, made page by page on the executors.
+
+    Batches are large here; callers set their own limit again.
+    """
+    runtime.arrow_limits(keys.sparkSession, 1 << 16)
     bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     rows = keys.select(bit.alias("bit")).where("bit is not null")
 
@@ -62,7 +68,10 @@ def may_hold(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def passes(shared: Broadcast, column: str) -> Column:
     """Whether a column of longs passes a broadcast filter; other columns of the rows stay in the JVM."""
 
-    def run(keys: pa.Array) -> pa.Array:
-        return pa.array(may_hold(shared.value, keys.to_numpy()))
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for keys in parts:
+            yield pa.array(may_hold(shared.value, keys.to_numpy()))
 
-    return F.arrow_udf(run, "boolean")(column)
+    # The annotations of the wrapped function tell Spark what it takes and gives.
+    whole = functools.wraps(run)(runtime.lean(run, shared=(shared,)))
+    return F.arrow_udf(whole, "boolean")(column)

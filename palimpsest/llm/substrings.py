@@ -95,7 +95,7 @@ def shared_anchors(documents: DataFrame, span: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
     counted = documents.select("text").mapInArrow(runtime.lean(run), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    return filters.build(counted.where("n > 1"), "anchor", filters.bits_for(documents))
+    return filters.build(counted.where("n > 1"), "anchor", filters.bits_for(documents, filters.ANCHORS))
 
 
 _PHRASES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int32()), ("phrase", pa.int64()), ("anchor", pa.int64()), ("lo", pa.int32()), ("windows", pa.binary())])
@@ -122,7 +122,7 @@ def candidate_phrases(documents: DataFrame, shared: Broadcast, span: int) -> Dat
                 windows = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((upto * 8).astype(np.int32).tobytes()), pa.py_buffer(flat.astype("<u8").tobytes())])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(keys[doc]), pa.array(p["pos"][keep].astype(np.int32)), pa.array(phrase.astype(np.int64)), pa.array(anchor.astype(np.int64)), pa.array(off.astype(np.int32)), windows], schema=_PHRASES)
 
-    return documents.mapInArrow(runtime.lean(run), "doc_id long, key long, pos int, phrase long, anchor long, lo int, windows binary")
+    return documents.mapInArrow(runtime.lean(run, shared=(shared,)), "doc_id long, key long, pos int, phrase long, anchor long, lo int, windows binary")
 
 
 def suffix_ranks(symbols: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -221,14 +221,21 @@ def _parse_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield parsed(pa.Table.from_batches(held))
 
 
-def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of each phrase."""
-    for b in batches:
-        flat, offs = _windows(b["windows"])
-        size = np.diff(offs)
-        row = pa.array(np.repeat(np.arange(len(size)), size))
-        place = np.arange(len(flat)) - np.repeat(offs[:-1], size)
-        yield pa.RecordBatch.from_arrays([b["phrase"].take(row), pa.array(place.astype(np.int32)), pa.array(flat.astype(np.int64)), b["n"].take(row)], names=["phrase", "first", "window", "n"])
+def _single_windows(shared: Broadcast):
+    """A row for each window of each phrase whose anchor passes a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(filters.may_hold(shared.value, b["anchor"].to_numpy())))
+            if not b.num_rows:
+                continue
+            flat, offs = _windows(b["windows"])
+            size = np.diff(offs)
+            row = pa.array(np.repeat(np.arange(len(size)), size))
+            place = np.arange(len(flat)) - np.repeat(offs[:-1], size)
+            yield pa.RecordBatch.from_arrays([b["phrase"].take(row), pa.array(place.astype(np.int32)), pa.array(flat.astype(np.int64)), b["n"].take(row)], names=["phrase", "first", "window", "n"])
+
+    return run
 
 
 def duplicate_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -240,15 +247,15 @@ def duplicate_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
     runtime.arrow_limits(spark)
     docs = documents.select("doc_id", "text", _key().alias("key"))
     flags = spark.sparkContext.broadcast(shared_anchors(docs, span))
+    runtime.arrow_limits(spark)
     found = runtime.written(candidate_phrases(docs, flags, span), "phrases")
     flags.destroy()
     distinct = runtime.written(found.groupBy("phrase", "anchor", "lo", "windows").agg(F.count("*").alias("n")).select("phrase", "anchor", "windows", "n"), "distinct-phrases")
-    runtime.arrow_limits(spark, 4096)
     hot = spark.sparkContext.broadcast(filters.build(distinct.groupBy("anchor").count().where(F.col("count") >= HOT), "anchor", 23))
-    is_hot = filters.passes(hot, "anchor")
-    blocks = distinct.where(~is_hot).repartition("anchor").sortWithinPartitions("anchor")
+    runtime.arrow_limits(spark, 4096)
+    blocks = distinct.where(~filters.passes(hot, "anchor")).repartition("anchor").sortWithinPartitions("anchor")
     parsed = blocks.mapInArrow(runtime.lean(_parse_blocks), _FACTORS)
-    single = runtime.reread(distinct).where(is_hot).mapInArrow(runtime.lean(_single_windows), "phrase long, first int, window long, n long")
+    single = runtime.reread(distinct).mapInArrow(runtime.lean(_single_windows(hot), shared=(hot,)), "phrase long, first int, window long, n long")
     again = single.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
     counted = single.join(again.hint("merge"), "window").select("phrase", "first", F.lit(1).alias("size"))
     held = runtime.written(parsed.unionByName(counted), "factors")
@@ -273,10 +280,11 @@ def spans_of(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def split_by_parts(documents: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame, str]:
-    """Rows that have no flagged window for certain, and the others with theirs (null if none) in a named column.
+def split_by_parts(documents: DataFrame, span: int = SPAN) -> tuple[Broadcast, DataFrame, DataFrame, str, str]:
+    """What tells rows with a flagged window apart: a filter and the rows with its key in a named column.
 
-    A filter of fixed size tells them apart, so texts without duplicate spans are
+    Then the rows that may have one, with theirs (null if none) in another named
+    column. Texts that the filter does not pass have no duplicate span and are
     never shuffled.
     """
     spark = documents.sparkSession
@@ -284,15 +292,14 @@ def split_by_parts(documents: DataFrame, span: int = SPAN) -> tuple[DataFrame, D
     found = duplicate_windows(runtime.need(documents, "doc_id", "text"), span)
     # A set, since rows that are repeated give the same parts.
     parts = runtime.written(found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "size")).alias("parts")), "spans")
-    shared = spark.sparkContext.broadcast(filters.build(parts.select(F.xxhash64("doc_id", "key").alias("own")), "own"))
+    shared = spark.sparkContext.broadcast(filters.build(parts.select(F.xxhash64("doc_id", "key").alias("own")), "own", filters.bits_for(documents, filters.ROWS)))
     runtime.arrow_limits(spark)
     names = documents.columns
     rows = documents.withColumn(own, F.xxhash64("doc_id", _key()))
-    certain = rows.where(~filters.passes(shared, own)).select(names)
     asked = rows.where(filters.passes(shared, own)).select(*names, _key().alias(key))
     marks = parts.select(F.col("doc_id").alias(left_id), F.col("key").alias(left_key), F.col("parts").alias(name))
     joined = asked.join(marks.hint("merge"), asked["doc_id"].eqNullSafe(marks[left_id]) & (asked[key] == marks[left_key]), "left")
-    return certain, joined.select(*names, name), name
+    return shared, rows, joined.select(*names, name), own, name
 
 
 def _parts(column: pa.Array, i: int) -> list[tuple[int, int]]:
@@ -312,18 +319,24 @@ def digests(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each document."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(b: pa.RecordBatch, parts_of) -> pa.RecordBatch:
+        rows = []
+        for i, t in enumerate(b["text"]):
+            kept, n = _kept((t.as_py() or "").encode("utf-8", "surrogatepass"), parts_of(i), span)
+            rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        return runtime.out_batch(schema, doc_id=b["doc_id"], n_words=[r[0] for r in rows], n_removed=[r[1] for r in rows], kept_sha256=[r[2] for r in rows])
+
+    def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, t in enumerate(b["text"]):
-                kept, n = _kept((t.as_py() or "").encode("utf-8", "surrogatepass"), _parts(b[parts], i), span)
-                rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield runtime.out_batch(schema, doc_id=b["doc_id"], n_words=[r[0] for r in rows], n_removed=[r[1] for r in rows], kept_sha256=[r[2] for r in rows])
-
-    certain, asked, parts = split_by_parts(runtime.need(documents, "doc_id", "text"), span)
-    none = certain.withColumn(parts, F.lit(None).cast(asked.schema[parts].dataType))
+            yield digest(b.filter(pa.array(~filters.may_hold(shared.value, b[own].to_numpy()))), lambda i: [])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield digest(b, lambda i, b=b: _parts(b[parts], i))
+
+    shared, rows, asked, own, parts = split_by_parts(runtime.need(documents, "doc_id", "text"), span)
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return none.mapInArrow(runtime.lean(run), kind).unionByName(asked.mapInArrow(runtime.lean(run), kind))
+    return rows.mapInArrow(runtime.lean(certain, shared=(shared,)), kind).unionByName(asked.mapInArrow(runtime.lean(judged), kind))
 
 
 def removed(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -343,8 +356,8 @@ def removed(documents: DataFrame, span: int = SPAN) -> DataFrame:
             columns = [pa.array(texts, b.schema.field("text").type) if n == "text" else b[n] for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    certain, asked, parts = split_by_parts(documents, span)
-    return certain.unionByName(asked.mapInArrow(runtime.lean(run), documents.schema))
+    shared, rows, asked, own, parts = split_by_parts(documents, span)
+    return rows.where(~filters.passes(shared, own)).select(names).unionByName(asked.mapInArrow(runtime.lean(run), documents.schema))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
