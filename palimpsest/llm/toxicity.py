@@ -7,14 +7,13 @@ with an L2 penalty is fitted on the scaled features.
 Rows: a null or empty text has no features and gets the score of the intercept.
 A document with several labels teaches each of them. Without labels of both
 kinds every score is the share of toxic labels, within 1e-6 of 0 and 1 (1e-6 if
-there are none). Rows that repeat a document or a label may exceed the sample's
-bound of documents; its texts are bounded by ``MAX_CHARS`` as well: beyond them a
-sample is drawn more thinly. Ids, languages and sources are never features.
+there are none). Labels that repeat count once; documents that repeat each teach.
+Ids, languages and sources are never features.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,12 +51,33 @@ def present(codes: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([b[: max(0, len(codes) - n + 1)] for n, b in text.gram_buckets(codes, ORDERS, BITS)]))
 
 
+def packed(buckets: np.ndarray) -> bytes:
+    """Sorted buckets in two bytes each, after the numbers of those in each range of 2**16."""
+    return np.bincount(buckets >> 16, minlength=1 << (BITS - 16)).astype("<u4").tobytes() + buckets.astype("<u2").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """The buckets again."""
+    n = 1 << (BITS - 16)
+    return np.repeat(np.arange(n) << 16, np.frombuffer(raw, "<u4", n)) | np.frombuffer(raw, "<u2", offset=4 * n)
+
+
+class Packed:
+    """The buckets of several texts, unpacked one text at a time."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.raw = raw
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return map(unpacked, self.raw)
+
+
 def fit(texts: list[str | None], toxic: np.ndarray, prior: float) -> ToxicModel:
     """Fit on texts in memory; ``prior`` is the share of toxic documents outside the sample."""
-    return fit_features([present(text.folded([t])[0]) for t in texts], toxic, prior)
+    return fit_features(Packed([packed(present(text.folded([t])[0])) for t in texts]), toxic, prior)
 
 
-def fit_features(features: list[np.ndarray], toxic: np.ndarray, prior: float) -> ToxicModel:
+def fit_features(features: Iterable[np.ndarray], toxic: np.ndarray, prior: float) -> ToxicModel:
     """The same for the distinct buckets of each text."""
     toxic = toxic.astype(bool)
     if not toxic.any() or toxic.all():
@@ -108,7 +128,7 @@ def train(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max
     ``max_chars`` characters, by a hash of the id, weighted back to the shares of
     all labels.
     """
-    marks = runtime.need(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)")
+    marks = runtime.need(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").distinct()
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, F.lit(min(1.0, max_docs / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, max_docs / max(1, sizes.get(0, 0))))) * 1_000_000
@@ -123,13 +143,13 @@ def train(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [present(text.folded([t])[0]).astype("<i4").tobytes() for t in b["text"].to_pylist()]
+            grams = [packed(present(text.folded([t])[0])) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(grams, pa.binary())], names=["doc_id", "toxic", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b["doc_id"].to_pylist(), b["toxic"].to_pylist(), b["grams"].to_pylist(), strict=True)]
         rows.sort()
-        model = fit_features([np.frombuffer(r[2], "<i4") for r in rows], np.array([r[1] for r in rows]), prior)
+        model = fit_features(Packed([r[2] for r in rows]), np.array([r[1] for r in rows]), prior)
         at = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([at.astype("<i4").tobytes()]), pa.array([model.weights[at].astype("<f4").tobytes()])], names=["bias", "at", "weights"])
 
