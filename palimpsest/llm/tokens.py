@@ -7,8 +7,9 @@ the file share. Files get their final name by a rename, so a task that runs
 twice leaves the same files; a manifest table names those that count.
 
 Rows: a null text is an empty one and has the end id only. Rows that repeat a
-``doc_id`` (or lack it; those come first) are kept, ordered by their text. An
-empty table makes no file.
+``doc_id`` (or lack it; those come first) are kept, ordered by the first ``HEAD``
+characters of their text, and within a task by all of it; very many of them are
+dealt to several tasks. An empty table makes no file.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from . import rans, runtime, text
 
 #: The id that ends each document, and ids of a file at most (longer documents get a file of their own).
 END_ID, FILE_IDS = 1, 4 << 20
+#: Characters of a text by which rows of one id are dealt, and parts into which equal ones are.
+HEAD, SALTS = 64, 256
 #: Words that the encoder remembers at most.
 MEMORY = 250_000
 
@@ -178,8 +181,9 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end_id: int
         if docs:
             yield flush()
 
-    rows = runtime.need(documents, "doc_id", "text")
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Range bounds have three keys, so that no single id or text is one task's.
+    rows = runtime.need(documents, "doc_id", "text").withColumns({"head": F.substring("text", 1, HEAD), "salt": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))})
+    dealt = rows.repartitionByRange("doc_id", "head", "salt").drop("head", "salt").sortWithinPartitions("doc_id", "text")
     return runtime.written(dealt.mapInArrow(runtime.lean(run, "tokens"), MANIFEST), "token-manifest")
 
 
