@@ -36,7 +36,7 @@ def documents() -> list[tuple]:
     texts[41] = ""
     texts[42] = " \n\t "
     texts[43] = "漢字 🎉 ▁   x"
-    texts[50] = " ".join(words(8, 6000))
+    texts[50] = " ".join(words(8, 20_000))
     rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
     return [*rows, (11, texts[11], "en", "s", 1), (60, texts[20], None, None, None), (None, "no number here", "en", "s", 3)]
 

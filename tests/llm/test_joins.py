@@ -55,10 +55,11 @@ def near_copies(n: int, seed: int) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_jaccard_components_equal_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, common", [(2048, 200), (3, 3), (2048, 2)])
+def test_jaccard_components_equal_all_pairs(spark, monkeypatch, block, common):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    rows = near_copies(150, block) + [r for r in samples.documents() if r[0] is not None]
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    rows = near_copies(150, block + common) + [r for r in samples.documents() if r[0] is not None]
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.labelled(samples.frame(spark, rows)).collect())
     assert got == sorted(grouped([(r[0], r[1]) for r in rows]))
 
