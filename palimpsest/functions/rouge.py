@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -95,17 +96,28 @@ def words(t: str | None) -> list[str]:
 
 def common(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(b))}
     row = np.zeros(len(b) + 1, np.int64)
-    right = np.array(b, dtype=object)
+    right = np.array([number[w] for w in b])
     for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(right == x, row[:-1] + 1, 0)))
+        if (k := number.get(x)) is not None:  # another word changes nothing
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(right == k, row[:-1] + 1, 0)))
     return int(row[-1])
 
 
 def f_measure(a: str | None, b: str | None) -> float:
-    x, y = words(a), words(b)
-    n = common(x, y) if x and y else 0
-    return 2.0 * n / (len(x) + len(y)) if n else 0.0
+    return _best(words(a), [words(b)])
+
+
+def _best(x: list[str], lines: list[list[str]]) -> float:
+    """The best F of some words with a line; lines whose shared words cannot reach it are not compared."""
+    own, best = Counter(x), 0.0
+    bounds = sorted(((2.0 * sum((own & Counter(y)).values()) / max(1, len(x) + len(y)), i) for i, y in enumerate(lines)), reverse=True)
+    for bound, i in bounds:
+        if bound <= best:
+            break
+        best = max(best, 2.0 * common(x, lines[i]) / (len(x) + len(lines[i])))
+    return best
 
 
 def best_f(fact: Column, lines: Column) -> Column:
@@ -117,8 +129,8 @@ def best_f(fact: Column, lines: Column) -> Column:
         out = []
         for f, ls in zip(facts, contexts, strict=True):
             own = set((f or "").lower().split())
-            near = [x for x in (ls if ls is not None else []) if own & set((x or "").lower().split())]
-            out.append(max((f_measure(f, x) for x in near), default=0.0))
+            near = [words(x) for x in (ls if ls is not None else []) if own & set((x or "").lower().split())]
+            out.append(_best(words(f), near))
         return pd.Series(out)
 
     return run(fact, lines)

@@ -47,6 +47,27 @@ def json_value(c: Column, path: str) -> Column:
     return F.coalesce(*[F.try_variant_get(F.try_parse_json(x), path, "string") for x in (fence_free(c), outer_braces(c))])
 
 
+def response_text(c: Column) -> Column:
+    """What a model said: of a JSON object the first of response, text and content that is not blank, else the text itself."""
+    whole = F.try_parse_json(F.trim(c))
+    picked = F.coalesce(*[F.nullif(F.trim(F.try_variant_get(whole, f"$.{k}", "string")), F.lit("")) for k in ("response", "text", "content")])
+    return F.when(F.trim(c).startswith("{") & whole.isNotNull(), picked).otherwise(F.trim(c))
+
+
+def only_memories(c: Column) -> Column:
+    """Why an extraction's JSON is refused (no object, other keys, no list of strings); null if it is right."""
+    whole = F.try_parse_json(fence_free(c))
+    keys = F.json_object_keys(fence_free(c))
+    listed = F.from_json(F.try_variant_get(whole, "$.memories", "string"), "array<string>", {"mode": "PERMISSIVE"})
+    kinds = F.schema_of_variant(F.try_variant_get(whole, "$.memories", "variant"))
+    return (
+        F.when(keys.isNull(), "not a JSON object")
+        .when(F.size(F.array_except(keys, F.array(F.lit("memories")))) > 0, "keys other than memories")
+        .when(~F.array_contains(keys, "memories"), "no memories")
+        .when(listed.isNull() | ~kinds.isin("ARRAY<STRING>", "ARRAY<VOID>"), "memories is not a list of strings")
+    )
+
+
 #: The tags that enclose thinking.
 THINKING_TAGS = ("think", "thinking", "redacted_thinking")
 _ANY_TAG = "(?:" + "|".join(THINKING_TAGS) + ")"

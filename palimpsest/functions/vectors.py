@@ -26,5 +26,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def clamp(c: Column) -> Column:
-    """Into 0 to 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Into 0 to 1; null stays."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import strings, vectors
@@ -47,16 +49,18 @@ TYPE_KEYWORDS = {
 
 WEIGHTS, THRESHOLD = (0.1, 0.1, 0.1, 0.1, 0.6), 0.55
 DECAY, TAIL, NO_UTILITY = 0.12, 64, 0.5
+#: Lines of context that a judge of utility sees, the last ones.
+CONTEXT_LINES = 40
 
 
 def parse_weights(given: str | None) -> tuple[float, ...]:
     """Five weights as CSV or a JSON list, scaled to sum 1; equal ones if blank."""
     if not given or not given.strip():
         return (0.2,) * 5
-    raw = json.loads(given) if given.strip().startswith("[") else given.split(",")
+    raw = json.loads(given) if given.strip().startswith("[") else [x for x in given.split(",") if x.strip()]
     w = [float(x) for x in raw]
-    if len(w) != 5 or min(w) < 0 or sum(w) <= 0:
-        raise ValueError("five weights, none negative, not all zero")
+    if len(w) != 5 or not all(math.isfinite(x) and x >= 0 for x in w) or sum(w) <= 0:
+        raise ValueError("five finite weights, none negative, not all zero")
     return tuple(x / sum(w) for x in w)
 
 
@@ -71,8 +75,8 @@ def type_of(text: Column) -> Column:
 
 
 def type_prior(text: Column, given: Column | None = None) -> Column:
-    """The prior of a fact's type, given or found."""
-    t = type_of(text) if given is None else F.coalesce(F.nullif(F.lower(F.trim(given)), F.lit("")), type_of(text))
+    """The prior of a fact's type: a given one (a blank one is unknown), else the one found."""
+    t = type_of(text) if given is None else F.coalesce(F.nullif(F.lower(F.trim(given)), F.lit("")), F.when(given.isNotNull(), "unknown"), type_of(text))
     priors = F.create_map(*[F.lit(x) for kv in TYPE_PRIORS.items() for x in kv])
     return F.coalesce(F.try_element_at(priors, t), F.lit(TYPE_PRIORS["unknown"]))
 
@@ -87,13 +91,19 @@ def confidence(fact: Column, context_lines: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(context_lines, lambda x: strings.word_f1(fact, x))), F.lit(0.0))
 
 
+def utility(said: Column) -> Column:
+    """A model's JSON answer as a number from 0 to 1; 0.5 for anything else."""
+    return F.coalesce(vectors.clamp(strings.json_value(said, "$.utility").try_cast("double")), F.lit(NO_UTILITY))
+
+
 def score(u: Column, c: Column, n: Column, r: Column, t: Column, weights: tuple[float, ...] = WEIGHTS) -> Column:
     return weights[0] * u + weights[1] * c + weights[2] * n + weights[3] * r + weights[4] * t
 
 
 def novelty_setwise(facts: DataFrame) -> DataFrame:
-    """``history_name, seq, novelty``: 1 less the best cosine to the 64 facts before; 1 for the first."""
+    """``history_name, seq, novelty``: 1 less the best cosine to the 64 rows before, by place; 1 for the first."""
+    order = W.partitionBy("history_name").orderBy("seq")
     v = facts.select("history_name", "seq", vectors.normalized(F.col("embedding")).alias("v"))
-    before = v.select("history_name", F.col("seq").alias("s"), F.col("v").alias("w"))
-    near = v.join(before, "history_name").where(f"s < seq and s >= seq - {TAIL}").groupBy("history_name", "seq").agg(F.max(vectors.dot(F.col("v"), F.col("w"))).alias("m"))
-    return v.select("history_name", "seq").join(near, ["history_name", "seq"], "left").select("history_name", "seq", F.coalesce(vectors.clamp(1 - F.col("m")), F.lit(1.0)).alias("novelty"))
+    near = v.withColumn("tail", F.collect_list("v").over(order.rowsBetween(-TAIL, -1)))
+    best = F.array_max(F.transform("tail", lambda w: vectors.dot(F.col("v"), w)))
+    return near.select("history_name", "seq", F.coalesce(vectors.clamp(1 - best), F.lit(1.0)).alias("novelty"))

@@ -7,6 +7,8 @@ bounds a task; histories are independent, so they spread over the cluster.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,6 +25,29 @@ def _unit(v) -> np.ndarray:
     return x / (n if n else 1.0)
 
 
+class _Vectors:
+    """Unit vectors by number, in one matrix that grows."""
+
+    def __init__(self) -> None:
+        self.held, self.used = np.empty((16, 0)), 0
+
+    def put(self, i: int, v: np.ndarray) -> None:
+        if not self.used:
+            self.held = np.empty((16, len(v)))
+        while i >= len(self.held):
+            self.held = np.concatenate([self.held, np.empty_like(self.held)])
+        self.held[i] = v
+        self.used = max(self.used, i + 1)
+
+    def similar(self, which: list[int], v: np.ndarray) -> np.ndarray:
+        return self.held[which] @ v
+
+
+def _rows(pdf: pd.DataFrame, *names: str) -> Iterator[tuple]:
+    """The named columns' values row by row; None for columns that are not there."""
+    return zip(*(pdf[n].tolist() if n in pdf else [None] * len(pdf) for n in names), strict=True)
+
+
 def folded(facts: DataFrame, fold, schema: str) -> DataFrame:
     """``fold`` over each history's rows sorted by ``seq``."""
     ship(facts.sparkSession)
@@ -38,17 +63,17 @@ def folded(facts: DataFrame, fold, schema: str) -> DataFrame:
 
 def admit(pdf: pd.DataFrame, weights: tuple[float, ...] = admission.WEIGHTS, threshold: float = admission.THRESHOLD) -> pd.DataFrame:
     """Facts with utility, confidence, recency, type_prior and embedding: novelty against what was admitted."""
-    kept: list[np.ndarray] = []
+    kept, n = _Vectors(), 0
     rows = []
-    for r in pdf.itertuples():
-        v = _unit(r.embedding)
-        tail = kept[-admission.TAIL :]
-        novelty = min(1.0, max(0.0, 1.0 - max(float(v @ w) for w in tail))) if tail else 1.0
-        s = float(np.dot(weights, (r.utility, r.confidence, novelty, r.recency, r.type_prior)))
+    for name, seq, embedding, utility, confidence, recency, prior in _rows(pdf, "history_name", "seq", "embedding", "utility", "confidence", "recency", "type_prior"):
+        v = _unit(embedding)
+        novelty = min(1.0, max(0.0, 1.0 - float(kept.similar(list(range(max(0, n - admission.TAIL), n)), v).max()))) if n else 1.0
+        s = float(np.dot(weights, (utility, confidence, novelty, recency, prior)))
         ok = s >= threshold
         if ok:
-            kept.append(v)
-        rows.append((r.history_name, r.seq, novelty, s, ok))
+            kept.put(n, v)
+            n += 1
+        rows.append((name, seq, novelty, s, ok))
     return pd.DataFrame(rows, columns=["history_name", "seq", "novelty", "score", "admitted"])
 
 
@@ -68,9 +93,9 @@ def cluster(pdf: pd.DataFrame, threshold: float = 0.65, gap_days: float = 7.0) -
     counts: list[int] = []
     last: list[float] = []
     rows = []
-    for r in pdf.itertuples():
-        v = np.asarray(r.embedding, float)
-        at = np.nan if pd.isna(r.at) else float(r.at)
+    for name, seq, embedding, when in _rows(pdf, "history_name", "seq", "embedding", "at"):
+        v = np.asarray(embedding, float)
+        at = np.nan if pd.isna(when) else float(when)
         best = -1
         if centroids:
             c = np.stack(centroids)
@@ -89,7 +114,7 @@ def cluster(pdf: pd.DataFrame, threshold: float = 0.65, gap_days: float = 7.0) -
             centroids[best] = (centroids[best] * n + v) / (n + 1)
             counts[best] = n + 1
             last[best] = at if np.isnan(last[best]) else last[best] if np.isnan(at) else max(last[best], at)
-        rows.append((r.history_name, r.seq, f"cluster_{best:04d}"))
+        rows.append((name, seq, f"cluster_{best:04d}"))
     return pd.DataFrame(rows, columns=["history_name", "seq", "cluster"])
 
 
@@ -137,15 +162,23 @@ class RelationStore:
 
     def __init__(self, label=words_label, fuse=None, embed=None, threshold: float = 0.7, k: int = 5, active: tuple[str, ...] = ("EQV", "NSO", "OSN", "CON")) -> None:
         self.rows: list[Memory] = []
+        self.vectors = _Vectors()
+        self.log: list[tuple[str, dict]] = []
         self.label, self.fuse, self.embed, self.threshold, self.k, self.active = label, fuse, embed, threshold, k, active
 
     def _append(self, **values) -> Memory:
         self.rows.append(Memory(len(self.rows), **values))
+        self.vectors.put(len(self.rows) - 1, values["vector"])
         return self.rows[-1]
 
     def candidates(self, vector: np.ndarray) -> list[Memory]:
-        near = [(-float(m.vector @ vector), m.id) for m in self.rows if m.role == "primary"]
-        return [self.rows[i] for s, i in sorted(near) if -s >= self.threshold][: self.k]
+        """The k nearest primaries, the earlier of equally near ones first."""
+        primaries = [m.id for m in self.rows if m.role == "primary"]
+        if not primaries:
+            return []
+        near = self.vectors.similar(primaries, vector)
+        best = np.argsort(-near, kind="stable")[: self.k]
+        return [self.rows[primaries[i]] for i in best if near[i] >= self.threshold]
 
     def add(self, text: str, vector, time: str = "") -> str:
         """Take in one fact; the outcome."""
@@ -154,9 +187,11 @@ class RelationStore:
             return "blank"
         v = _unit(vector)
         found: dict[str, list[Memory]] = {}
-        for m in self.candidates(v):
+        near = self.candidates(v)
+        for m in near:
             x = self.label(m.text, text)
             found.setdefault(x if x in self.active else "IND", []).append(m)
+        self.log.append(("candidates", {"text": text, "ids": [m.id for m in near], "labels": {k: [m.id for m in ms] for k, ms in found.items()}}))
         relation = next((x for x in ("CON", "OSN", "NSO", "EQV") if x in found), None)
         olds = found.get(relation, [])
         if relation in ("NSO", "EQV"):
@@ -168,9 +203,11 @@ class RelationStore:
             for m in olds:
                 m.role, m.parent, m.edge = "evidence", new.id, "UPDATE" if relation == "CON" else "ATTACH"
             anchor, hide = (olds[0] if olds else None), new
+        outcome = {"CON": "conflict_update", "OSN": "stronger_primary", "NSO": "weaker_evidence", "EQV": "equivalent_evidence", None: "fresh"}[relation]
+        self.log.append(("plan", {"outcome": outcome, "new_id": new.id, "old_ids": [m.id for m in olds]}))
         if anchor is not None:
             self._answer(relation, anchor, hide, new, time)
-        return {"CON": "conflict_update", "OSN": "stronger_primary", "NSO": "weaker_evidence", "EQV": "equivalent_evidence", None: "fresh"}[relation]
+        return outcome
 
     def _answer(self, relation: str, anchor: Memory, hide: Memory, new: Memory, time: str) -> None:
         """Write or extend the answer memory that the anchor points to."""
@@ -186,63 +223,156 @@ class RelationStore:
         if held is None:
             held = self._append(text=text, vector=vector, time=time, role="answer")
         held.text, held.vector, held.time, held.root = text, vector, time, hide.id
+        self.vectors.put(held.id, vector)
+        self.log.append(("answer", {"answer_id": held.id, "hidden_id": hide.id, "relation": relation, "text": text}))
         held.members += [i for i in (anchor.id, new.id) if i not in held.members]
         hide.hidden, hide.answer = True, held.id
         anchor.answer = held.id
 
 
+def _related(pdf: pd.DataFrame, settings: dict) -> RelationStore:
+    store = RelationStore(**settings)
+    for text, embedding, time in _rows(pdf, "text", "embedding", "time"):
+        store.add(text or "", embedding, time or "")
+    return store
+
+
 def relate(pdf: pd.DataFrame, **settings) -> pd.DataFrame:
     """One history's facts (text, time, embedding) through a ``RelationStore``."""
-    store = RelationStore(**settings)
-    for r in pdf.itertuples():
-        store.add(r.text or "", r.embedding, r.time or "")
+    store = _related(pdf, settings)
     name = pdf["history_name"].iloc[0] if len(pdf) else None
     rows = [(name, m.id, m.text, m.time, m.role, m.parent, m.edge, m.hidden, m.answer, len(m.members)) for m in store.rows]
     out = pd.DataFrame(rows, columns=["history_name", "memory_id", "text", "time", "memory_role", "parent_primary", "edge", "answer_hidden", "answer_id", "fused_member_count"])
     return out.astype({"parent_primary": "Int64", "answer_id": "Int64"})
 
 
+def decisions(pdf: pd.DataFrame, **settings) -> pd.DataFrame:
+    """The log of the same fold: what each fact met, what was planned, which answer was written."""
+    name = pdf["history_name"].iloc[0] if len(pdf) else None
+    log = _related(pdf, settings).log
+    return pd.DataFrame([(name, i, event, json.dumps(detail, ensure_ascii=False, sort_keys=True, default=str)) for i, (event, detail) in enumerate(log)], columns=["history_name", "seq", "event", "detail"])
+
+
+DECISIONS = "history_name string, seq long, event string, detail string"
 RELATE = "history_name string, memory_id long, text string, time string, memory_role string, parent_primary long, edge string, answer_hidden boolean, answer_id long, fused_member_count long"
 
 
 # Operations ------------------------------------------------------------------
 
 
-def operate(pdf: pd.DataFrame, decide=None, allow_delete: bool = True) -> pd.DataFrame:
-    """One history's facts by ADD, UPDATE, DELETE and NONE operations.
+#: An operation on a store: ADD, UPDATE, DELETE or NONE, the number of the memory that it concerns, a text.
+Operation = tuple[str, int, str]
+
 
-    ``decide(existing, fact)`` gives (operation, index into existing, text); by
-    default a fact that repeats an existing text is NONE, one that shares its first
-    three words updates it, others are added.
+def operations(said: str | None, known: int) -> list[Operation]:
+    """The operations of a model's JSON answer (``memory``: objects id, event, text); what is none is dropped.
+
+    An id that is no number below ``known`` counts as -1: such updates and deletions do nothing.
+    """
+    try:
+        value = json.loads(said or "")
+    except ValueError:
+        return []
+    listed = value.get("memory") if isinstance(value, dict) else None
+    out = []
+    for x in listed if isinstance(listed, list) else []:
+        if isinstance(x, dict):
+            i = str(x.get("id", "")).strip()
+            text = x.get("text")
+            out.append((str(x.get("event", "")).strip().upper(), int(i) if i.isdecimal() and int(i) < known else -1, text.strip() if isinstance(text, str) else ""))
+    return out
+
+
+def first_words(existing: list[str], facts: list[str]) -> list[Operation]:
+    """The offline rule for one fact: a known text is NONE, equal first three words UPDATE, anything else ADD."""
+    out: list[Operation] = []
+    for fact in facts:
+        head = fact.lower().split()[:3]
+        same = next((i for i, t in enumerate(existing) if t == fact), -1)
+        near = next((i for i, t in enumerate(existing) if t.lower().split()[:3] == head), -1)
+        out.append(("NONE", same, "") if same >= 0 else ("UPDATE", near, fact) if near >= 0 else ("ADD", -1, fact))
+    return out
+
+
+class OperationStore:
+    """One history's memories under ADD, UPDATE and DELETE.
+
+    ``decide(existing, facts)`` gives the operations of a batch of facts; numbers
+    are places among the texts it was shown. With ``k`` it is shown the union of
+    the k nearest memories of each fact only, ``cap`` of them at most, the nearest.
     """
 
-    def rule(existing: list[tuple[str, str]], fact: str) -> tuple[str, int, str]:
-        for i, (t, _) in enumerate(existing):
-            if t == fact:
-                return "NONE", i, ""
-        for i, (t, _) in enumerate(existing):
-            if t.lower().split()[:3] == fact.lower().split()[:3]:
-                return "UPDATE", i, fact
-        return "ADD", -1, fact
-
-    held: list[tuple[str, str]] = []
-    log = []
-    for r in pdf.itertuples():
-        fact = (r.text or "").strip()
-        if not fact:
-            continue
-        op, i, text = (decide or rule)(held, fact)
-        op = op.upper()
-        if op == "ADD" and text:
-            held.append((text, r.time or ""))
-        elif op == "UPDATE" and text and 0 <= i < len(held):
-            held[i] = (text, r.time or "")
-        elif op == "DELETE" and allow_delete and 0 <= i < len(held):
-            held.pop(i)
-        else:
-            op = "NONE"
-        log.append((r.history_name, r.seq, op, len(held)))
-    return pd.DataFrame(log, columns=["history_name", "seq", "op", "held"])
+    def __init__(self, decide: Callable[[list[str], list[str]], list[Operation]] = first_words, allow_delete: bool = True, k: int | None = None, cap: int = 50) -> None:
+        self.decide, self.allow_delete, self.k, self.cap = decide, allow_delete, k, cap
+        self.rows: list[dict | None] = []
+        self.vectors = _Vectors()
+
+    def shown(self, vectors: list[np.ndarray]) -> list[int]:
+        live = [i for i, r in enumerate(self.rows) if r is not None]
+        if self.k is None or not live:
+            return live
+        met: dict[int, float] = {}
+        for v in vectors:
+            near = self.vectors.similar(live, v)
+            for i in np.argsort(-near, kind="stable")[: self.k].tolist():
+                met.setdefault(live[i], float(near[i]))
+        best = set(sorted(met, key=lambda i: -met[i])[: self.cap])
+        return [i for i in met if i in best]
+
+    def batch(self, facts: list[tuple[int, str, object, str]], embed=None) -> Iterator[tuple[int, str, int]]:
+        """Take in facts (seq, text, vector, time); each operation's seq, kind, and how many rows are held after it."""
+        facts = [(seq, text.strip(), vector, time) for seq, text, vector, time in facts if text and text.strip()]
+        if not facts:
+            return
+        vectors = [_unit(v) if v is not None else np.zeros(1) for _, _, v, _ in facts]
+        shown = self.shown(vectors)
+        by_text = {text: (seq, v, time) for (seq, text, _, time), v in zip(facts, vectors, strict=True)}
+        last = facts[-1]
+        for op, i, text in self.decide([self.rows[j]["text"] for j in shown], [f[1] for f in facts]):
+            seq, v, time = by_text.get(text, (last[0], vectors[-1], last[3]))
+            if text and text not in by_text and embed:
+                v = _unit(embed(text))
+            if op == "ADD" and text:
+                self.rows.append({"text": text, "time": time, "source": "added", "seq": seq})
+                self.vectors.put(len(self.rows) - 1, v)
+            elif op == "UPDATE" and text and 0 <= i < len(shown) and self.rows[shown[i]] is not None:
+                self.rows[shown[i]] |= {"text": text, "time": time, "source": "updated"}
+                self.vectors.put(shown[i], v)
+            elif op == "DELETE" and self.allow_delete and 0 <= i < len(shown):
+                self.rows[shown[i]] = None
+            else:
+                op = "NONE"
+            yield seq, op, sum(r is not None for r in self.rows)
+
+
+def _operated(pdf: pd.DataFrame, batch: str | None, embed, settings: dict) -> tuple[OperationStore, list[tuple]]:
+    """Facts of one ``batch`` value are decided together; without a column of batches each alone."""
+    store, log, held, now = OperationStore(**settings), [], [], None
+    for name, seq, text, vector, time, part in _rows(pdf, "history_name", "seq", "text", "embedding", "time", batch or ""):
+        if held and (batch is None or part != now):
+            log += [(name, *x) for x in store.batch(held, embed)]
+            held = []
+        now = part
+        held.append((seq, text or "", vector, time or ""))
+    if held:
+        log += [(name, *x) for x in store.batch(held, embed)]
+    return store, log
+
+
+def operate(pdf: pd.DataFrame, batch: str | None = None, embed=None, **settings) -> pd.DataFrame:
+    """The log of one history's operations."""
+    return pd.DataFrame(_operated(pdf, batch, embed, settings)[1], columns=["history_name", "seq", "op", "held"])
 
 
 OPERATE = "history_name string, seq long, op string, held long"
+
+
+def operated(pdf: pd.DataFrame, batch: str | None = None, embed=None, **settings) -> pd.DataFrame:
+    """The store that one history's operations leave."""
+    store, _ = _operated(pdf, batch, embed, settings)
+    name = pdf["history_name"].iloc[0] if len(pdf) else None
+    rows = [(name, i, r["seq"], r["text"], r["time"], r["source"]) for i, r in enumerate(store.rows) if r is not None]
+    return pd.DataFrame(rows, columns=["history_name", "memory_id", "seq", "text", "time", "source"])
+
+
+OPERATED = "history_name string, memory_id long, seq long, text string, time string, source string"

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions import dates
+from ..functions import dates, strings
 from ..session import ship
 
 
@@ -45,9 +45,9 @@ def fusion_primary() -> Column:
 
 
 def deduplicated(memories: DataFrame) -> DataFrame:
-    """Of rows with one history, trimmed text and role, the earliest by time, then place; blank texts all stay."""
+    """Of rows with one history, trimmed text and role, the earliest by time, then place; blank and null texts all stay."""
     order = W.partitionBy("history_name", F.trim("text"), role()).orderBy(dates.chat_time_or_last(F.col("time")), "seq")
-    return memories.withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) | (F.trim("text") == "")).drop("_n")
+    return memories.withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) | (F.coalesce(F.trim("text"), F.lit("")) == "")).drop("_n")
 
 
 def add_all(facts: DataFrame) -> DataFrame:
@@ -122,6 +122,54 @@ def fused_bundles(memories: DataFrame) -> DataFrame:
     )
 
 
+def fused_store(memories: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """The store after fusion: each root with evidence becomes one row, its members go, others stay.
+
+    A fused row has a new id (after the history's greatest, by root), its texts
+    joined by line ends, or the one that ``texts`` (history_name, root_id, text) has,
+    the latest time by string order, and ``member_ids``. Rows that stay are their
+    own only member; their parent becomes the fused row that took it in. Histories
+    in which a row has members already are left as they are.
+    """
+    held = memories
+    for name, kind in (("fused_member_count", "long"), ("member_ids", "array<long>")):
+        held = held if name in held.columns else held.withColumn(name, F.lit(None).cast(kind))
+    done = held.where("member_ids is not null").select("history_name").distinct() if "member_ids" in memories.columns else None
+    todo = held if done is None else held.join(done, "history_name", "left_anti")
+    fused = fused_bundles(todo).where("members > 1")
+    if texts is not None:
+        fused = fused.join(texts.select("history_name", "root_id", F.col("text").alias("_said")), ["history_name", "root_id"], "left").withColumn("text", F.coalesce(F.nullif(F.trim("_said"), F.lit("")), "text")).drop("_said")
+    top = todo.groupBy("history_name").agg(F.max("memory_id").alias("_top"))
+    place = F.row_number().over(W.partitionBy("history_name").orderBy("root_id"))
+    fused = fused.withColumn("place", place).join(top, "history_name").withColumn("fused_id", F.col("_top") + F.col("place"))
+    owner = fused.select("history_name", "fused_id", F.explode("member_ids").alias("member"))
+    stay = todo.join(owner.select("history_name", F.col("member").alias("memory_id")), ["history_name", "memory_id"], "left_anti")
+    parents = owner.select("history_name", F.col("member").alias("parent_primary"), "fused_id")
+    stay = stay.join(parents, ["history_name", "parent_primary"], "left").withColumn("parent_primary", F.coalesce("fused_id", "parent_primary"))
+    stay = stay.withColumns({"fused_member_count": F.greatest(F.coalesce("fused_member_count", F.lit(1)), F.lit(1)).cast("long"), "member_ids": F.array(F.col("memory_id").cast("long"))})
+    roots = todo.withColumnRenamed("memory_id", "root_id").drop("text", "time", "member_ids", "fused_member_count", "memory_role", "parent_primary")
+    new = fused.select("history_name", "root_id", F.col("fused_id").alias("memory_id"), "text", "time", "member_ids", F.col("members").alias("fused_member_count")).join(roots, ["history_name", "root_id"])
+    new = new.withColumns({"memory_role": F.lit("primary"), "parent_primary": F.lit(None).cast(held.schema["parent_primary"].dataType)})
+    out = stay.select(*held.columns).unionByName(new.select(*held.columns))
+    return out if done is None else out.unionByName(held.join(done, "history_name", "left_semi").select(*held.columns))
+
+
+def packages_by_depth(memories: DataFrame) -> DataFrame:
+    """``history_name, center_id, depth, leaves, place``: packages of a row and its leaves, the deepest first.
+
+    Fused in this order, each package's center is a leaf when its parent's turn comes.
+    """
+    depth = descendants(memories).select("history_name", F.col("memory_id").alias("center_id"), "depth")
+    got = depth_one_packages(memories).join(depth, ["history_name", "center_id"])
+    place = F.row_number().over(W.partitionBy("history_name").orderBy(F.desc("depth"), "center_id"))
+    return got.select("history_name", "center_id", "depth", "leaves", place.alias("place"))
+
+
+def embedding_text(primary_text: Column, text: Column) -> Column:
+    """What is embedded for a row: the text meant for it, else its own."""
+    return F.coalesce(F.nullif(F.trim(primary_text), F.lit("")), text)
+
+
 def depth_one_packages(memories: DataFrame) -> DataFrame:
     """``history_name, center_id, leaves``: each row with children, with those children that have none."""
     children = memories.where("parent_primary is not null").select("history_name", F.col("parent_primary").alias("center_id"), "memory_id")
@@ -147,12 +195,27 @@ def applied(memories: DataFrame, operations: DataFrame) -> DataFrame:
 
 
 def clusters_finalized(members: DataFrame) -> DataFrame:
-    """``history_name, cluster, text, members, memory_role``: singletons as they are, others joined, plus their evidence rows."""
-    m = F.struct("seq", "text")
+    """``history_name, cluster, text, members, memory_role, seq, time``: singletons as they are, others joined, plus their evidence rows.
+
+    A joined row has the place of its first member and the time of its last.
+    """
+    m = F.struct("seq", "text", "time")
     got = members.groupBy("history_name", "cluster").agg(F.count("*").alias("members"), F.sort_array(F.collect_list(m)).alias("m"))
-    primary = got.select("history_name", "cluster", F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("text"), "members", F.lit("primary").alias("memory_role"))
+    joined = F.array_join(F.transform("m", lambda x: x["text"]), " ")
+    primary = got.select("history_name", "cluster", joined.alias("text"), "members", F.lit("primary").alias("memory_role"), F.get("m", F.lit(0))["seq"].alias("seq"), F.element_at("m", -1)["time"].alias("time"))
     several = got.where("members > 1").select("history_name", "cluster", "members", F.explode("m").alias("x"))
-    return primary.unionByName(several.select("history_name", "cluster", F.col("x.text").alias("text"), "members", F.lit("evidence").alias("memory_role")))
+    return primary.unionByName(several.select("history_name", "cluster", F.col("x.text").alias("text"), "members", F.lit("evidence").alias("memory_role"), "x.seq", "x.time"))
+
+
+def graph_edges(facts: DataFrame) -> DataFrame:
+    """Facts as edges of a history's graph: speakers named, and valid until the next fact on the same matter.
+
+    ``facts``: history_name, seq, text, time. A matter is named by the first three
+    words of the aliased text; blank facts are none. Adds ``fact, matter, valid_at, invalid_at``.
+    """
+    named = facts.where("trim(text) <> ''").withColumn("fact", strings.aliased(F.trim("text"), F.col("history_name")))
+    matter = F.array_join(F.slice(strings.tokens(F.col("fact")), 1, 3), " ")
+    return validity(named.withColumn("matter", matter), ["history_name", "matter"], "seq", "fact")
 
 
 def validity(facts: DataFrame, key: list[str], at: str, value: str) -> DataFrame:

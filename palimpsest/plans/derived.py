@@ -55,9 +55,8 @@ VISIBLE_SQL = "(NOT stale AND (coalesce(memory_role, 'primary') = 'answer' OR (c
 
 
 def questions(memories: DataFrame) -> DataFrame:
-    """Every memory asks its history, with its vector and its first eight words."""
-    words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
-    return memories.select("history_name", F.col("memory_id").alias("query_id"), F.col("embedding").alias("query"), words.alias("query_text"))
+    """Every memory asks its history, with its vector and its whole text."""
+    return memories.select("history_name", F.col("memory_id").alias("query_id"), F.col("embedding").alias("query"), F.col("text").alias("query_text"))
 
 
 #: Scores of every question with every memory of its history.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings, vectors
 from ..operators import builders, joins, metrics
+from . import artifacts, construction
 from .derived import PAIRS, labelled_pairs, table
 
 
@@ -242,15 +243,73 @@ def _report(src: str) -> str:
       f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM q)"""
 
 
+def response_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model said, bare or in an object of one of three keys."""
+    t = table(spark, sf_dir, "conversations")
+    key = lambda name, more="": F.to_json(F.struct(*([F.lit(more).alias("text")] if more else []), F.col("text").alias(name)))
+    said = F.when(F.col("turn") % 4 == 0, F.col("text")).when(F.col("turn") % 4 == 1, key("response")).when(F.col("turn") % 4 == 2, key("content", " ")).otherwise('{"other": 1}')
+    return t.select("conv_id", "turn", F.md5(strings.response_text(said)).alias("said_md5"))
+
+
+def extraction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why an extraction's answer is refused."""
+    t = table(spark, sf_dir, "conversations").where("text is not null")
+    listed = F.to_json(F.struct(F.array("text").alias("memories")))
+    answers = [listed, F.concat(F.lit("```json\n"), listed, F.lit("\n```")), F.to_json(F.struct(F.array("text").alias("memories"), F.lit(1).alias("more"))), F.to_json(F.struct(F.col("text").alias("memories"))), F.lit('{"memories": [1]}'), F.lit("{}"), F.lit("no JSON")]
+    said = F.element_at(F.array(*answers), (F.col("turn") % len(answers) + 1).cast("int"))
+    return t.select("conv_id", "turn", strings.only_memories(said).alias("error"))
+
+
+def filler_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 0, 2, 4, 6 and 8 distractors of each item."""
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    place = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
+    got = construction.filler_sets(d.select(F.col("source").alias("question_id"), place.alias("place"), "text"))
+    return got.select(F.col("n").cast("long").alias("n"), "question_id", F.col("place").cast("long").alias("place"), F.md5("text").alias("text_md5"))
+
+
+_STAGES = tuple(artifacts.STAGE_FIELDS)
+
+
+def fingerprint_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each field of the configuration, which stages are made again when it changes."""
+    paths = sorted({p for fields in artifacts.STAGE_FIELDS.values() for p in fields})
+
+    def keys(config: dict) -> list[str]:
+        out = [""]
+        for stage in _STAGES:
+            out.append(artifacts.fingerprint(stage, config, out[-1], templates=artifacts.templates_of(stage)))
+        return out[1:]
+
+    base, rows = keys({}), []
+    for path in paths:
+        (_, config), = construction.configurations({}, {path: ["changed"]})
+        rows += [(path, stage, a != b) for stage, a, b in zip(_STAGES, base, keys(config), strict=True)]
+    return spark.createDataFrame(rows, "field string, stage string, again boolean")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        response_pick, extraction_check, filler_sets, fingerprint_rerun,
         judge_metrics, judge_merge, verdict_parse, thinking_split, relation_parse, json_loose, repeat_stats, classification_report, confusion_matrix, cohen_kappa, model_agreement, error_breakdown, cot_delta,
         pairwise_relations_dist, chain_summary, older_pairs, dataset_overview, golden_histogram, build_stats, similarity_stats, ingest_stats, hybrid_select, lowering, distractor_gate, resume_pending, ready_gate,
         question_type_filter, filler_chunks, date_match_merge, stratified_quota, stratified_sample_hash, variant_matrix, name_safety, leak_check,
     )
 }
 ORACLE_SQL = {
+    "response_pick": "SELECT conv_id, turn, CASE WHEN turn % 4 < 3 AND text IS NOT NULL AND (turn % 4 = 0 OR trim(text, ' ') <> '') THEN md5(trim(text, ' ')) END AS said_md5 FROM conversations",
+    "extraction_check": """
+    SELECT conv_id, turn, CASE turn % 7 WHEN 2 THEN 'keys other than memories' WHEN 3 THEN 'memories is not a list of strings' WHEN 4 THEN 'memories is not a list of strings'
+      WHEN 5 THEN 'no memories' WHEN 6 THEN 'not a JSON object' END AS error FROM conversations WHERE text IS NOT NULL
+    """,
+    "filler_sets": """
+    WITH d AS (SELECT source AS question_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, text FROM documents WHERE source IS NOT NULL),
+    n AS (SELECT unnest([2, 4, 6, 8]) AS n)
+    SELECT CAST(n AS BIGINT) AS n, question_id, place, md5(text) AS text_md5 FROM d JOIN n ON place <= n
+    UNION ALL SELECT DISTINCT CAST(0 AS BIGINT), question_id, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM d
+    """,
+    "fingerprint_rerun": "WITH f(field, stage, place) AS (VALUES " + ", ".join(f"('{p}', '{x}', {i})" for i, (x, fields) in enumerate(artifacts.STAGE_FIELDS.items()) for p in fields) + "), s(stage, place) AS (VALUES " + ", ".join(f"('{x}', {i})" for i, x in enumerate(artifacts.STAGE_FIELDS)) + ") SELECT field, s.stage, s.place >= min(f.place) AS again FROM f CROSS JOIN s GROUP BY field, s.stage, s.place",
     "judge_metrics": f"""
     WITH {_J} SELECT coalesce(question_type, 'ALL') AS question_type, count(*) FILTER (WHERE NOT judge_api_failed AND is_correct) AS correct, count(*) FILTER (WHERE NOT judge_api_failed) AS judged,
       count(*) FILTER (WHERE judge_api_failed) AS api_failed, round(coalesce(count(*) FILTER (WHERE NOT judge_api_failed AND is_correct) / nullif(count(*) FILTER (WHERE NOT judge_api_failed), 0), 0.0), 6) AS accuracy

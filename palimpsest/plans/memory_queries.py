@@ -116,6 +116,11 @@ def amac_admit_setwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amac_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _admitted(spark, sf_dir)
+    return got.select("history_name", "seq", F.round("novelty", 6).alias("novelty"), F.round("score", 6).alias("score"), "admitted")
+
+
+def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir).select("history_name", "seq", "embedding", F.lit(admission.NO_UTILITY).alias("utility"), F.lit(0.0).alias("confidence"), F.lit(1.0).alias("recency"), admission.type_prior(F.col("text")).alias("type_prior"))
     return folds.folded(m, folds.admit, folds.ADMIT)
 
@@ -140,6 +145,39 @@ def mem0_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.folded(_facts(spark, sf_dir).select("history_name", "seq", "text", "time"), folds.operate, folds.OPERATE)
 
 
+def mem0_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the operations leave of each history."""
+    left = folds.folded(_facts(spark, sf_dir).select("history_name", "seq", "text", "time"), folds.operated, folds.OPERATED)
+    return left.select("history_name", "memory_id", "seq", F.md5("text").alias("text_md5"), "time", "source")
+
+
+def relation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What relation decisions met, planned and wrote."""
+    from functools import partial
+
+    m = memories(spark, sf_dir).select("history_name", "seq", "text", "time", "embedding")
+    got = folds.folded(m, partial(folds.decisions, threshold=0.15), folds.DECISIONS)
+    return got.select("history_name", "seq", "event", F.md5("detail").alias("detail_md5"))
+
+
+def fused_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = memory.fused_store(memories(spark, sf_dir))
+    return got.select("history_name", "memory_id", memory.role().alias("role"), "parent_primary", "fused_member_count", "time", F.md5("text").alias("text_md5"))
+
+
+def packages_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = memory.packages_by_depth(memories(spark, sf_dir))
+    return got.select("history_name", "center_id", F.col("depth").cast("long").alias("depth"), "leaves", F.col("place").cast("long").alias("place"))
+
+
+def graph_valid_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the graph method that still hold."""
+    t = table(spark, sf_dir, "conversations")
+    said = F.concat(F.element_at(F.array(F.lit("the user wants "), F.lit("the assistant says "), F.lit("The user was told ")), (F.col("turn") % 3 + 1).cast("int")), F.col("text"))
+    facts = t.select(F.col("conv_id").cast("string").alias("history_name"), F.col("turn").alias("seq"), said.alias("text"))
+    return memory.valid_edges(memory.graph_edges(facts)).select("history_name", "seq", F.md5("fact").alias("fact_md5"))
+
+
 _TREE = f"""
     WITH RECURSIVE {MEMORIES}, tree(history_name, root_id, memory_id, seq, depth) AS (
       SELECT history_name, memory_id, memory_id, seq, CAST(0 AS BIGINT) FROM memories WHERE {PRIMARY_SQL} AND parent_primary IS NULL
@@ -163,7 +201,27 @@ def _patterns_sql() -> str:
 _PRIOR = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in admission.TYPE_PRIORS.items()) + " END"
 _SET = lambda x: rf"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda x: x <> ''))"
 
-QUERIES = {f.__name__: f for f in (answer_visible, searchable_primary, list_memories, ingest_add_all, dedup_identical_text, evidence_tree, bundle_fusion_fallback, depth_one_partition, mem0_apply_batch, evermemos_finalize, edge_validity, edge_export_incremental, pronoun_alias, amac_features, amac_admit_setwise, amac_fold, evermemos_clusters, relation_fold, mem0_fold)}
+#: Facts of a history in order, and the fold over them as a recursive step; states are lists.
+_MEM0 = f"""
+    WITH RECURSIVE {_FACTS},
+    o AS (SELECT history_name, seq, trim(text, ' ') AS text, time, row_number() OVER (PARTITION BY history_name ORDER BY seq) AS k FROM f WHERE trim(coalesce(text, ''), ' ') <> ''),
+    q AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')[1:3], ' ') AS head, md5(text) AS h FROM o),
+    s(history_name, k, seq, op, hs, heads, ids, times, sources) AS (
+      SELECT history_name, k, seq, 'ADD', [h], [head], [seq], [time], ['added'] FROM q WHERE k = 1
+      UNION ALL
+      SELECT history_name, k, seq, op,
+        CASE op WHEN 'ADD' THEN list_append(hs, h) WHEN 'UPDATE' THEN list_concat(hs[:i - 1], [h], hs[i + 1:]) ELSE hs END,
+        CASE op WHEN 'ADD' THEN list_append(heads, head) ELSE heads END,
+        CASE op WHEN 'ADD' THEN list_append(ids, seq) ELSE ids END,
+        CASE op WHEN 'ADD' THEN list_append(times, time) WHEN 'UPDATE' THEN list_concat(times[:i - 1], [time], times[i + 1:]) ELSE times END,
+        CASE op WHEN 'ADD' THEN list_append(sources, 'added') WHEN 'UPDATE' THEN list_concat(sources[:i - 1], ['updated'], sources[i + 1:]) ELSE sources END
+      FROM (SELECT s.hs, s.heads, s.ids, s.times, s.sources, q.*, list_position(s.heads, q.head) AS i,
+              CASE WHEN list_contains(s.hs, q.h) THEN 'NONE' WHEN list_contains(s.heads, q.head) THEN 'UPDATE' ELSE 'ADD' END AS op
+            FROM s JOIN q ON q.history_name = s.history_name AND q.k = s.k + 1)
+    )"""
+_UNIT = "u AS (SELECT history_name, seq, row_number() OVER (PARTITION BY history_name ORDER BY seq) AS k, embedding, time, text, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y * y)))) AS v FROM memories)"
+
+QUERIES = {f.__name__: f for f in (answer_visible, searchable_primary, list_memories, ingest_add_all, dedup_identical_text, evidence_tree, bundle_fusion_fallback, depth_one_partition, mem0_apply_batch, evermemos_finalize, edge_validity, edge_export_incremental, pronoun_alias, amac_features, amac_admit_setwise, amac_fold, evermemos_clusters, relation_fold, relation_log, mem0_fold, mem0_store, fused_store, packages_by_depth, graph_valid_facts)}
 ORACLE_SQL = {
     "answer_visible": f"WITH {MEMORIES} SELECT history_name, memory_id, coalesce(memory_role, 'primary') AS role FROM memories WHERE {VISIBLE_SQL}",
     "searchable_primary": f"WITH {MEMORIES} SELECT history_name, memory_id, answer_hidden FROM memories WHERE {PRIMARY_SQL} AND NOT stale",
@@ -174,7 +232,7 @@ ORACLE_SQL = {
     """,
     "dedup_identical_text": f"""
     WITH {_FACTS}, k AS (SELECT *, row_number() OVER (PARTITION BY history_name, trim(text, ' '), coalesce(memory_role, 'primary') ORDER BY time, seq) AS n FROM f)
-    SELECT history_name, seq, coalesce(memory_role, 'primary') AS role FROM k WHERE n = 1 OR trim(text, ' ') = ''
+    SELECT history_name, seq, coalesce(memory_role, 'primary') AS role FROM k WHERE n = 1 OR trim(coalesce(text, ''), ' ') = ''
     """,
     "evidence_tree": f"{_TREE} SELECT history_name, root_id, memory_id, depth FROM tree WHERE depth > 0",
     "bundle_fusion_fallback": f"""{_TREE}
@@ -227,4 +285,64 @@ ORACLE_SQL = {
     s AS (SELECT *, 0.1 * 0.5 + 0.1 * 0.0 + 0.1 * novelty + 0.1 * 1.0 + 0.6 * CAST({_PRIOR} AS DOUBLE) AS score FROM n)
     SELECT history_name, seq, round(novelty, 6) AS novelty, round(CAST(score AS DOUBLE), 6) AS score, round(CAST(score AS DOUBLE), 9) >= 0.55 AS admitted FROM s
     """,
+    "amac_fold": f"""
+    WITH RECURSIVE {MEMORIES}, {_UNIT}, p AS (SELECT *, CAST({_PRIOR} AS DOUBLE) AS prior FROM (SELECT *, {_patterns_sql()} AS kind FROM u)),
+    s(history_name, seq, k, kept, novelty, score, admitted) AS (
+      SELECT history_name, seq, CAST(0 AS BIGINT), CAST([] AS DOUBLE[][]), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), FALSE FROM p WHERE k = 1
+      UNION ALL
+      SELECT history_name, seq, k, CASE WHEN score >= 0.55 THEN list_append(kept, v)[-64:] ELSE kept END, novelty, score, score >= 0.55
+      FROM (SELECT *, CAST(0.1 * 0.5 + 0.1 * 0.0 + 0.1 * novelty + 0.1 * 1.0 + 0.6 * prior AS DOUBLE) AS score
+            FROM (SELECT p.*, s.kept, CASE WHEN len(s.kept) = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - list_max(list_transform(s.kept, lambda w: list_inner_product(w, p.v))))) END AS novelty
+                  FROM s JOIN p ON p.history_name = s.history_name AND p.k = s.k + 1))
+    )
+    SELECT history_name, seq, round(CAST(novelty AS DOUBLE), 6) AS novelty, round(score, 6) AS score, admitted FROM s WHERE k > 0
+    """,
+    "evermemos_clusters": f"""
+    WITH RECURSIVE {MEMORIES}, {_UNIT}, p AS (
+      SELECT history_name, seq, k, embedding AS v, sqrt(list_sum(list_transform(embedding, lambda x: x * x))) AS n, CAST(epoch(strptime(regexp_replace(time, ' \\([^)]*\\)', ''), '%Y/%m/%d %H:%M')) AS DOUBLE) AS sec FROM u
+    ),
+    s(history_name, seq, k, centers, counts, lasts, own) AS (
+      SELECT history_name, seq, k, [v], [CAST(1 AS DOUBLE)], [sec], CAST(1 AS BIGINT) FROM p WHERE k = 1
+      UNION ALL
+      SELECT history_name, seq, k,
+        CASE WHEN own > len(centers) THEN list_append(centers, v) ELSE list_concat(centers[:own - 1], [list_transform(range(1, len(v) + 1), lambda j: (centers[own][j] * counts[own] + v[j]) / (counts[own] + 1))], centers[own + 1:]) END,
+        CASE WHEN own > len(centers) THEN list_append(counts, 1.0) ELSE list_concat(counts[:own - 1], [counts[own] + 1], counts[own + 1:]) END,
+        CASE WHEN own > len(centers) THEN list_append(lasts, sec) ELSE list_concat(lasts[:own - 1], [greatest(lasts[own], sec)], lasts[own + 1:]) END, own
+      FROM (SELECT *, CASE WHEN list_max(sims) >= 0.15 THEN list_position(sims, list_max(sims)) ELSE len(centers) + 1 END AS own
+            FROM (SELECT p.*, s.centers, s.counts, s.lasts, list_transform(range(1, len(s.centers) + 1), lambda i: CASE WHEN abs(p.sec - s.lasts[i]) > 60 * 86400 THEN -2.0
+                    ELSE list_inner_product(s.centers[i], p.v) / ((sqrt(list_inner_product(s.centers[i], s.centers[i])) + 1e-9) * (p.n + 1e-9)) END) AS sims
+                  FROM s JOIN p ON p.history_name = s.history_name AND p.k = s.k + 1))
+    )
+    SELECT history_name, seq, printf('cluster_%04d', own - 1) AS cluster FROM s
+    """,
+    "mem0_fold": f"{_MEM0} SELECT history_name, seq, op, CAST(len(hs) AS BIGINT) AS held FROM s",
+    "mem0_store": f"""{_MEM0},
+    e AS (SELECT history_name, max(k) AS k FROM s GROUP BY 1)
+    SELECT history_name, unnest(range(0, len(hs))) AS memory_id, unnest(ids) AS seq, unnest(hs) AS text_md5, unnest(times) AS time, unnest(sources) AS source FROM s JOIN e USING (history_name, k)
+    """,
+    "fused_store": f"""{_TREE},
+    b AS (SELECT history_name, root_id, count(*) AS n FROM tree GROUP BY 1, 2 HAVING count(*) > 1),
+    t AS (SELECT history_name, max(memory_id) AS top FROM memories GROUP BY 1),
+    n AS (SELECT b.*, t.top + row_number() OVER (PARTITION BY b.history_name ORDER BY root_id) AS fused_id FROM b JOIN t USING (history_name)),
+    o AS (SELECT n.history_name, n.fused_id, tree.memory_id, tree.depth, tree.seq FROM n JOIN tree ON tree.history_name = n.history_name AND tree.root_id = n.root_id)
+    SELECT m.history_name, m.memory_id, coalesce(m.memory_role, 'primary') AS role, coalesce(p.fused_id, m.parent_primary) AS parent_primary, CAST(1 AS BIGINT) AS fused_member_count, m.time, md5(m.text) AS text_md5
+    FROM memories m LEFT JOIN o p ON p.history_name = m.history_name AND p.memory_id = m.parent_primary
+    WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.history_name = m.history_name AND o.memory_id = m.memory_id)
+    UNION ALL
+    SELECT o.history_name, fused_id, 'primary', NULL, count(*), max(m.time), md5(string_agg(m.text, chr(10) ORDER BY o.depth, o.seq))
+    FROM o JOIN memories m ON m.history_name = o.history_name AND m.memory_id = o.memory_id GROUP BY 1, 2
+    """,
+    "packages_by_depth": f"""{_TREE},
+    c AS (SELECT history_name, parent_primary AS center_id, memory_id FROM memories WHERE parent_primary IS NOT NULL),
+    l AS (SELECT history_name, center_id, count(*) AS leaves FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS i WHERE i.history_name = c.history_name AND i.center_id = c.memory_id) GROUP BY 1, 2)
+    SELECT l.history_name, center_id, depth, leaves, row_number() OVER (PARTITION BY l.history_name ORDER BY depth DESC, center_id) AS place
+    FROM l JOIN tree ON tree.history_name = l.history_name AND tree.memory_id = center_id
+    """,
+    "graph_valid_facts": r"""
+    WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS h, turn, trim(CASE turn % 3 WHEN 0 THEN 'the user wants ' WHEN 1 THEN 'the assistant says ' ELSE 'The user was told ' END || text, ' ') AS t FROM conversations WHERE text IS NOT NULL),
+    a AS (SELECT h, turn, replace(replace(replace(replace(t, 'the user', 'User_' || h), 'the assistant', 'Asst_' || h), 'The user', 'User_' || h), 'The assistant', 'Asst_' || h) AS fact FROM s),
+    m AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(lower(fact), '\s+'), lambda x: x <> '')[1:3], ' ') AS matter FROM a),
+    v AS (SELECT *, lead(turn) OVER (PARTITION BY h, matter ORDER BY turn, fact) AS invalid_at FROM m)
+    SELECT h AS history_name, turn AS seq, md5(fact) AS fact_md5 FROM v WHERE invalid_at IS NULL
+    """,
 }

@@ -23,6 +23,10 @@ EXTRACT = 'List durable facts about the user in this dialogue, one statement eac
 OPERATIONS = 'Existing memories:\n{existing}\nNew facts:\n{facts}\nFor each, decide ADD, UPDATE, DELETE or NONE. Answer with JSON: {{"memory": [{{"id": ..., "event": ..., "text": ...}}]}}.'
 UTILITY = 'How useful will this fact be later, from 0 to 1? Context:\n{context}\nFact: {fact}\nAnswer with JSON: {{"utility": x}}.'
 BUNDLE = "Write these related statements as one, losing nothing.\n{lines}"
+ANSWER = "Answer from these memories.\n\n{context}\n\n{question}"
+GOLDEN = "List what this session says about the user that helps to answer the question, one statement each. Answer with JSON: {{\"memories\": [...]}}.\nQuestion: {question}\nAnswer: {answer}\nSession of {date}:\n{session}"
+LOWER = "Say the same with other words, as unlike the question as you can, so that the answer still follows.\nQuestion: {question}\nAnswer: {answer}\nStatement: {text}"
+DISTRACT = "Write one statement about the user that is on the question's subject but does not give its answer. It starts with 'The user'.\nQuestion: {question}\nAnswer: {answer}\nRound: {round}"
 JUDGE = "Question: {question}\nReference: {reference}\nAnswer: {answer}\nDoes the answer agree with the reference? Reason if you like, then end with 'Final answer: yes' or 'Final answer: no'."
 
 

@@ -44,6 +44,23 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(retrieval.hybrid(questions(m), m, K, 0.7, 0.3, visible=memory.answer_visible()))
 
 
+def hybrid_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts that answers are made from under hybrid retrieval."""
+    m = memories(spark, sf_dir)
+    hits = retrieval.retrieve(questions(m), m, 3, memory.answer_visible(), {"dense_weight": 0.7, "bm25_weight": 0.3}).join(m.select("memory_id", "text", "time"), "memory_id")
+    got = retrieval.or_nothing(questions(m), retrieval.context(hits.withColumn("text", F.coalesce("text", F.lit("")))))
+    return got.select("history_name", "query_id", F.col("units").cast("long").alias("units"), F.md5("context").alias("context_md5"))
+
+
+def unfused_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows ranked before fusion, answered with the fused rows that hold them."""
+    m = memories(spark, sf_dir)
+    fused = memory.fused_store(m)
+    owners = fused.select("history_name", F.col("memory_id").alias("fused_id"), "seq", F.coalesce("member_ids", F.array("memory_id")).alias("member_ids"))
+    got = retrieval.retrieve(questions(m), m, 5, memory.answer_visible(), fused=owners)
+    return got.select("history_name", "query_id", F.col("rank").cast("long").alias("rank"), "memory_id")
+
+
 def unfused_rank_to_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
     fused = memory.fused_bundles(m).select("history_name", F.col("root_id").alias("fused_id"), F.col("root_id").alias("seq"), "member_ids")
@@ -107,7 +124,7 @@ _BM25 = r"""
   idf AS (SELECT history_name, term, avgdl, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY history_name) ELSE raw END AS idf FROM raw),
   asked AS (
     SELECT history_name, query_id, term, count(*) AS times FROM (
-      SELECT history_name, memory_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string((regexp_split_to_array(text, '\s+'))[1:8], ' ')), '\s+'), lambda x: x <> '')) AS term FROM memories
+      SELECT history_name, memory_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM memories
     ) GROUP BY ALL
   ),
   bm AS (
@@ -117,16 +134,7 @@ _BM25 = r"""
     JOIN idf i ON i.history_name = a.history_name AND i.term = a.term GROUP BY ALL
   )"""
 
-QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_all_rows, dense_topk_answer_mode, bm25_topk, hybrid_topk, unfused_rank_to_fused, knn_threshold_candidates, knn_batch_union_cap, session_cutoff, context_block, relation_label_rule, relation_plan, relation_nofusion_answer)}
-ORACLE_SQL = {
-    "dense_topk": _TOP(_VALID, 10),
-    "dense_topk_all_rows": _TOP("TRUE", 10),
-    "dense_topk_answer_mode": _TOP(f"{_VALID} AND query_id IN (SELECT memory_id FROM memories WHERE {PRIMARY_SQL})", 5),
-    "bm25_topk": f"""
-    WITH {MEMORIES}, {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, seq) AS rank FROM bm)
-    SELECT history_name, query_id, rank, memory_id, round(bm25, 6) AS score FROM r WHERE rank <= 10
-    """,
-    "hybrid_topk": f"""
+_HYBRID = f"""
     WITH {MEMORIES}, {SCORED}, {_BM25},
     d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS p FROM scored) WHERE p <= 50),
     t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, seq) AS p FROM bm) WHERE p <= 50),
@@ -140,8 +148,39 @@ ORACLE_SQL = {
       FROM v WINDOW w AS (PARTITION BY query_id)
     ),
     f AS (SELECT *, CAST(0.7 AS DOUBLE) * dp + CAST(0.3 AS DOUBLE) * tp AS score FROM s),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, round(tp, 9) DESC, round(dp, 9) DESC, memory_id) AS rank FROM f)
-    SELECT history_name, query_id, rank, memory_id, round(score, 6) AS score FROM r WHERE rank <= 10
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, round(tp, 9) DESC, round(dp, 9) DESC, memory_id) AS rank FROM f)"""
+
+QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_all_rows, dense_topk_answer_mode, bm25_topk, hybrid_topk, hybrid_answer, unfused_answer, unfused_rank_to_fused, knn_threshold_candidates, knn_batch_union_cap, session_cutoff, context_block, relation_label_rule, relation_plan, relation_nofusion_answer)}
+ORACLE_SQL = {
+    "dense_topk": _TOP(_VALID, 10),
+    "dense_topk_all_rows": _TOP("TRUE", 10),
+    "dense_topk_answer_mode": _TOP(f"{_VALID} AND query_id IN (SELECT memory_id FROM memories WHERE {PRIMARY_SQL})", 5),
+    "bm25_topk": f"""
+    WITH {MEMORIES}, {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, seq) AS rank FROM bm)
+    SELECT history_name, query_id, rank, memory_id, round(bm25, 6) AS score FROM r WHERE rank <= 10
+    """,
+    "hybrid_topk": f"{_HYBRID} SELECT history_name, query_id, rank, memory_id, round(score, 6) AS score FROM r WHERE rank <= 10",
+    "hybrid_answer": rf"""{_HYBRID},
+    c AS (
+      SELECT r.history_name, r.query_id, count(*) AS units,
+        string_agg('Memory ' || rank || ' (' || regexp_replace(m.time, '\s+\d{{2}}:\d{{2}}$', '') || '):' || chr(10) || coalesce(m.text, ''), chr(10) || chr(10) ORDER BY rank) AS context
+      FROM r JOIN memories m ON m.memory_id = r.memory_id WHERE rank <= 3 GROUP BY 1, 2
+    )
+    SELECT m.history_name, m.memory_id AS query_id, coalesce(units, 0) AS units, md5(coalesce(context, 'No relevant memories found.')) AS context_md5
+    FROM memories m LEFT JOIN c ON c.query_id = m.memory_id
+    """,
+    "unfused_answer": f"""
+    WITH RECURSIVE {MEMORIES}, {SCORED}, tree(history_name, root_id, memory_id) AS (
+      SELECT history_name, memory_id, memory_id FROM memories WHERE {PRIMARY_SQL} AND parent_primary IS NULL
+      UNION ALL SELECT t.history_name, t.root_id, c.memory_id FROM tree t JOIN memories c ON c.history_name = t.history_name AND c.parent_primary = t.memory_id WHERE NOT ({PRIMARY_SQL.replace('memory_role', 'c.memory_role')})
+    ),
+    n AS (SELECT history_name, root_id, row_number() OVER (PARTITION BY history_name ORDER BY root_id) AS place FROM tree GROUP BY 1, 2 HAVING count(*) > 1),
+    t AS (SELECT history_name, max(memory_id) AS top FROM memories GROUP BY 1),
+    o AS (SELECT tree.memory_id, t.top + n.place AS fused_id FROM tree JOIN n USING (history_name, root_id) JOIN t USING (history_name)),
+    h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS p FROM scored WHERE {VISIBLE_SQL}),
+    f AS (SELECT h.history_name, h.query_id, coalesce(o.fused_id, h.memory_id) AS memory_id, min(p) AS first FROM h LEFT JOIN o ON o.memory_id = h.memory_id GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM f)
+    SELECT history_name, query_id, rank, memory_id FROM r WHERE rank <= 5
     """,
     "unfused_rank_to_fused": f"""
     WITH RECURSIVE {MEMORIES}, {SCORED}, tree(root_id, memory_id) AS (

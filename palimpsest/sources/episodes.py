@@ -38,13 +38,23 @@ def resolve(name: str, override: str | None = None) -> tuple[str, str]:
     return _REGISTRY[name]
 
 
-def raw_or_preprocessed(path: str) -> tuple[str, bool]:
-    """The preprocessed file if it is there, else its raw sibling; and whether it is raw."""
-    if os.path.exists(path):
+def raw_or_preprocessed(path: str, spark: SparkSession | None = None) -> tuple[str, bool]:
+    """The preprocessed file if it is there, else its raw sibling; and whether it is raw.
+
+    With a session, paths are those of any store that Spark reads.
+    """
+
+    def exists(p: str) -> bool:
+        if spark is None:
+            return os.path.exists(p)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    if exists(path):
         return path, False
-    head, tail = os.path.split(path)
-    raw = os.path.join(os.path.dirname(head), "raw", tail)
-    if os.path.exists(raw):
+    folder, _, name = path.rpartition("/")
+    raw = "/".join([folder.rpartition("/")[0], "raw", name])
+    if exists(raw):
         return raw, True
     raise FileNotFoundError(path)
 

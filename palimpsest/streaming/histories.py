@@ -11,31 +11,28 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
 
-_OUT = "history_name string, seq long, text string, is_new boolean, held long"
-_STATE = "texts array<string>"
+_OUT = "history_name string, seq long, text string, is_new boolean"
+_STATE = "seen boolean"
 
 
 def _take(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Facts of one history in order; those whose trimmed text it holds already are not new."""
-    held = list(state.get[0]) if state.exists else []
-    known = set(held)
-    out = []
+    """Facts of one history and trimmed text: the first of them is new, unless the text is blank."""
+    new = not state.exists
     rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-    for r in rows.itertuples():
-        text = (r.text or "").strip()
-        new = bool(text) and text not in known
-        if new:
-            known.add(text)
-            held.append(text)
-        out.append((key[0], r.seq, text, new, len(held)))
-    state.update((held,))
-    yield pd.DataFrame(out, columns=["history_name", "seq", "text", "is_new", "held"])
+    text = rows["text"].iloc[0]
+    state.update((True,))
+    yield pd.DataFrame({"history_name": rows["history_name"], "seq": rows["seq"], "text": rows["text"], "is_new": [new and i == 0 and bool(text) for i in range(len(rows))]})
 
 
 def ingested(facts: DataFrame) -> DataFrame:
-    """A stream of facts (history_name, seq, text) with the ones that are new to their history."""
+    """A stream of facts (history_name, seq, text) with the ones that are new to their history.
+
+    State is a flag for each history and text, so a batch touches only what it brings.
+    """
     ship(facts.sparkSession)
-    return facts.groupBy("history_name").applyInPandasWithState(_take, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    text = F.trim(F.coalesce("text", F.lit("")))
+    keyed = facts.select("history_name", "seq", text.alias("text"), F.md5(text).alias("text_md5"))
+    return keyed.groupBy("history_name", "text_md5").applyInPandasWithState(_take, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(events: DataFrame, at: str, key: str, gap: str = "7 days", late: str = "1 day") -> DataFrame:

@@ -121,7 +121,8 @@ def test_admission(spark):
 def test_operations(spark):
     rows = pd.DataFrame({"history_name": "h", "seq": range(5), "text": ["a b c d", "a b c d", " ", "a b c e", "x"], "time": ""})
     assert folds.operate(rows)["op"].tolist() == ["ADD", "NONE", "UPDATE", "ADD"]
-    assert folds.operate(rows, lambda held, f: ("delete", 0, ""), allow_delete=False)["op"].tolist() == ["NONE"] * 4
+    gone = [("DELETE", 0, "")]
+    assert folds.operate(rows, decide=lambda held, facts: gone, allow_delete=False)["op"].tolist() == ["NONE"] * 4
     store = spark.createDataFrame([("h", i, i, f"t{i}", "") for i in range(4)], "history_name string, memory_id long, seq long, text string, time string")
     ops = spark.createDataFrame([("h", 0, "UPDATE", "u", "n", 1), ("h", 1, "DELETE", "", "n", 2), ("h", 2, "UPDATE", " ", "n", 3), ("h", 9, "ADD", "new", "n", 4), ("h", 8, "UPDATE", "z", "n", 5), ("h", 0, "UPDATE", "v", "n", 6)], "history_name string, memory_id long, op string, text string, time string, op_seq long")
     assert sorted((r["memory_id"], r["text"]) for r in memory.applied(store, ops).collect()) == [(0, "v"), (2, "t2"), (3, "t3"), (9, "new")]

@@ -40,7 +40,7 @@ def test_candidates(spark, tmp_path):
     assert [r["text"][-6:] for r in held.orderBy("seq").collect()] == [" Nice.", " Lyon."]
 
 
-def test_registry_and_paths(tmp_path):
+def test_registry_and_paths(spark, tmp_path):
     episodes.register("x", "/data/x.json", "zh")
     assert episodes.resolve("x") == ("/data/x.json", "zh") and episodes.resolve("y", "/o") == ("/o", "en")
     with pytest.raises(KeyError):
@@ -48,6 +48,7 @@ def test_registry_and_paths(tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.json").write_text("[]")
     assert episodes.raw_or_preprocessed(str(tmp_path / "pre" / "a.json")) == (str(tmp_path / "raw" / "a.json"), True)
+    assert episodes.raw_or_preprocessed(f"file://{tmp_path}/pre/a.json", spark) == (f"file://{tmp_path}/raw/a.json", True)
     with pytest.raises(FileNotFoundError):
         episodes.raw_or_preprocessed(str(tmp_path / "pre" / "b.json"))
 
@@ -105,6 +106,179 @@ def test_retrying():
     assert backends.Retrying(Flaky(), attempts=2, wait=waits.append).complete(["a", "b"]) == [None, None]
 
 
+def test_wrapped_backends():
+    class Echo:
+        def __init__(self):
+            self.calls = []
+
+        def complete(self, prompts, max_tokens=None):
+            self.calls.append((tuple(prompts), max_tokens))
+            if "bad" in prompts:
+                raise RuntimeError
+            if max_tokens and max_tokens > 300:
+                raise backends.TooLong
+            return [p.upper() for p in prompts]
+
+    e = Echo()
+    assert backends.Concurrent(e, 3, attempts=2, wait=lambda s: None).complete(["a", "bad", "c"]) == ["A", None, "C"]
+    e = Echo()
+    assert backends.Halving(e, 1000).complete(["a"]) == ["A"] and [m for _, m in e.calls] == [1000, 500, 250]
+    assert backends.Halving(Echo(), 9000).complete(["a"]) == ["{}"]
+    e = Echo()
+    assert backends.Batched(e, ("CON", "EQV"), "IND", size=2).complete(["con", "eqv", "what", "bad"]) == ["CON", "EQV", "IND", "IND"]
+    assert len(e.calls) == 4
+    assert backends.request("Qwen3", "x", 9)["chat_template_kwargs"] == {"enable_thinking": False} and "chat_template_kwargs" not in backends.request("other", "x", 9)
+    assert backends.said({"content": " ", "reasoning_content": "r"}) == "r" and backends.said({}) == ""
+    backends.register("echo", Echo)
+    assert isinstance(backends.model("echo"), Echo)
+    with pytest.raises(KeyError):
+        backends.model("none")
+    a, b = backends.identity(backends.Retrying(backends.HashedWords(8))), backends.identity(backends.Retrying(backends.HashedWords(9)))
+    assert a != b and a == backends.identity(backends.Retrying(backends.HashedWords(8)))
+    assert [backends.relation_of(x) for x in ('{"relation": "con"}', '```json\n{"relation": "OSN"}\n```', "so: {\"relation\": \"EQV\"}!", "CON", None, "{")] == ["CON", "OSN", "EQV", "IND", "IND", "IND"]
+
+
+def test_stages_have_locks_and_manifests(spark, tmp_path):
+    a, b = (artifacts.Stages(spark, str(tmp_path)) for _ in range(2))
+    lock = a.lock("ingest", "k")
+    with pytest.raises(artifacts.Busy):
+        b.once("ingest", "k", lambda: spark.range(1))
+    late = artifacts.Stages(spark, str(tmp_path), stale=5.0, now=lambda: __import__("time").time() + 60)
+    assert late.once("ingest", "k", lambda: spark.range(3), upstream="u").count() == 3
+    assert not os.path.exists(lock) and late.manifest("ingest", "k") == {"stage": "ingest", "fingerprint": "k", "run": late.run, "upstream": "u"}
+    assert b.once("ingest", "k", lambda: 1 / 0).count() == 3 and b.made == [] and late.made == ["ingest/k"]
+    with pytest.raises(ZeroDivisionError):
+        b.once("ingest", "l", lambda: 1 / 0)
+    assert b.once("ingest", "l", lambda: spark.range(1)).count() == 1
+
+
+def test_markers_follow_files_and_settings(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text("{}")
+    done = spark.createDataFrame(artifacts.marked(spark, str(tmp_path), {"k": 1}).collect())
+    assert artifacts.unmarked(artifacts.marked(spark, str(tmp_path), {"k": 1}), done).count() == 0
+    assert artifacts.unmarked(artifacts.marked(spark, str(tmp_path), {"k": 2}), done).count() == 2
+    (tmp_path / "a.json").write_text('{"x": 1}')
+    (left,) = artifacts.unmarked(artifacts.marked(spark, str(tmp_path), {"k": 1}), done).collect()
+    assert left["path"].endswith("a.json")
+
+
+class Says:
+    """A language model that answers by a function."""
+
+    def __init__(self, rule):
+        self.rule = rule
+
+    def complete(self, prompts):
+        return [self.rule(p) for p in prompts]
+
+
+def facts_of(spark, texts):
+    words = backends.HashedWords()
+    rows = [("h", i, t, "2023/05/20 (Sat) 0%d:00" % i, 1, 0, i, len(texts), "\n".join(texts), words.embed([t])[0]) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "history_name string, seq long, text string, time string, session_index int, chunk_index int, pos int, of int, transcript string, embedding array<double>")
+
+
+def test_ingest_asks_the_models_it_is_given(spark):
+    facts = facts_of(spark, ["the user likes tea", "the user likes coffee"])
+    label = Says(lambda p: '{"relation": "CON"}' if p.startswith("Compare") else "fused: " + p.split("OLD: ")[1].replace("\n", " | "))
+    models = experiment.Backends(label, backends.HashedWords())
+    got = {r["memory_id"]: r for r in experiment.ingest(facts, "relation_decision", {"threshold": 0.1}, models).collect()}
+    assert [got[i]["memory_role"] for i in range(3)] == ["evidence", "primary", "answer"] and got[1]["answer_hidden"]
+    assert got[2]["text"] == "fused: the user likes tea | NEW: the user likes coffee"
+    plain = experiment.ingest(facts, "relation_decision", {"threshold": 0.1, "no_fusion": True}, models)
+    assert "the user likes coffee" in {r["text"] for r in plain.where("memory_role = 'answer'").collect()}
+    assert experiment.ingest(facts, "relation_decision", {"threshold": 0.1, "active": ["EQV"]}, models).where("memory_role <> 'primary'").count() == 0
+    log = experiment.decisions(facts, {"threshold": 0.1}, models).orderBy("seq").collect()
+    assert [r["event"] for r in log] == ["candidates", "plan", "candidates", "plan", "answer"]
+
+
+def test_operations_leave_the_store_that_they_say(spark):
+    facts = facts_of(spark, ["the user likes tea", "the user likes coffee now", "other"]).withColumn("chunk_index", F.col("seq").cast("int"))
+
+    def rule(p):
+        held = p.split("New facts:")[0]
+        if "coffee" in p.split("New facts:")[1]:
+            return json.dumps({"memory": [{"id": "0", "event": "update", "text": "the user likes coffee now"}, {"id": 7, "event": "DELETE"}, "junk"]})
+        if "other" in p.split("New facts:")[1]:
+            return json.dumps({"memory": [{"id": 0, "event": "DELETE"}, {"event": "ADD", "text": "other"}]}) if "coffee" in held else "no JSON"
+        return json.dumps({"memory": [{"event": "ADD", "text": "the user likes tea"}]})
+
+    models = experiment.Backends(Says(rule), backends.HashedWords())
+    got = experiment.ingest(facts, "mem0", {}, models).collect()
+    assert [r["text"] for r in got] == ["other"]
+    kept = experiment.ingest(facts, "mem0", {"allow_delete": False}, models)
+    assert {r["text"] for r in kept.collect()} == {"the user likes coffee now", "other"}
+    assert {r["text"] for r in experiment.ingest(facts.where("seq < 2").replace("the user likes coffee now", "the user likes coffee", "text"), "mem0", {}).collect()} == {"the user likes coffee"}
+
+
+def test_admission_features_come_from_the_chunk(spark):
+    facts = facts_of(spark, ["my name is Ann", "my name is Ann Lee", "zzz"])
+    plain = {r["seq"]: r for r in experiment.scored(facts, {}, experiment.Backends()).collect()}
+    assert [plain[i]["confidence"] for i in range(3)] == [1.0, 1.0, 1.0] and plain[2]["recency"] == 1.0 > plain[0]["recency"]
+    asked = experiment.Backends(Says(lambda p: '{"utility": 7}' if "Fact: zzz" in p else "none"))
+    assert {r["seq"]: r["utility"] for r in experiment.scored(facts, {}, asked).collect()} == {0: 0.5, 1: 0.5, 2: 1.0}
+    assert {r["utility"] for r in experiment.scored(facts, {"skip_utility": True}, asked).collect()} == {0.5}
+    only_last = experiment.ingest(facts, "amac", {"weights": "0,0,0,1,0", "threshold": 0.99})
+    assert [r["text"] for r in only_last.collect()] == ["zzz"]
+
+
+def test_clusters_keep_times_and_stable_ids(spark):
+    facts = facts_of(spark, ["the user likes tea", "the user likes tea", "other things"])
+    a, b = (sorted(map(tuple, experiment.ingest(facts.repartition(n, "seq"), "evermemos", {}).collect())) for n in (1, 5))
+    assert a == b and len({r[1] for r in a}) == len(a)
+    assert {(r[3], r[4][-5:], r[5]) for r in a} == {("the user likes tea the user likes tea", "01:00", "primary"), ("the user likes tea", "00:00", "evidence"), ("the user likes tea", "01:00", "evidence"), ("other things", "02:00", "primary")}
+
+
+def test_graph_facts_hold_until_the_next(spark):
+    facts = facts_of(spark, ["the user lives in Rome", "the user lives in Lyon", "the user works"])
+    assert {r["text"] for r in experiment.ingest(facts, "zep", {}).collect()} == {"User_h lives in Lyon", "User_h works"}
+
+
+def test_fusion_rewires_and_marks_a_copy(spark, tmp_path):
+    kind = "history_name string, memory_id long, seq long, text string, time string, memory_role string, parent_primary long, answer_hidden boolean, answer_id long, stale boolean, fused_member_count long"
+    rows = [("h", 0, 0, "a", "2", None, None, None, None, None, None), ("h", 1, 1, "b", "1", "evidence", 0, None, None, None, None), ("h", 2, 2, "c", "3", "primary", None, None, None, None, None), ("h", 3, 3, "d", "4", "primary", 1, None, None, None, None), ("g", 0, 0, "x", "1", None, None, None, None, None, 1), ("g", 1, 1, "y", "1", "evidence", 0, None, None, None, 1)]
+    df = spark.createDataFrame(rows, kind).withColumn("member_ids", F.when(F.col("history_name") == "g", F.array("memory_id")))
+    got = {(r["history_name"], r["memory_id"]): (r["text"], r["time"], r["parent_primary"], r["fused_member_count"]) for r in experiment.fused(df).collect()}
+    assert got == {("h", 4): ("a\nb", "2", None, 2), ("h", 2): ("c", "3", None, 1), ("h", 3): ("d", "4", 4, 1), ("g", 0): ("x", "1", None, 1), ("g", 1): ("y", "1", 0, 1)}
+    said = {r["memory_id"]: r["text"] for r in experiment.fused(df, Says(lambda p: "one" if "a" in p else None)).where("history_name = 'h'").collect()}
+    assert said == {4: "one", 2: "c", 3: "d"}
+    stages = artifacts.Stages(spark, str(tmp_path))
+    stages.once("ingest", "k", lambda: df)
+    assert experiment.fuse_copy(spark, stages, "k", "f").count() == 5 and spark.read.parquet(stages.path("ingest", "k")).count() == 6
+    assert stages.manifest("fusion", "f")["upstream"] == "k"
+    again = experiment.fused(spark.read.parquet(stages.path("fusion", "f")))
+    assert sorted(map(str, again.collect())) == sorted(map(str, spark.read.parquet(stages.path("fusion", "f")).collect()))
+
+
+def test_answers_by_each_way_of_retrieval(spark):
+    words = backends.HashedWords()
+    m = experiment.ingest(facts_of(spark, ["tea is green", "coffee is black", "milk is white"]), "add_all", {})
+    q = spark.createDataFrame([("h", "q", "what is black coffee", "black", "t")], "history_name string, question_id string, question string, answer string, question_type string")
+    ask = lambda **more: experiment.answer(m, q, "add_all", 1, None, backends.Lines(), words, **more).first()["context"]
+    assert ask() == ask(mixed={"dense_weight": 0, "bm25_weight": 1}) == ask(fused_rows=experiment.fused(m)) and "coffee is black" in ask()
+    assert "2023" in ask() and "2023" not in ask(show_time=False)
+    assert experiment.answer(m, q, "add_all", 1, 2, backends.Lines(), words, trim=lambda c, n: F.upper(c)).first()["context"].startswith("MEMORY 1")
+
+
+def test_variants_share_what_does_not_change(spark, tmp_path):
+    (tmp_path / "raw.json").write_text(json.dumps(RAW))
+    sessions = episodes.sessions_of_raw(episodes.read_json(spark, str(tmp_path / "raw.json"), episodes.RAW))
+    questions = spark.createDataFrame([("h1", "q1", "Where does the user live? moved Lyon", "Lyon", "update")], "history_name string, question_id string, question string, answer string, question_type string")
+    other = json.loads(json.dumps(CONFIG))
+    other["generate"]["memory_token_limit"] = 512
+    models = {"extractor": backends.Lines(), "answerer": backends.Lines(), "judging": backends.Containment(), "embedding": backends.HashedWords()}
+    runs = [experiment.Run(c, "add_all", **models) for c in (CONFIG, other)]
+    assert [s for s, _, _ in experiment.scheduled(runs)] == ["candidate", "ingest", "answer", "answer", "judge", "judge"]
+    got = experiment.run_variants(spark, str(tmp_path / "out"), [("a", CONFIG), ("b", other)], ["add_all"], sessions, questions, **models).where("question_type = 'ALL'").collect()
+    assert sorted((r["variant_id"], r["method"], r["judged"]) for r in got) == [("a", "add_all", 1), ("b", "add_all", 1)]
+    assert sorted(os.listdir(tmp_path / "out" / "stages")) == ["answer", "candidate", "ingest", "judge"]
+    assert [len([x for x in os.listdir(tmp_path / "out" / "stages" / s) if x.endswith(".json")]) for s in ("candidate", "ingest", "answer", "judge")] == [1, 1, 2, 2]
+    changed = experiment.Run(CONFIG, "add_all", **(models | {"judging": backends.Lines()}))
+    assert [changed.keys[s] == runs[0].keys[s] for s in changed.keys] == [True, True, True, False]
+    assert experiment.Run(CONFIG, "add_all", nonce="x", **models).keys["candidate"] != runs[0].keys["candidate"]
+
+
 @pytest.mark.parametrize("method", experiment.METHODS)
 def test_the_whole_experiment(spark, tmp_path, method):
     (tmp_path / "raw.json").write_text(json.dumps(RAW))
@@ -115,8 +289,8 @@ def test_the_whole_experiment(spark, tmp_path, method):
     got = {r["question_type"]: (r["correct"], r["judged"]) for r in experiment.run(spark, *given).collect()}
     assert got["ALL"][1] == 3 and got["update"] == (1, 1) and got["other"] == (0, 2)
     stages = artifacts.Stages(spark, str(tmp_path / "out"))
-    assert stages.finished("candidate", artifacts.fingerprint("candidate", CONFIG))
-    assert stages.once("candidate", artifacts.fingerprint("candidate", CONFIG), lambda: 1 / 0).count() > 0
+    key = experiment.Run(CONFIG, method, line, line, judge, words).keys["candidate"]
+    assert stages.finished("candidate", key) and stages.once("candidate", key, lambda: 1 / 0).count() > 0
 
 
 def test_facts_as_a_stream(spark, tmp_path):
