@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -187,24 +188,11 @@ def gram_buckets(codes: np.ndarray, orders: tuple[int, ...], bits: int) -> Itera
             yield n, x.view(np.int64)
 
 
-class _Index(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        k = self[word] = len(self)
-        self.new.append(word)
-        return k
-
-
 class Pool:
     """Words' ids on end, so that the ids of many words are gathered at once."""
 
     def __init__(self, kind: type = np.uint32) -> None:
-        self.index = _Index()
+        self.index: dict[str, int] = {}
         self.flat = np.empty(1 << 16, kind)
         self.at = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
@@ -218,9 +206,13 @@ class Pool:
 
         The caller puts the new words' ids before it gathers.
         """
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        new, self.index.new = self.index.new, []
-        return which, new, len(self.index) - len(new)
+        which = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        unknown, first = np.flatnonzero(which < 0).tolist(), len(self.index)
+        asked = [words[i] for i in unknown]
+        new = list(dict.fromkeys(asked))
+        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        which[unknown] = list(map(self.index.__getitem__, asked))
+        return which, new, first
 
     def put(self, numbers: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         """The ids (on end) of the words with these numbers, and how many each has."""

@@ -7,9 +7,9 @@ the file share. Files get their final name by a rename, so a task that runs
 twice leaves the same files; a manifest table names those that count.
 
 Rows: a null text is an empty one and has the end id only. Rows that repeat a
-``doc_id`` (or lack it; those come first) are kept, ordered by the first ``HEAD``
-characters of their text, and within a task by all of it; very many of them are
-dealt to several tasks. An empty table makes no file.
+``doc_id`` (or lack it; those come first) are kept; very many of them are dealt to
+several tasks, and within a task they are ordered by their text. An empty table
+makes no file.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ from . import rans, runtime, text
 
 #: The id that ends each document, and ids of a file at most (longer documents get a file of their own).
 END_ID, FILE_IDS = 1, 4 << 20
-#: Characters of a text by which rows of one id are dealt, and parts into which equal ones are.
-HEAD, SALTS = 64, 256
+#: Parts into which rows of one id are dealt.
+SALTS = 256
 #: Words that the encoder remembers at most.
-MEMORY = 250_000
+MEMORY = 700_000
 
 _FILE = struct.Struct("<4sIQ")
 
@@ -68,19 +69,25 @@ class WordEncoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.pool = text.Pool()
 
-    def _cut(self, t: str) -> list[str]:
-        if (t.isascii() or not self._OTHER.search(t)) and not any(x in t for x in self.special):
+    def _plain(self, t: str) -> bool:
+        """Is the text cut as the tokenizer does?"""
+        return (t.isascii() or not self._OTHER.search(t)) and not any(x in t for x in self.special)
+
+    def _cut(self, t: str, plain: bool) -> list[str]:
+        if plain:
             return self._PART.findall(t.lower())
         return [w for w in t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
 
-    def _learn(self, words: list[str], first: int) -> None:
+    def _learn(self, words: list[str], first: int, plain: bool) -> None:
+        """Send new words to the library; ``plain`` ones are a pre-token each."""
         for lo in range(0, len(words), 50_000):
             part = words[lo : lo + 50_000]
             groups = [part[i : i + 500] for i in range(0, len(part), 500)]
             for k, (group, e) in enumerate(zip(groups, self.lib.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True)):
                 ids = np.array(e.ids, np.uint32)
                 size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
-                if len(size) != len(group) or size.sum() != len(ids) or any(" " in w for w in group) or any(len(self._PART.findall(w.lower())) != 1 for w in group if not w.isalpha()):
+                whole = plain or not (any(" " in w for w in group) or any(len(self._PART.findall(w.lower())) != 1 for w in group if not w.isalpha()))
+                if not whole or len(size) != len(group) or size.sum() != len(ids):
                     each = [x.ids for x in self.lib.encode_batch_fast(group, add_special_tokens=False)]
                     size, ids = np.array([len(x) for x in each]), np.array([i for x in each for i in x], np.uint32)
                 at = first + lo + 500 * k
@@ -90,10 +97,11 @@ class WordEncoder:
         """Ids of all texts on end, and how many each has."""
         if len(self.pool) > MEMORY:
             self.pool = text.Pool()
-        cut = [self._cut(t) for t in texts]
-        which, new, first = self.pool.numbers([w for ws in cut for w in ws])
+        plain = [self._plain(t) for t in texts]
+        cut = [self._cut(t, p) for t, p in zip(texts, plain, strict=True)]
+        which, new, first = self.pool.numbers(list(chain.from_iterable(cut)))
         if new:
-            self._learn(new, first)
+            self._learn(new, first, all(plain))
         return self.pool.gather(which, [len(ws) for ws in cut])
 
 
@@ -181,9 +189,8 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str, end_id: int
         if docs:
             yield flush()
 
-    # Range bounds have three keys, so that no single id or text is one task's.
-    rows = runtime.need(documents, "doc_id", "text").withColumns({"head": F.substring("text", 1, HEAD), "salt": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))})
-    dealt = rows.repartitionByRange("doc_id", "head", "salt").drop("head", "salt").sortWithinPartitions("doc_id", "text")
+    rows = runtime.need(documents, "doc_id", "text").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
+    dealt = rows.repartitionByRange("doc_id", "salt").drop("salt").sortWithinPartitions("doc_id", "text")
     return runtime.written(dealt.mapInArrow(runtime.lean(run, "tokens"), MANIFEST), "token-manifest")
 
 
