@@ -34,7 +34,7 @@ SMOOTHING = 0.5
 
 @dataclass
 class LangModel:
-    """Log-probabilities of each bucket by language, the languages in order, and the logs of their shares."""
+    """Log-probabilities of each bucket by language (0 for the one beyond), the languages in order, and the logs of their shares."""
 
     langs: list[str]
     logp: np.ndarray
@@ -46,11 +46,11 @@ def _packed(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield lo, hi, *text.folded(column.slice(lo, hi - lo).to_pylist())
 
 
-def _grams(codes: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order, the n-grams' buckets, and which of them end within their text."""
+def _grams(codes: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order, the n-grams' buckets; those that would pass their text's end are in a bucket of their own, the last."""
     end = np.repeat(offs[1:], np.diff(offs))
     for n, buckets in text.gram_buckets(codes, ORDERS, BITS):
-        yield buckets, np.arange(len(codes)) + n <= end
+        yield np.where(np.arange(len(codes)) + n <= end, buckets, 1 << BITS)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +64,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 into = counts.setdefault(name, np.zeros(1 << BITS, np.int64))
                 docs[name] = docs.get(name, 0) + 1
                 own = slice(offs[i], offs[i + 1])
-                for buckets, inside in all_of:
-                    into += np.bincount(buckets[own][inside[own]], minlength=1 << BITS)
+                for buckets in all_of:
+                    into += np.bincount(buckets[own], minlength=(1 << BITS) + 1)[:-1]
     for name, c in counts.items():
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(c[at], docs[name]), pa.int64())], names=["lang", "bucket", "n"])
@@ -98,16 +98,16 @@ def models(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Iterator[LangModel]
             if name in own:  # else the sample has none of its documents
                 grams = own[name][own[name]["bucket"] >= 0]
                 counts[i, grams["bucket"].to_numpy()] += grams["n"].to_numpy()
-        yield LangModel(langs, np.log(counts / counts.sum(1, keepdims=True)), np.log(np.array([prior[x] for x in langs]) / total))
+        yield LangModel(langs, np.pad(np.log(counts / counts.sum(1, keepdims=True)), ((0, 0), (0, 1))), np.log(np.array([prior[x] for x in langs]) / total))
 
 
 def log_scores(model: LangModel, texts: list[str | None]) -> np.ndarray:
     """Rows of log-probabilities of a text and each language; NaN for texts without a letter."""
     codes, offs = text.folded(texts)
     total = np.zeros((len(texts), len(model.langs)))
-    for buckets, inside in _grams(codes, offs):
+    for buckets in _grams(codes, offs):
         for k in range(len(model.langs)):
-            total[:, k] += np.add.reduceat(np.where(inside, model.logp[k][buckets], 0.0), offs[:-1])
+            total[:, k] += np.add.reduceat(model.logp[k][buckets], offs[:-1])
     total += model.prior
     total[np.add.reduceat((codes != 0).astype(np.int64), offs[:-1]) == 0] = np.nan
     return total
