@@ -26,14 +26,14 @@ from ..session import ship
 #: Rows of an Arrow batch sent to Python. Texts can be long, so it is small.
 BATCH_ROWS = 1024
 #: The JVM's command that returns the C library's free memory; seconds between two uses.
-TRIM, RELIEF_S = "systemTrimNativeHeap", 5.0
+TRIM, RELIEF_S = "systemTrimNativeHeap", 3.0
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from the session's settings."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "palimpsest-shared")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -64,8 +64,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # a task buffers a row group
     relieve(spark)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # a task buffers a row group
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
