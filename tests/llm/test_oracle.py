@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are n
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "sale_lines"):
         c.execute(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
     found = c.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
