@@ -5,7 +5,9 @@ segments' costs and of ``penalty`` for each cut is least. The program goes over
 days; for each, the starts of the last segment are the leaves of a tree of blocks. A
 block cannot cost less than its least prefix and the cost of its shortest segment's sum
 of squared errors spread over its longest one, since that sum only grows with a segment.
-Blocks are opened in the order of their bounds until none is as good as the best start.
+Blocks are opened in the order of their bounds until none is as good as the best start;
+a bound is loose by what a block's days cost, so noisy series (days dearer than a cut
+each) have most blocks opened.
 Many series go side by side, so a step is a few numpy operations.
 
 Sums of a day are made before anything is gathered by series, so a task holds a series'

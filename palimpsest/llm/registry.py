@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold queries.
-MODULES = ("licenses", "langid", "toxicity", "tokens", "pieces", "voronoi", "warc", "substrings", "jaccard", "decontaminate", "changepoints", "dialogue")
+MODULES = ("licenses", "langid", "toxicity", "tokens", "pieces", "voronoi", "warc", "substrings", "jaccard", "decontaminate", "changepoints", "dialogue", "simhash")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
