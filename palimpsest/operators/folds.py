@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..session import ship
-from . import admission
+from . import admission, neighbours
 
 
 def _unit(v) -> np.ndarray:
@@ -42,6 +43,9 @@ class _Vectors:
     def similar(self, which: list[int], v: np.ndarray) -> np.ndarray:
         return self.held[which] @ v
 
+    def all(self) -> np.ndarray:
+        return self.held[: self.used]
+
 
 def _rows(pdf: pd.DataFrame, *names: str) -> Iterator[tuple]:
     """The named columns' values row by row; None for columns that are not there."""
@@ -89,31 +93,34 @@ def cluster(pdf: pd.DataFrame, threshold: float = 0.65, gap_days: float = 7.0) -
     ``at`` is seconds or null; times are compared only where both are known.
     Of equally near centroids the older one wins.
     """
-    centroids: list[np.ndarray] = []
+    centroids, lengths = _Vectors(), np.empty(16)
     counts: list[int] = []
-    last: list[float] = []
+    last = np.empty(16)
     rows = []
     for name, seq, embedding, when in _rows(pdf, "history_name", "seq", "embedding", "at"):
         v = np.asarray(embedding, float)
         at = np.nan if pd.isna(when) else float(when)
         best = -1
-        if centroids:
-            c = np.stack(centroids)
-            sims = (c @ v) / ((np.sqrt((c * c).sum(1)) + 1e-9) * (np.sqrt(v @ v) + 1e-9))
-            sims[np.abs(at - np.array(last)) > gap_days * 86400] = -np.inf  # false for unknown times
+        known = len(counts)
+        if known:
+            sims = (centroids.all() @ v) / ((lengths[:known] + 1e-9) * (np.sqrt(v @ v) + 1e-9))
+            sims[np.abs(at - last[:known]) > gap_days * 86400] = -np.inf  # false for unknown times
             k = int(sims.argmax())
             if sims[k] >= threshold:
                 best = k
         if best < 0:
-            centroids.append(v.copy())
+            best = known
+            if best == len(last):
+                last, lengths = np.resize(last, 2 * best), np.resize(lengths, 2 * best)
+            centroid, last[best] = v, at
             counts.append(1)
-            last.append(at)
-            best = len(counts) - 1
         else:
             n = counts[best]
-            centroids[best] = (centroids[best] * n + v) / (n + 1)
+            centroid = (centroids.held[best] * n + v) / (n + 1)
             counts[best] = n + 1
             last[best] = at if np.isnan(last[best]) else last[best] if np.isnan(at) else max(last[best], at)
+        centroids.put(best, centroid)
+        lengths[best] = np.sqrt((centroid * centroid).sum())
         rows.append((name, seq, f"cluster_{best:04d}"))
     return pd.DataFrame(rows, columns=["history_name", "seq", "cluster"])
 
@@ -123,6 +130,9 @@ CLUSTER = "history_name string, seq long, cluster string"
 
 # Relations -------------------------------------------------------------------
 
+#: The least similarity of a candidate.
+THRESHOLD = 0.7
+
 
 @dataclass
 class Memory:
@@ -139,6 +149,7 @@ class Memory:
     answer: int | None = None
     members: list[int] = field(default_factory=list)
     root: int | None = None
+    point: int | None = None
 
 
 def words_label(old: str, new: str, threshold: float = 0.5) -> str:
@@ -160,19 +171,28 @@ class RelationStore:
     answer memory's text, or None to keep raw texts; ``embed(text)`` a vector.
     """
 
-    def __init__(self, label=words_label, fuse=None, embed=None, threshold: float = 0.7, k: int = 5, active: tuple[str, ...] = ("EQV", "NSO", "OSN", "CON")) -> None:
+    def __init__(self, label=words_label, fuse=None, embed=None, threshold: float = THRESHOLD, k: int = 5, active: tuple[str, ...] = ("EQV", "NSO", "OSN", "CON")) -> None:
         self.rows: list[Memory] = []
         self.vectors = _Vectors()
+        self.near: neighbours.Near | None = None
+        self.points: dict[int, dict[int, None]] = {}  # primaries of each point, the earliest first
         self.log: list[tuple[str, dict]] = []
         self.label, self.fuse, self.embed, self.threshold, self.k, self.active = label, fuse, embed, threshold, k, active
 
     def _append(self, **values) -> Memory:
         self.rows.append(Memory(len(self.rows), **values))
-        self.vectors.put(len(self.rows) - 1, values["vector"])
+        if self.near is None:
+            self.vectors.put(len(self.rows) - 1, values["vector"])
         return self.rows[-1]
 
-    def candidates(self, vector: np.ndarray) -> list[Memory]:
-        """The k nearest primaries, the earlier of equally near ones first."""
+    def candidates(self, vector: np.ndarray, point: int | None = None) -> list[Memory]:
+        """The k nearest primaries, the earlier of equally near ones first.
+
+        With ``near`` edges those of the fact's point are walked, else all primaries
+        are compared.
+        """
+        if self.near is not None:
+            return self._walked(point)
         primaries = [m.id for m in self.rows if m.role == "primary"]
         if not primaries:
             return []
@@ -180,14 +200,30 @@ class RelationStore:
         best = np.argsort(-near, kind="stable")[: self.k]
         return [self.rows[primaries[i]] for i in best if near[i] >= self.threshold]
 
-    def add(self, text: str, vector, time: str = "") -> str:
+    def _walked(self, point: int | None) -> list[Memory]:
+        found: list[int] = []
+        tied: list[int] = []
+        before = None
+        for other, score in zip(*self.near.of(point), strict=True):
+            held = self.points.get(other)
+            if not held:
+                continue
+            if score != before:
+                found += sorted(tied)
+                tied, before = [], score
+                if len(found) >= self.k:
+                    break
+            tied += islice(held, self.k)
+        return [self.rows[i] for i in (found + sorted(tied))[: self.k]]
+
+    def add(self, text: str, vector, time: str = "", point: int | None = None) -> str:
         """Take in one fact; the outcome."""
         text = text.strip()
         if not text:
             return "blank"
-        v = _unit(vector)
+        v = None if vector is None else _unit(vector)
         found: dict[str, list[Memory]] = {}
-        near = self.candidates(v)
+        near = self.candidates(v, point)
         for m in near:
             x = self.label(m.text, text)
             found.setdefault(x if x in self.active else "IND", []).append(m)
@@ -199,9 +235,11 @@ class RelationStore:
             new = self._append(text=text, vector=v, time=time, role="evidence", parent=anchor.id, edge="ATTACH" if relation == "NSO" else "EQUIV")
             hide = anchor
         else:
-            new = self._append(text=text, vector=v, time=time)
+            new = self._append(text=text, vector=v, time=time, point=point)
+            self.points.setdefault(point, {})[new.id] = None
             for m in olds:
                 m.role, m.parent, m.edge = "evidence", new.id, "UPDATE" if relation == "CON" else "ATTACH"
+                del self.points[m.point][m.id]
             anchor, hide = (olds[0] if olds else None), new
         outcome = {"CON": "conflict_update", "OSN": "stronger_primary", "NSO": "weaker_evidence", "EQV": "equivalent_evidence", None: "fresh"}[relation]
         self.log.append(("plan", {"outcome": outcome, "new_id": new.id, "old_ids": [m.id for m in olds]}))
@@ -223,33 +261,53 @@ class RelationStore:
         if held is None:
             held = self._append(text=text, vector=vector, time=time, role="answer")
         held.text, held.vector, held.time, held.root = text, vector, time, hide.id
-        self.vectors.put(held.id, vector)
+        if self.near is None:
+            self.vectors.put(held.id, vector)
         self.log.append(("answer", {"answer_id": held.id, "hidden_id": hide.id, "relation": relation, "text": text}))
         held.members += [i for i in (anchor.id, new.id) if i not in held.members]
         hide.hidden, hide.answer = True, held.id
         anchor.answer = held.id
 
 
-def _related(pdf: pd.DataFrame, settings: dict) -> RelationStore:
+def _related(pdf: pd.DataFrame, settings: dict, near: neighbours.Near | None = None) -> RelationStore:
     store = RelationStore(**settings)
-    for text, embedding, time in _rows(pdf, "text", "embedding", "time"):
-        store.add(text or "", embedding, time or "")
+    embeddings, seqs = pdf["embedding"].tolist(), pdf["seq"].tolist() if "seq" in pdf else list(range(len(pdf)))
+    store.near = neighbours.within(embeddings, seqs, store.threshold) if near is None else near
+    points = neighbours.named(embeddings, seqs)
+    for text, embedding, time, point in zip(pdf["text"], embeddings, pdf["time"] if "time" in pdf else [None] * len(pdf), points, strict=True):
+        store.add(text or "", embedding, time or "", point)
     return store
 
 
-def relate(pdf: pd.DataFrame, **settings) -> pd.DataFrame:
-    """One history's facts (text, time, embedding) through a ``RelationStore``."""
-    store = _related(pdf, settings)
+def relate(pdf: pd.DataFrame, near: neighbours.Near | None = None, **settings) -> pd.DataFrame:
+    """One history's facts (seq, text, time, embedding) through a ``RelationStore``; ``near`` edges may be given."""
+    store = _related(pdf, settings, near)
     name = pdf["history_name"].iloc[0] if len(pdf) else None
     rows = [(name, m.id, m.text, m.time, m.role, m.parent, m.edge, m.hidden, m.answer, len(m.members)) for m in store.rows]
     out = pd.DataFrame(rows, columns=["history_name", "memory_id", "text", "time", "memory_role", "parent_primary", "edge", "answer_hidden", "answer_id", "fused_member_count"])
     return out.astype({"parent_primary": "Int64", "answer_id": "Int64"})
 
 
-def decisions(pdf: pd.DataFrame, **settings) -> pd.DataFrame:
+def joined(facts: DataFrame, fold, schema: str, threshold: float) -> DataFrame:
+    """``fold`` (``relate`` or ``decisions`` with settings) over each history's rows and the edges of ``neighbours``.
+
+    Similarities are made by many tasks, also within one history; what a history's own
+    task holds are its facts and their edges above the threshold.
+    """
+    ship(facts.sparkSession)
+
+    def run(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        near = neighbours.Near(*(edges[c].to_numpy(t) for c, t in (("a", np.int64), ("b", np.int64), ("score", float))))
+        return fold(rows.sort_values("seq", kind="stable").reset_index(drop=True), near=near)
+
+    near = neighbours.edges(facts, threshold)
+    return facts.groupBy("history_name").cogroup(near.groupBy("history_name")).applyInPandas(run, schema)
+
+
+def decisions(pdf: pd.DataFrame, near: neighbours.Near | None = None, **settings) -> pd.DataFrame:
     """The log of the same fold: what each fact met, what was planned, which answer was written."""
     name = pdf["history_name"].iloc[0] if len(pdf) else None
-    log = _related(pdf, settings).log
+    log = _related(pdf, settings, near).log
     return pd.DataFrame([(name, i, event, json.dumps(detail, ensure_ascii=False, sort_keys=True, default=str)) for i, (event, detail) in enumerate(log)], columns=["history_name", "seq", "event", "detail"])
 
 
@@ -283,13 +341,16 @@ def operations(said: str | None, known: int) -> list[Operation]:
     return out
 
 
+def _head(text: str) -> tuple[str, ...]:
+    return tuple(text.lower().split(None, 3)[:3])
+
+
 def first_words(existing: list[str], facts: list[str]) -> list[Operation]:
     """The offline rule for one fact: a known text is NONE, equal first three words UPDATE, anything else ADD."""
     out: list[Operation] = []
     for fact in facts:
-        head = fact.lower().split()[:3]
         same = next((i for i, t in enumerate(existing) if t == fact), -1)
-        near = next((i for i, t in enumerate(existing) if t.lower().split()[:3] == head), -1)
+        near = next((i for i, t in enumerate(existing) if _head(t) == _head(fact)), -1)
         out.append(("NONE", same, "") if same >= 0 else ("UPDATE", near, fact) if near >= 0 else ("ADD", -1, fact))
     return out
 
@@ -306,6 +367,26 @@ class OperationStore:
         self.decide, self.allow_delete, self.k, self.cap = decide, allow_delete, k, cap
         self.rows: list[dict | None] = []
         self.vectors = _Vectors()
+        self.live = 0
+        # The offline rule over all memories deletes nothing, so it can look them up.
+        self.indexed = decide is first_words and k is None
+        self.texts: dict[str, set[int]] = {}
+        self.heads: dict[tuple[str, ...], int] = {}
+
+    def _looked_up(self, facts: list[str]) -> list[Operation]:
+        """What ``first_words`` says of all memories; places are rows."""
+        out: list[Operation] = []
+        for fact in facts:
+            same, near = min(self.texts.get(fact, ()), default=-1), self.heads.get(_head(fact), -1)
+            out.append(("NONE", same, "") if same >= 0 else ("UPDATE", near, fact) if near >= 0 else ("ADD", -1, fact))
+        return out
+
+    def _index(self, i: int, old: str | None, new: str) -> None:
+        if self.indexed:
+            if old is not None:
+                self.texts[old].discard(i)
+            self.texts.setdefault(new, set()).add(i)
+            self.heads.setdefault(_head(new), i)
 
     def shown(self, vectors: list[np.ndarray]) -> list[int]:
         live = [i for i, r in enumerate(self.rows) if r is not None]
@@ -325,24 +406,29 @@ class OperationStore:
         if not facts:
             return
         vectors = [_unit(v) if v is not None else np.zeros(1) for _, _, v, _ in facts]
-        shown = self.shown(vectors)
+        shown = range(len(self.rows)) if self.indexed else self.shown(vectors)
         by_text = {text: (seq, v, time) for (seq, text, _, time), v in zip(facts, vectors, strict=True)}
         last = facts[-1]
-        for op, i, text in self.decide([self.rows[j]["text"] for j in shown], [f[1] for f in facts]):
+        said = [f[1] for f in facts]
+        for op, i, text in self._looked_up(said) if self.indexed else self.decide([self.rows[j]["text"] for j in shown], said):
             seq, v, time = by_text.get(text, (last[0], vectors[-1], last[3]))
             if text and text not in by_text and embed:
                 v = _unit(embed(text))
             if op == "ADD" and text:
                 self.rows.append({"text": text, "time": time, "source": "added", "seq": seq})
                 self.vectors.put(len(self.rows) - 1, v)
+                self.live += 1
+                self._index(len(self.rows) - 1, None, text)
             elif op == "UPDATE" and text and 0 <= i < len(shown) and self.rows[shown[i]] is not None:
+                self._index(shown[i], self.rows[shown[i]]["text"], text)
                 self.rows[shown[i]] |= {"text": text, "time": time, "source": "updated"}
                 self.vectors.put(shown[i], v)
             elif op == "DELETE" and self.allow_delete and 0 <= i < len(shown):
+                self.live -= self.rows[shown[i]] is not None
                 self.rows[shown[i]] = None
             else:
                 op = "NONE"
-            yield seq, op, sum(r is not None for r in self.rows)
+            yield seq, op, self.live
 
 
 def _operated(pdf: pd.DataFrame, batch: str | None, embed, settings: dict) -> tuple[OperationStore, list[tuple]]:

@@ -95,12 +95,14 @@ def _embed(embedding: backends.Embedding, text: str) -> list[float]:
 
 
 def _relations(facts: DataFrame, settings: dict, models: Backends) -> DataFrame:
-    return folds.folded(facts, partial(folds.relate, **relation_settings(settings, models)), folds.RELATE).withColumn("seq", F.col("memory_id"))
+    own = relation_settings(settings, models)
+    return folds.joined(facts, partial(folds.relate, **own), folds.RELATE, own.get("threshold", folds.THRESHOLD)).withColumn("seq", F.col("memory_id"))
 
 
 def decisions(facts: DataFrame, settings: dict, models: Backends) -> DataFrame:
     """``history_name, seq, event, detail``: what relation decisions met, planned and wrote."""
-    return folds.folded(facts, partial(folds.decisions, **relation_settings(settings, models)), folds.DECISIONS)
+    own = relation_settings(settings, models)
+    return folds.joined(facts, partial(folds.decisions, **own), folds.DECISIONS, own.get("threshold", folds.THRESHOLD))
 
 
 def _operations(facts: DataFrame, settings: dict, models: Backends) -> DataFrame:

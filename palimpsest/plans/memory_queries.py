@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import admission, folds, memory
+from ..operators import admission, folds, memory, neighbours
 from .derived import MEMORIES, PRIMARY_SQL, VISIBLE_SQL, memories, table
 
 
@@ -141,6 +141,20 @@ def relation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.folded(m, partial(folds.relate, threshold=0.15), folds.RELATE)
 
 
+def relation_fold_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``relation_fold``, with similarities made by many tasks."""
+    from functools import partial
+
+    m = memories(spark, sf_dir).select("history_name", "seq", "text", "time", "embedding")
+    return folds.joined(m, partial(folds.relate, threshold=0.15), folds.RELATE, 0.15)
+
+
+def near_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a history that are near, which relation decisions walk over."""
+    near = neighbours.edges(memories(spark, sf_dir).select("history_name", "seq", "embedding"), 0.15)
+    return near.select("history_name", "a", "b", F.round("score", 6).alias("score"))
+
+
 def mem0_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.folded(_facts(spark, sf_dir).select("history_name", "seq", "text", "time"), folds.operate, folds.OPERATE)
 
@@ -221,7 +235,7 @@ _MEM0 = f"""
     )"""
 _UNIT = "u AS (SELECT history_name, seq, row_number() OVER (PARTITION BY history_name ORDER BY seq) AS k, embedding, time, text, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y * y)))) AS v FROM memories)"
 
-QUERIES = {f.__name__: f for f in (answer_visible, searchable_primary, list_memories, ingest_add_all, dedup_identical_text, evidence_tree, bundle_fusion_fallback, depth_one_partition, mem0_apply_batch, evermemos_finalize, edge_validity, edge_export_incremental, pronoun_alias, amac_features, amac_admit_setwise, amac_fold, evermemos_clusters, relation_fold, relation_log, mem0_fold, mem0_store, fused_store, packages_by_depth, graph_valid_facts)}
+QUERIES = {f.__name__: f for f in (answer_visible, searchable_primary, list_memories, ingest_add_all, dedup_identical_text, evidence_tree, bundle_fusion_fallback, depth_one_partition, mem0_apply_batch, evermemos_finalize, edge_validity, edge_export_incremental, pronoun_alias, amac_features, amac_admit_setwise, amac_fold, evermemos_clusters, relation_fold, relation_fold_joined, near_points, relation_log, mem0_fold, mem0_store, fused_store, packages_by_depth, graph_valid_facts)}
 ORACLE_SQL = {
     "answer_visible": f"WITH {MEMORIES} SELECT history_name, memory_id, coalesce(memory_role, 'primary') AS role FROM memories WHERE {VISIBLE_SQL}",
     "searchable_primary": f"WITH {MEMORIES} SELECT history_name, memory_id, answer_hidden FROM memories WHERE {PRIMARY_SQL} AND NOT stale",
@@ -315,6 +329,11 @@ ORACLE_SQL = {
     )
     SELECT history_name, seq, printf('cluster_%04d', own - 1) AS cluster FROM s
     """,
+    "near_points": f"""
+    WITH {MEMORIES}, {_UNIT}, p AS (SELECT history_name, min(seq) AS seq, any_value(v) AS v FROM u GROUP BY history_name, embedding)
+    SELECT x.history_name, x.seq AS a, y.seq AS b, round(list_inner_product(x.v, y.v), 6) AS score
+    FROM p x JOIN p y ON y.history_name = x.history_name AND y.seq >= x.seq WHERE list_inner_product(x.v, y.v) >= 0.15
+    """,
     "mem0_fold": f"{_MEM0} SELECT history_name, seq, op, CAST(len(hs) AS BIGINT) AS held FROM s",
     "mem0_store": f"""{_MEM0},
     e AS (SELECT history_name, max(k) AS k FROM s GROUP BY 1)
