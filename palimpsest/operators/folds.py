@@ -21,9 +21,7 @@ from . import admission, neighbours
 
 
 def _unit(v) -> np.ndarray:
-    x = np.asarray(v, float)
-    n = np.sqrt(x @ x)
-    return x / (n if n else 1.0)
+    return neighbours.units(np.asarray(v, float)[None])[0]
 
 
 class _Vectors:
@@ -32,16 +30,21 @@ class _Vectors:
     def __init__(self) -> None:
         self.held, self.used = np.empty((16, 0)), 0
 
-    def put(self, i: int, v: np.ndarray) -> None:
-        if not self.used:
-            self.held = np.empty((16, len(v)))
+    def put(self, i: int, v: np.ndarray | None) -> None:
+        if v is None:
+            return
+        if not self.held.shape[1]:
+            self.held = np.full((16, len(v)), np.nan)
         while i >= len(self.held):
-            self.held = np.concatenate([self.held, np.empty_like(self.held)])
+            self.held = np.concatenate([self.held, np.full_like(self.held, np.nan)])
         self.held[i] = v
         self.used = max(self.used, i + 1)
 
+    def known(self, i: int) -> bool:
+        return i < self.used and not np.isnan(self.held[i, :1]).any()
+
     def similar(self, which: list[int], v: np.ndarray) -> np.ndarray:
-        return self.held[which] @ v
+        return np.einsum("ij,j->i", self.held[which], v)  # summed as in ``neighbours``
 
     def all(self) -> np.ndarray:
         return self.held[: self.used]
@@ -65,20 +68,30 @@ def folded(facts: DataFrame, fold, schema: str) -> DataFrame:
 # Admission -------------------------------------------------------------------
 
 
+class Admission:
+    """What one history's admission remembers: the vectors that were admitted last."""
+
+    def __init__(self, weights: tuple[float, ...] = admission.WEIGHTS, threshold: float = admission.THRESHOLD, kept: list | None = None) -> None:
+        self.weights, self.threshold = weights, threshold
+        self.kept: list[np.ndarray] = [np.asarray(v, float) for v in kept or []]
+
+    def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Facts with utility, confidence, recency, type_prior and embedding: novelty against what was admitted."""
+        rows = []
+        for name, seq, embedding, utility, confidence, recency, prior in _rows(pdf, "history_name", "seq", "embedding", "utility", "confidence", "recency", "type_prior"):
+            v = _unit(embedding)
+            novelty = min(1.0, max(0.0, 1.0 - float(np.einsum("ij,j->i", np.array(self.kept), v).max()))) if self.kept else 1.0
+            s = float(np.dot(self.weights, (utility, confidence, novelty, recency, prior)))
+            ok = s >= self.threshold
+            if ok:
+                self.kept = [*self.kept[-admission.TAIL + 1 :], v]
+            rows.append((name, seq, novelty, s, ok))
+        return pd.DataFrame(rows, columns=["history_name", "seq", "novelty", "score", "admitted"])
+
+
 def admit(pdf: pd.DataFrame, weights: tuple[float, ...] = admission.WEIGHTS, threshold: float = admission.THRESHOLD) -> pd.DataFrame:
-    """Facts with utility, confidence, recency, type_prior and embedding: novelty against what was admitted."""
-    kept, n = _Vectors(), 0
-    rows = []
-    for name, seq, embedding, utility, confidence, recency, prior in _rows(pdf, "history_name", "seq", "embedding", "utility", "confidence", "recency", "type_prior"):
-        v = _unit(embedding)
-        novelty = min(1.0, max(0.0, 1.0 - float(kept.similar(list(range(max(0, n - admission.TAIL), n)), v).max()))) if n else 1.0
-        s = float(np.dot(weights, (utility, confidence, novelty, recency, prior)))
-        ok = s >= threshold
-        if ok:
-            kept.put(n, v)
-            n += 1
-        rows.append((name, seq, novelty, s, ok))
-    return pd.DataFrame(rows, columns=["history_name", "seq", "novelty", "score", "admitted"])
+    """The facts of one history, whole."""
+    return Admission(weights, threshold).take(pdf)
 
 
 ADMIT = "history_name string, seq long, novelty double, score double, admitted boolean"
@@ -87,42 +100,59 @@ ADMIT = "history_name string, seq long, novelty double, score double, admitted b
 # Clustering ------------------------------------------------------------------
 
 
-def cluster(pdf: pd.DataFrame, threshold: float = 0.65, gap_days: float = 7.0) -> pd.DataFrame:
-    """Greedy clusters: the nearest centroid among those near in time, else a new one.
+class Clusters:
+    """Greedy clusters of one history: the nearest centroid among those near in time, else a new one.
 
-    ``at`` is seconds or null; times are compared only where both are known.
-    Of equally near centroids the older one wins.
+    Times are seconds or NaN, and compared only where both are known. Of equally near
+    centroids the older one wins. Numbers are given in the order of founding; clusters
+    that are ``open`` again (number, centroid, members, last time) come in that order.
     """
-    centroids, lengths = _Vectors(), np.empty(16)
-    counts: list[int] = []
-    last = np.empty(16)
-    rows = []
-    for name, seq, embedding, when in _rows(pdf, "history_name", "seq", "embedding", "at"):
-        v = np.asarray(embedding, float)
-        at = np.nan if pd.isna(when) else float(when)
-        best = -1
-        known = len(counts)
+
+    def __init__(self, threshold: float = 0.65, gap_days: float = 7.0, founded: int = 0, open: list[tuple] | None = None) -> None:  # noqa: A002
+        self.threshold, self.gap, self.founded = threshold, gap_days * 86400, founded
+        self.centroids, self.lengths, self.last = _Vectors(), np.empty(16), np.empty(16)
+        self.numbers: list[int] = []
+        self.counts: list[int] = []
+        for number, centroid, count, last in open or []:
+            self._set(len(self.numbers), np.asarray(centroid, float), last, number, count)
+
+    def _set(self, k: int, centroid: np.ndarray, last: float, number: int, count: int) -> None:
+        if k == len(self.last):
+            self.last, self.lengths = np.resize(self.last, 2 * k), np.resize(self.lengths, 2 * k)
+        if k == len(self.numbers):
+            self.numbers.append(number)
+            self.counts.append(count)
+        self.centroids.put(k, centroid)
+        self.lengths[k], self.last[k], self.counts[k] = np.sqrt((centroid * centroid).sum()), last, count
+
+    def place(self, v: np.ndarray, at: float) -> int:
+        """Put a vector into a cluster; its place among those held."""
+        known = len(self.numbers)
         if known:
-            sims = (centroids.all() @ v) / ((lengths[:known] + 1e-9) * (np.sqrt(v @ v) + 1e-9))
-            sims[np.abs(at - last[:known]) > gap_days * 86400] = -np.inf  # false for unknown times
+            sims = np.einsum("ij,j->i", self.centroids.all(), v) / ((self.lengths[:known] + 1e-9) * (np.sqrt((v * v).sum()) + 1e-9))
+            sims[np.abs(at - self.last[:known]) > self.gap] = -np.inf  # false for unknown times
             k = int(sims.argmax())
-            if sims[k] >= threshold:
-                best = k
-        if best < 0:
-            best = known
-            if best == len(last):
-                last, lengths = np.resize(last, 2 * best), np.resize(lengths, 2 * best)
-            centroid, last[best] = v, at
-            counts.append(1)
-        else:
-            n = counts[best]
-            centroid = (centroids.held[best] * n + v) / (n + 1)
-            counts[best] = n + 1
-            last[best] = at if np.isnan(last[best]) else last[best] if np.isnan(at) else max(last[best], at)
-        centroids.put(best, centroid)
-        lengths[best] = np.sqrt((centroid * centroid).sum())
-        rows.append((name, seq, f"cluster_{best:04d}"))
-    return pd.DataFrame(rows, columns=["history_name", "seq", "cluster"])
+            if sims[k] >= self.threshold:
+                n, last = self.counts[k], self.last[k]
+                self._set(k, (self.centroids.held[k] * n + v) / (n + 1), at if np.isnan(last) else last if np.isnan(at) else max(last, at), self.numbers[k], n + 1)
+                return k
+        self._set(known, v, at, self.founded, 1)
+        self.founded += 1
+        return known
+
+    def take(self, pdf: pd.DataFrame) -> tuple[pd.DataFrame, set[int]]:
+        """The clusters of facts, and which places changed."""
+        rows, touched = [], set()
+        for name, seq, embedding, when in _rows(pdf, "history_name", "seq", "embedding", "at"):
+            k = self.place(np.asarray(embedding, float), np.nan if pd.isna(when) else float(when))
+            touched.add(k)
+            rows.append((name, seq, f"cluster_{self.numbers[k]:04d}"))
+        return pd.DataFrame(rows, columns=["history_name", "seq", "cluster"]), touched
+
+
+def cluster(pdf: pd.DataFrame, threshold: float = 0.65, gap_days: float = 7.0) -> pd.DataFrame:
+    """The clusters of one history's facts, whole."""
+    return Clusters(threshold, gap_days).take(pdf)[0]
 
 
 CLUSTER = "history_name string, seq long, cluster string"
@@ -193,9 +223,10 @@ class RelationStore:
         """
         if self.near is not None:
             return self._walked(point)
-        primaries = [m.id for m in self.rows if m.role == "primary"]
-        if not primaries:
+        primaries = [i for held in self.points.values() for i in held if self.vectors.known(i)]
+        if vector is None or not primaries:
             return []
+        primaries.sort()
         near = self.vectors.similar(primaries, vector)
         best = np.argsort(-near, kind="stable")[: self.k]
         return [self.rows[primaries[i]] for i in best if near[i] >= self.threshold]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..session import ship
+from ..session import checkpointed, ship
 
 #: Points of a block, and blocks by angle of a large history.
 BLOCK, CUTS = 2048, 64
@@ -71,7 +71,7 @@ def points(facts: DataFrame) -> DataFrame:
 
 def blocked(facts: DataFrame) -> DataFrame:
     """Points with their block (``part``, ``sub``) and angle to their history's pivot."""
-    p = points(facts)
+    p = checkpointed(points(facts))
     sizes = p.groupBy("history_name").agg(F.count("*").alias("n"), F.min_by("embedding", F.struct(F.xxhash64("seq"), "seq")).alias("pivot"))
     name = F.col("p.history_name").eqNullSafe(F.col("s.history_name"))
     with_n = p.alias("p").join(sizes.alias("s"), name).select("p.*", "n", "pivot")
@@ -101,7 +101,7 @@ def edges(facts: DataFrame, threshold: float) -> DataFrame:
     ``seq``. Null histories are one.
     """
     ship(facts.sparkSession)
-    blocks = blocked(facts)
+    blocks = checkpointed(blocked(facts))
     pairs = tiles(blocks, threshold)
     key = ["history_name", "part1", "sub1", "part2", "sub2"]
     meet = lambda k: blocks.alias("p").join(pairs.alias("t"), F.col("p.history_name").eqNullSafe(F.col("t.history_name")) & (F.col("p.part") == F.col(f"t.part{k}")) & (F.col("p.sub") == F.col(f"t.sub{k}"))).select(*[F.col(f"t.{c}").alias(c) for c in key], F.col("p.seq").alias("seq"), F.col("p.embedding").alias("embedding"))  # noqa: E731  new columns for either side

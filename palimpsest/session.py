@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -46,3 +46,18 @@ def ship_active() -> None:
     """The same for the session in use, where only columns are at hand."""
     if spark := SparkSession.getActiveSession():
         ship(spark)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept where all executors can read it: the folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session without the setting gets a temporary folder.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not found and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="palimpsest-checkpoints-"))
+    return df.checkpoint()

@@ -63,7 +63,7 @@ def by_comparing(rows, **settings):
     for name in {r[0] for r in rows}:
         store = folds.RelationStore(**settings)
         for _, _, text, time, v, _ in sorted((r for r in rows if r[0] == name), key=lambda r: r[1]):
-            store.add(text or "", v if v is not None else [0.0] * 8, time or "")
+            store.add(text or "", v, time or "")
         out += [(name, m.id, m.text, m.time, m.role, m.parent, m.edge, m.hidden, m.answer, len(m.members)) for m in store.rows]
     return sorted(out, key=repr)
 
