@@ -210,10 +210,11 @@ class RelationStore:
         self.label, self.fuse, self.embed, self.threshold, self.k, self.active = label, fuse, embed, threshold, k, active
 
     def _append(self, **values) -> Memory:
-        self.rows.append(Memory(len(self.rows), **values))
+        row = Memory(len(self.rows), **values)
+        self.rows.append(row)
         if self.near is None:
-            self.vectors.put(len(self.rows) - 1, values["vector"])
-        return self.rows[-1]
+            self.vectors.put(row.id, row.vector)
+        return row
 
     def candidates(self, vector: np.ndarray, point: int | None = None) -> list[Memory]:
         """The k nearest primaries, the earlier of equally near ones first.
@@ -419,6 +420,13 @@ class OperationStore:
             self.texts.setdefault(new, set()).add(i)
             self.heads.setdefault(_head(new), i)
 
+    def put(self, i: int, row: dict, vector: np.ndarray) -> None:
+        """A row that was held before, at its number."""
+        self.rows[i] = row
+        self.vectors.put(i, vector)
+        self.live += 1
+        self._index(i, None, row["text"])
+
     def shown(self, vectors: list[np.ndarray]) -> list[int]:
         live = [i for i, r in enumerate(self.rows) if r is not None]
         if self.k is None or not live:
@@ -463,8 +471,13 @@ class OperationStore:
 
 
 def _operated(pdf: pd.DataFrame, batch: str | None, embed, settings: dict) -> tuple[OperationStore, list[tuple]]:
-    """Facts of one ``batch`` value are decided together; without a column of batches each alone."""
-    store, log, held, now = OperationStore(**settings), [], [], None
+    store = OperationStore(**settings)
+    return store, operated_into(store, pdf, batch, embed)
+
+
+def operated_into(store: OperationStore, pdf: pd.DataFrame, batch: str | None = None, embed=None) -> list[tuple]:
+    """Facts of one ``batch`` value are decided together; without a column of batches each alone. The log."""
+    log, held, now = [], [], None
     for name, seq, text, vector, time, part in _rows(pdf, "history_name", "seq", "text", "embedding", "time", batch or ""):
         if held and (batch is None or part != now):
             log += [(name, *x) for x in store.batch(held, embed)]
@@ -473,7 +486,7 @@ def _operated(pdf: pd.DataFrame, batch: str | None, embed, settings: dict) -> tu
         held.append((seq, text or "", vector, time or ""))
     if held:
         log += [(name, *x) for x in store.batch(held, embed)]
-    return store, log
+    return log
 
 
 def operate(pdf: pd.DataFrame, batch: str | None = None, embed=None, **settings) -> pd.DataFrame:
