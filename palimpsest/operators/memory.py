@@ -154,17 +154,6 @@ def fused_store(memories: DataFrame, texts: DataFrame | None = None) -> DataFram
     return out if done is None else out.unionByName(held.join(done, "history_name", "left_semi").select(*held.columns))
 
 
-def packages_by_depth(memories: DataFrame) -> DataFrame:
-    """``history_name, center_id, depth, leaves, place``: packages of a row and its leaves, the deepest first.
-
-    Fused in this order, each package's center is a leaf when its parent's turn comes.
-    """
-    depth = descendants(memories).select("history_name", F.col("memory_id").alias("center_id"), "depth")
-    got = depth_one_packages(memories).join(depth, ["history_name", "center_id"])
-    place = F.row_number().over(W.partitionBy("history_name").orderBy(F.desc("depth"), "center_id"))
-    return got.select("history_name", "center_id", "depth", "leaves", place.alias("place"))
-
-
 def embedding_text(primary_text: Column, text: Column) -> Column:
     """What is embedded for a row: the text meant for it, else its own."""
     return F.coalesce(F.nullif(F.trim(primary_text), F.lit("")), text)

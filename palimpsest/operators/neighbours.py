@@ -65,7 +65,7 @@ def _tile(threshold: float):
 
 def points(facts: DataFrame) -> DataFrame:
     """``history_name, seq, embedding``: each vector of a history once, under its least ``seq``; null vectors are none."""
-    rows = facts.where("embedding IS NOT NULL").select("history_name", "seq", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = facts.where("embedding IS NOT NULL").select("history_name", F.col("seq").cast("long").alias("seq"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.groupBy("history_name", "embedding").agg(F.min("seq").alias("seq")).select("history_name", "seq", "embedding")
 
 

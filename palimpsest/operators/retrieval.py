@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, strings, vectors
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: A pool's rows for each row that is asked for, and the least pool.
+POOL_MULT, LEAST_POOL = 4, 50
 NOTHING = "No relevant memories found."
 
 
@@ -76,10 +78,11 @@ def bm25(queries: DataFrame, texts: DataFrame, k1: float = K1, b: float = B, eps
     return hits.groupBy("history_name", "query_id", "memory_id", "seq").agg(F.sum(weight).alias("bm25"))
 
 
-def hybrid(questions: DataFrame, memories: DataFrame, k: int, dense_weight: float = 0.5, bm25_weight: float = 0.5, pool_mult: int | None = 4, visible: Column | None = None) -> DataFrame:
+def hybrid(questions: DataFrame, memories: DataFrame, k: int, dense_weight: float = 0.5, bm25_weight: float = 0.5, pool_mult: int | None = 4, visible: Column | None = None, cut: bool = True) -> DataFrame:
     """Dense and BM25 pools of at least 50 rows each, scaled by their best visible row, weighted and ranked.
 
-    Without ``pool_mult`` the pools are all rows of the history, and all are ranked.
+    Without ``pool_mult`` the pools are all rows of the history, and all are ranked;
+    without ``cut`` all rows of the pools are.
 
     Rows that are not visible are dropped after the pools are cut. Negative
     weights count as 0; if both are 0, dense counts alone.
@@ -87,7 +90,7 @@ def hybrid(questions: DataFrame, memories: DataFrame, k: int, dense_weight: floa
     wd, wb = max(0.0, dense_weight), max(0.0, bm25_weight)
     wd, wb = (1.0, 0.0) if wd + wb == 0 else (wd / (wd + wb), wb / (wd + wb))
     group = ["history_name", "query_id"]
-    pooled = lambda rows, order: rows if pool_mult is None else top(rows, group, order, max(k * pool_mult, 50))
+    pooled = lambda rows, order: rows if pool_mult is None else top(rows, group, order, max(k * pool_mult, LEAST_POOL))
     d = pooled(scored(questions, memories), [F.desc("score"), F.asc("seq")]).select(*group, "memory_id", F.col("score").alias("d"))
     words = bm25(questions, memories.select("history_name", "memory_id", "seq", "text"))
     t = pooled(words, [F.desc("bm25"), F.asc("seq")]).select(*group, "memory_id", F.col("bm25").alias("t"))
@@ -99,25 +102,30 @@ def hybrid(questions: DataFrame, memories: DataFrame, k: int, dense_weight: floa
     scores = parts.withColumn("score", wd * F.col("dense_part") + wb * F.col("bm25_part"))
     # Scores are compared at nine places, so that the order does not hang on the last bits.
     order = [F.desc(F.round("score", 9)), F.desc(F.round("bm25_part", 9)), F.desc(F.round("dense_part", 9)), F.asc("memory_id")]
-    placed = top(scores, group, order, k) if pool_mult is not None else scores.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+    placed = top(scores, group, order, k) if cut and pool_mult is not None else scores.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
     return placed.select(*group, "rank", "memory_id", "score")
 
 
 def retrieve(questions: DataFrame, memories: DataFrame, k: int, visible: Column | None = None, mixed: dict | None = None, fused: DataFrame | None = None) -> DataFrame:
     """``history_name, query_id, rank, memory_id`` by the settings: dense, or ``mixed`` with BM25.
 
-    ``mixed`` holds the weights (``dense_weight``, ``bm25_weight``, ``pool_mult``).
-    With ``fused`` rows the memories are those before the fusion, ranked whole, and
-    each hit counts for the fused row that holds it.
+    ``mixed`` holds the weights (``dense_weight``, ``bm25_weight``, ``pool_mult``,
+    which with ``full_corpus_pool`` does not count).
+    With ``fused`` rows the memories are those before the fusion. A pool of them is
+    ranked, evidence and hidden rows too, and each hit counts for the fused row that
+    holds it; ``visible`` plays no part there.
     """
-    deep = 2**31 - 1 if fused is not None else k
+    mixed = None if mixed is None else dict(mixed)
+    if mixed and mixed.pop("full_corpus_pool", False):
+        mixed["pool_mult"] = None
+    if fused is None:
+        hits = dense(questions, memories, k, visible) if mixed is None else hybrid(questions, memories, k, **mixed, visible=visible, cut=True)
+        return top(hits, ["history_name", "query_id"], [F.asc("rank")], k).select("history_name", "query_id", "rank", "memory_id")
     if mixed is None:
-        hits = dense(questions, memories, deep, visible)
+        hits = dense(questions, memories, max(k * POOL_MULT, LEAST_POOL))
     else:
-        hits = hybrid(questions, memories, k, **(mixed | ({"pool_mult": None} if fused is not None else {})), visible=visible)
-    if fused is not None:
-        return through_fused(hits, fused, k).select("history_name", "query_id", "rank", F.col("fused_id").alias("memory_id"))
-    return hits.select("history_name", "query_id", "rank", "memory_id")
+        hits = hybrid(questions, memories, k, **mixed, cut=False)
+    return through_fused(hits, fused, k).select("history_name", "query_id", "rank", F.col("fused_id").alias("memory_id"))
 
 
 def through_fused(hits: DataFrame, fused: DataFrame, k: int) -> DataFrame:

@@ -22,6 +22,8 @@ STAGE_FIELDS = {
     "answer": ["experiment.benchmark", "models.answer", "models.embedding", "generate.retrieve_topk", "generate.memory_token_limit", "generate.answer_stratified_sample", "generate.answer_sample_seed", "generate.show_memory_time", "generate.hybrid"],
     "judge": ["experiment.benchmark", "models.judge", "evaluate.use_cot", "evaluate.judge_stratified_sample", "evaluate.judge_sample_seed", "prompts.judge_template", "token_limits.evaluate_max_new_tokens"],
 }
+#: Our own settings that stages depend on beside those.
+OWN_FIELDS = {"candidate": ["extract.aspects_only"], "fusion": ["token_limits.fusion_max_new_tokens"], "answer": ["generate.rank_before_fusion"]}
 
 
 def look_up(config: dict, path: str, default=None):
@@ -53,7 +55,7 @@ def digest(value, size: int = 8) -> str:
 
 
 #: Templates that each stage's prompts are made from.
-STAGE_TEMPLATES = {"candidate": ("EXTRACT",), "ingest": ("RELATION", "FUSE", "OPERATIONS", "UTILITY", "BUNDLE"), "answer": ("ANSWER",), "judge": ("JUDGE",)}
+STAGE_TEMPLATES = {"candidate": ("EXTRACT", "ASPECTS"), "ingest": ("RELATION", "FUSE", "OPERATIONS", "UTILITY", "BUNDLE"), "fusion": ("BUNDLE",), "answer": ("ANSWER",), "judge": ("JUDGE", "JUDGE_BRIEF")}
 
 
 def templates_of(stage: str) -> dict[str, str]:
@@ -66,7 +68,7 @@ def fingerprint(stage: str, config: dict, upstream: str = "", method: str = "",
 
     A nonce makes a run's stages its own.
     """
-    own = {"stage": stage, "fields": {p: look_up(config, p) for p in STAGE_FIELDS[stage]}, "upstream": upstream}
+    own = {"stage": stage, "fields": {p: look_up(config, p) for p in STAGE_FIELDS.get(stage, []) + OWN_FIELDS.get(stage, [])}, "upstream": upstream}
     if method:
         own |= {"method": method, "settings": look_up(config, f"methods.{method}", {}) if stage == "ingest" else None}
     if templates:

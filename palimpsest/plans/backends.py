@@ -198,24 +198,24 @@ class Decisions:
 
 
 class Containment:
-    """An offline judge: yes if the reference stands in the answer (prompt: reference, line end, answer)."""
+    """An offline judge: yes if the reference stands in the answer of a judge's prompt."""
 
     def complete(self, prompts: list[str]) -> list[str | None]:
         out = []
         for p in prompts:
-            reference, _, answer = p.partition("\n")
+            found = re.match(r"(?s)Question: [^\n]*\nReference: ([^\n]*)\nAnswer: (.*)\n[^\n]*$", p)
+            reference, answer = found.groups() if found else ("", "")
             same = " ".join(reference.lower().split()) in " ".join(answer.lower().split())
             out.append(f"Final answer: {'yes' if reference.strip() and same else 'no'}")
         return out
 
 
 class Lines:
-    """An offline extractor: the non-blank lines of the prompt as facts."""
+    """An offline extractor: the non-blank lines of the prompt's dialogue (or of all of it) as facts."""
 
     def complete(self, prompts: list[str]) -> list[str | None]:
-        import json
-
-        return [json.dumps({"memories": [x.strip() for x in p.splitlines() if x.strip()]}) for p in prompts]
+        dialogues = (p.partition("\nDialogue:\n")[2] or p for p in prompts)
+        return [json.dumps({"memories": [x.strip() for x in d.splitlines() if x.strip()]}) for d in dialogues]
 
 
 class HashedWords:

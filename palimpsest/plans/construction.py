@@ -79,7 +79,7 @@ def _similar(rows: DataFrame, embedding: backends.Embedding) -> DataFrame:
 
 def _answers(rows: DataFrame, judge: backends.Language) -> DataFrame:
     """Adds ``gives``, whether a judge finds the answer in the text."""
-    asked = rows.withColumn("_p", F.concat_ws("\n", "answer", "text"))
+    asked = rows.withColumn("_p", prompts.judged_text(F.col("question"), F.col("answer"), F.col("text"), F.lit(None)))
     return backends.completed(asked, "_p", judge, "_said").withColumn("gives", F.coalesce(strings.verdict(F.col("_said")), F.lit(False))).drop("_p", "_said")
 
 

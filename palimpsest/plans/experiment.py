@@ -11,20 +11,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, rouge, strings
-from ..operators import admission, folds, memory, metrics, retrieval, windows
+from ..operators import admission, folds, joins, memory, metrics, retrieval, windows
 from ..sources import episodes
 from . import artifacts, backends, prompts
 
 
-def extract(turns: DataFrame, size: int | str, overlap: int, language: backends.Language) -> DataFrame:
-    """Facts of each chunk of turns; answers that are no JSON list give none."""
+def extract(turns: DataFrame, size: int | str, overlap: int, language: backends.Language, aspects: list[str] | None = None, aspects_only: bool = False) -> DataFrame:
+    """Facts of each chunk of turns; answers that are no JSON list give none.
+
+    Each template is a pass over the chunk: the general one, unless ``aspects_only``,
+    and those of ``prompts.ASPECTS`` that are named; of equal facts the first counts.
+    """
+    templates = ([] if aspects_only else [prompts.EXTRACT]) + [prompts.ASPECTS[x] for x in aspects or []]
+    if not templates:
+        raise ValueError("no template to extract with")
     rows = turns.withColumn("conv", F.concat_ws("\x1f", "history_name", "session_no")).withColumnsRenamed({"turn": "at"})
     got = windows.chunks(rows, "conv", "at", size, overlap)
     parts = F.split("conv", "\x1f")
     asked = got.select(F.get(parts, F.lit(0)).alias("history_name"), F.get(parts, F.lit(1)).cast("int").alias("session_index"), "chunk_index", "transcript")
-    said = backends.completed(asked, "transcript", language)
-    found = F.from_json(strings.json_value(F.col("response"), "$.memories"), "array<string>")
-    return said.select("history_name", "session_index", "chunk_index", "transcript", windows.merged_passes(found).alias("facts"))
+    passes = []
+    for i, template in enumerate(templates):
+        asked = backends.completed(asked.withColumn("prompt", prompts.rendered(template, dialogue=F.col("transcript"))), "prompt", language, f"said_{i}")
+        passes.append(F.from_json(strings.json_value(F.col(f"said_{i}"), "$.memories"), "array<string>"))
+    return asked.select("history_name", "session_index", "chunk_index", "transcript", windows.merged_passes(*passes).alias("facts"))
 
 
 def ordered(extracted: DataFrame, dates_of: DataFrame) -> DataFrame:
@@ -143,10 +152,12 @@ def fused(memories: DataFrame, language: backends.Language | None = None) -> Dat
     """The store after bundle fusion; bundles' texts by the language model if there is one, else joined."""
     if language is None:
         return memory.fused_store(memories)
-    tree = memory.descendants(memories).join(memories.select("history_name", "memory_id", "text", "edge" if "edge" in memories.columns else F.lit(None).cast("string").alias("edge")), ["history_name", "memory_id"])
-    lines = F.sort_array(F.collect_list(F.struct("depth", "seq", "text", "edge")))
+    edge = F.col("edge") if "edge" in memories.columns else F.lit(None).cast("string")
+    tree = memory.descendants(memories).join(memories.select("history_name", "memory_id", "text", edge.alias("edge"), "parent_primary"), ["history_name", "memory_id"])
+    lines = F.sort_array(F.collect_list(F.struct("depth", "seq", "memory_id", "text", "edge", "parent_primary")))
     bundles = tree.groupBy("history_name", "root_id").agg(lines.alias("m"), F.count("*").alias("n")).where("n > 1")
-    said = F.transform("m", lambda x: F.struct(x["text"].alias("text"), x["edge"].alias("edge"), x["depth"].alias("parent")))
+    number = lambda x: F.array_position(F.transform("m", lambda y: y["memory_id"]), x["parent_primary"])
+    said = F.transform("m", lambda x: F.struct(x["text"].alias("text"), F.when(x["depth"] > 0, x["edge"]).alias("edge"), number(x).alias("parent")))
     asked = bundles.withColumn("prompt", prompts.rendered(prompts.BUNDLE, lines=prompts.bundle_lines(said)))
     return memory.fused_store(memories, backends.completed(asked, "prompt", language, "text"))
 
@@ -177,9 +188,10 @@ def answer(memories: DataFrame, questions: DataFrame, method: str, k: int, limit
     return backends.completed(asked.withColumn("prompt", prompts.rendered(prompts.ANSWER, context=F.col("context"), question=F.col("question"))), "prompt", language, "model_answer")
 
 
-def judge(predictions: DataFrame, language: backends.Language) -> DataFrame:
+def judge(predictions: DataFrame, language: backends.Language, use_cot: bool = True) -> DataFrame:
     """Verdicts; a call without an answer is a failure and judges nothing."""
-    asked = predictions.withColumn("prompt", F.concat_ws("\n", F.regexp_replace(F.coalesce("answer", F.lit("")), r"\s+", " "), F.coalesce("model_answer", F.lit(""))))
+    held = lambda c: F.col(c) if c in predictions.columns else F.lit(None).cast("string")
+    asked = predictions.withColumn("prompt", prompts.judged_text(held("question"), held("answer"), held("model_answer"), held("hypothesis"), use_cot))
     said = backends.completed(asked, "prompt", language, "verdict")
     failed = F.col("verdict").isNull()
     return said.withColumns({"judge_api_failed": failed, "is_correct": F.when(~failed, strings.verdict(F.col("verdict")))})
@@ -201,8 +213,11 @@ class Run:
 
     def __post_init__(self) -> None:
         models = {
-            "candidate": [self.extractor], "ingest": [self.manager, self.embedding], "answer": [self.answerer, self.embedding], "judge": [self.judging],
+            "candidate": [self.extractor], "ingest": [self.manager, self.embedding], "fusion": [self.manager],
+            "answer": [self.answerer, self.embedding], "judge": [self.judging],
         }
+        if not self.value("generate.rank_before_fusion", False):
+            del models["fusion"]
         upstream = ""
         for stage, used in models.items():
             upstream = self.keys[stage] = artifacts.fingerprint(
@@ -214,17 +229,28 @@ class Run:
         return artifacts.look_up(self.config, path, default)
 
 
+def sampled(rows: DataFrame, n: int | None, seed: int) -> DataFrame:
+    """Rows of a stratified sample of n questions; all of them without a positive n."""
+    if not n or n <= 0:
+        return rows
+    typed = rows if "question_type" in rows.columns else rows.withColumn("question_type", F.lit(None).cast("string"))
+    return rows.join(joins.stratified(typed, n, seed).select("history_name", "question_id"), ["history_name", "question_id"], "left_semi")
+
+
 def judged(spark: SparkSession, stages: artifacts.Stages, run: Run, sessions: DataFrame, questions: DataFrame) -> DataFrame:
     """All stages of a run; what is there under the same fingerprint is not made again."""
     key, of = run.keys, run.value
-    facts = stages.once("candidate", key["candidate"], lambda: ordered(extract(episodes.turns(sessions), of("extract.granularity", "all"), of("extract.turn_overlap", 0), run.extractor), sessions))
+    facts = stages.once("candidate", key["candidate"], lambda: ordered(extract(episodes.turns(sessions), of("extract.granularity", "all"), of("extract.turn_overlap", 0), run.extractor, of("extract.aspect_templates"), of("extract.aspects_only", False)), sessions))
     models = Backends(run.manager, run.embedding)
     held = stages.once("ingest", key["ingest"], lambda: ingest(backends.embedded(facts, "text", run.embedding), run.method, of(f"methods.{run.method}", {}), models), upstream=key["candidate"], method=run.method)
     mixed = of("generate.hybrid") or {}
     weights = {k: v for k, v in mixed.items() if k != "enabled"} if mixed.get("enabled", bool(mixed)) else None
     k, limit, show = of("generate.retrieve_topk", 50), of("generate.memory_token_limit"), of("generate.show_memory_time", True)
-    predicted = stages.once("answer", key["answer"], lambda: answer(held, questions, run.method, k, limit, run.answerer, run.embedding, weights, show_time=show), upstream=key["ingest"], method=run.method)
-    return stages.once("judge", key["judge"], lambda: judge(predicted, run.judging), upstream=key["answer"], method=run.method)
+    after = fuse_copy(spark, stages, key["ingest"], key["fusion"], run.manager) if "fusion" in key else None
+    asked = sampled(questions, of("generate.answer_stratified_sample"), of("generate.answer_sample_seed", 42))
+    predicted = stages.once("answer", key["answer"], lambda: answer(held, asked, run.method, k, limit, run.answerer, run.embedding, weights, fused_rows=after, show_time=show), upstream=key.get("fusion", key["ingest"]), method=run.method)
+    picked = sampled(predicted, of("evaluate.judge_stratified_sample"), of("evaluate.judge_sample_seed", 42))
+    return stages.once("judge", key["judge"], lambda: judge(picked, run.judging, of("evaluate.use_cot", True)), upstream=key["answer"], method=run.method)
 
 
 def run(spark: SparkSession, root: str, config: dict, sessions: DataFrame, questions: DataFrame, method: str, extractor: backends.Language, answerer: backends.Language, judging: backends.Language, embedding: backends.Embedding, manager: backends.Language | None = None, nonce: str = "") -> DataFrame:
@@ -236,8 +262,8 @@ def run(spark: SparkSession, root: str, config: dict, sessions: DataFrame, quest
 def scheduled(runs: list[Run]) -> list[tuple[str, str, str]]:
     """The stages (name, fingerprint, method) of several runs in an order that respects what they need, each once."""
     found: dict[tuple[str, str], str] = {}
-    for stage in ("candidate", "ingest", "answer", "judge"):
-        for r in runs:
+    for stage in ("candidate", "ingest", "fusion", "answer", "judge"):
+        for r in (r for r in runs if stage in r.keys):
             found.setdefault((stage, r.keys[stage]), "" if stage == "candidate" else r.method)
     return [(stage, key, method) for (stage, key), method in found.items()]
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import admission, folds, memory, neighbours
+from ..operators import admission, folds, memory, neighbours, trees
 from .derived import MEMORIES, PRIMARY_SQL, VISIBLE_SQL, memories, table
 
 
@@ -180,8 +180,23 @@ def fused_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packages_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = memory.packages_by_depth(memories(spark, sf_dir))
-    return got.select("history_name", "center_id", F.col("depth").cast("long").alias("depth"), "leaves", F.col("place").cast("long").alias("place"))
+    """A round of fusion's packages of two and more, ancestors first."""
+    return _packages(trees.wave(memories(spark, sf_dir)))
+
+
+def disjoint_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All packages of depth one, single rows too, in pre-order."""
+    return _packages(trees.packages(memories(spark, sf_dir)))
+
+
+def _packages(rows: DataFrame) -> DataFrame:
+    members = F.array_join(F.transform("member_ids", lambda x: x.cast("string")), ",")
+    return rows.select("history_name", F.col("place").cast("long").alias("place"), "center_id", "depth", members.alias("members"))
+
+
+def tree_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth, size and pre-order of every row below a root."""
+    return trees.placed(memories(spark, sf_dir)).select("history_name", "memory_id", "root_id", "depth", "size", "place")
 
 
 def graph_valid_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +214,20 @@ _TREE = f"""
       SELECT c.history_name, t.root_id, c.memory_id, c.seq, t.depth + 1 FROM tree t JOIN memories c
       ON c.history_name = t.history_name AND c.parent_primary = t.memory_id WHERE NOT ({PRIMARY_SQL.replace('memory_role', 'c.memory_role')})
     )"""
+#: Rows below roots with the ids on the way to them, which sort in pre-order, and packages of depth one.
+_PATHS = f"""
+    WITH RECURSIVE {MEMORIES}, paths(history_name, memory_id, path) AS (
+      SELECT history_name, memory_id, [memory_id] FROM memories WHERE {PRIMARY_SQL} AND parent_primary IS NULL
+      UNION ALL SELECT c.history_name, c.memory_id, list_append(p.path, c.memory_id) FROM paths p JOIN memories c ON c.history_name = p.history_name AND c.parent_primary = p.memory_id
+    )"""
+_PACKAGES = f"""{_PATHS},
+    kids AS (SELECT history_name, parent_primary AS center_id, memory_id, memory_id IN (SELECT parent_primary FROM memories WHERE parent_primary IS NOT NULL) AS inner_row FROM memories WHERE parent_primary IS NOT NULL),
+    packages AS (
+      SELECT p.history_name, p.memory_id AS center_id, CAST(len(path) - 1 AS BIGINT) AS depth, path,
+        array_to_string(list_prepend(p.memory_id, coalesce(list(k.memory_id ORDER BY k.memory_id) FILTER (WHERE NOT k.inner_row), [])), ',') AS members
+      FROM paths p LEFT JOIN kids k ON k.history_name = p.history_name AND k.center_id = p.memory_id GROUP BY p.history_name, p.memory_id, path
+      HAVING len(path) = 1 OR count(k.memory_id) > 0
+    )"""
 _TIME = "printf('2023/%02d/%02d (Mon) %02d:%02d', doc_id % 12 + 1, doc_id % 28 + 1, doc_id % 24, doc_id % 60)"
 _FACTS = f"f AS (SELECT source AS history_name, doc_id AS seq, text, {_TIME} AS time, CASE WHEN doc_id % 3 = 0 THEN 'evidence' END AS memory_role FROM documents)"
 
@@ -235,7 +264,7 @@ _MEM0 = f"""
     )"""
 _UNIT = "u AS (SELECT history_name, seq, row_number() OVER (PARTITION BY history_name ORDER BY seq) AS k, embedding, time, text, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y * y)))) AS v FROM memories)"
 
-QUERIES = {f.__name__: f for f in (answer_visible, searchable_primary, list_memories, ingest_add_all, dedup_identical_text, evidence_tree, bundle_fusion_fallback, depth_one_partition, mem0_apply_batch, evermemos_finalize, edge_validity, edge_export_incremental, pronoun_alias, amac_features, amac_admit_setwise, amac_fold, evermemos_clusters, relation_fold, relation_fold_joined, near_points, relation_log, mem0_fold, mem0_store, fused_store, packages_by_depth, graph_valid_facts)}
+QUERIES = {f.__name__: f for f in (answer_visible, searchable_primary, list_memories, ingest_add_all, dedup_identical_text, evidence_tree, bundle_fusion_fallback, depth_one_partition, mem0_apply_batch, evermemos_finalize, edge_validity, edge_export_incremental, pronoun_alias, amac_features, amac_admit_setwise, amac_fold, evermemos_clusters, relation_fold, relation_fold_joined, near_points, relation_log, mem0_fold, mem0_store, fused_store, packages_by_depth, disjoint_packages, tree_places, graph_valid_facts)}
 ORACLE_SQL = {
     "answer_visible": f"WITH {MEMORIES} SELECT history_name, memory_id, coalesce(memory_role, 'primary') AS role FROM memories WHERE {VISIBLE_SQL}",
     "searchable_primary": f"WITH {MEMORIES} SELECT history_name, memory_id, answer_hidden FROM memories WHERE {PRIMARY_SQL} AND NOT stale",
@@ -351,11 +380,16 @@ ORACLE_SQL = {
     SELECT o.history_name, fused_id, 'primary', NULL, count(*), max(m.time), md5(string_agg(m.text, chr(10) ORDER BY o.depth, o.seq))
     FROM o JOIN memories m ON m.history_name = o.history_name AND m.memory_id = o.memory_id GROUP BY 1, 2
     """,
-    "packages_by_depth": f"""{_TREE},
-    c AS (SELECT history_name, parent_primary AS center_id, memory_id FROM memories WHERE parent_primary IS NOT NULL),
-    l AS (SELECT history_name, center_id, count(*) AS leaves FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS i WHERE i.history_name = c.history_name AND i.center_id = c.memory_id) GROUP BY 1, 2)
-    SELECT l.history_name, center_id, depth, leaves, row_number() OVER (PARTITION BY l.history_name ORDER BY depth DESC, center_id) AS place
-    FROM l JOIN tree ON tree.history_name = l.history_name AND tree.memory_id = center_id
+    "packages_by_depth": f"""{_PACKAGES}
+    SELECT history_name, row_number() OVER (PARTITION BY history_name ORDER BY depth, center_id) AS place, center_id, depth, members FROM packages WHERE contains(members, ',')
+    """,
+    "disjoint_packages": f"""{_PACKAGES}
+    SELECT history_name, row_number() OVER (PARTITION BY history_name ORDER BY path) AS place, center_id, depth, members FROM packages
+    """,
+    "tree_places": f"""{_PATHS}
+    SELECT history_name, memory_id, path[1] AS root_id, CAST(len(path) - 1 AS BIGINT) AS depth,
+      (SELECT count(*) FROM paths d WHERE d.history_name = p.history_name AND list_contains(d.path, p.memory_id)) AS size,
+      row_number() OVER (PARTITION BY history_name ORDER BY path) - 1 AS place FROM paths p
     """,
     "graph_valid_facts": r"""
     WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS h, turn, trim(CASE turn % 3 WHEN 0 THEN 'the user wants ' WHEN 1 THEN 'the assistant says ' ELSE 'The user was told ' END || text, ' ') AS t FROM conversations WHERE text IS NOT NULL),

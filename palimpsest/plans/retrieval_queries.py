@@ -177,8 +177,8 @@ ORACLE_SQL = {
     n AS (SELECT history_name, root_id, row_number() OVER (PARTITION BY history_name ORDER BY root_id) AS place FROM tree GROUP BY 1, 2 HAVING count(*) > 1),
     t AS (SELECT history_name, max(memory_id) AS top FROM memories GROUP BY 1),
     o AS (SELECT tree.memory_id, t.top + n.place AS fused_id FROM tree JOIN n USING (history_name, root_id) JOIN t USING (history_name)),
-    h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS p FROM scored WHERE {VISIBLE_SQL}),
-    f AS (SELECT h.history_name, h.query_id, coalesce(o.fused_id, h.memory_id) AS memory_id, min(p) AS first FROM h LEFT JOIN o ON o.memory_id = h.memory_id GROUP BY 1, 2, 3),
+    h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS p FROM scored),
+    f AS (SELECT h.history_name, h.query_id, coalesce(o.fused_id, h.memory_id) AS memory_id, min(p) AS first FROM h LEFT JOIN o ON o.memory_id = h.memory_id WHERE p <= greatest(4 * 5, 50) GROUP BY 1, 2, 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM f)
     SELECT history_name, query_id, rank, memory_id FROM r WHERE rank <= 5
     """,
