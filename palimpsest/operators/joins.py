@@ -107,14 +107,18 @@ def stratified_local(items: list[tuple[tuple[str, str], str | None]], n: int, se
 
 
 def variants(spark: SparkSession, limits: list[int], repeats: int, seeds: list[int] | None = None, base: int = 0) -> DataFrame:
-    """Token limits (outer) times repeats (inner), with ids; two short lists, so a cross join."""
+    """Token limits (outer) times repeats (inner), with ids."""
     if any(x <= 0 for x in limits) or repeats < 1 or (seeds and len(seeds) != repeats):
         raise ValueError("limits are positive, there is a repeat, and a seed for each if seeds are given")
     a = spark.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(limits))], "outer int, token_limit int")
-    b = spark.createDataFrame([(i, (seeds or [base + j for j in range(repeats)])[i]) for i in range(repeats)], "repeat int, seed int")
-    name = F.format_string("tl%d-r%02d-s%d", "token_limit", "repeat", "seed")
-    place = F.row_number().over(W.orderBy("outer", "repeat"))
-    return a.crossJoin(b).select(place.alias("place"), name.alias("variant_id"), "token_limit", "repeat", "seed")
+    return swept(a, "outer", seeds or [base + j for j in range(repeats)])
+
+
+def swept(limits: DataFrame, order: str, seeds: list[int]) -> DataFrame:
+    """Each ``token_limit`` of a table, in order, with each seed."""
+    rows = limits.select(order, "token_limit", F.posexplode(F.array(*map(F.lit, seeds))).alias("repeat", "seed"))
+    place = F.row_number().over(W.orderBy(order, "repeat"))
+    return rows.select(place.alias("place"), F.format_string("tl%d-r%02d-s%d", "token_limit", "repeat", "seed").alias("variant_id"), "token_limit", "repeat", "seed")
 
 
 def renumbered(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

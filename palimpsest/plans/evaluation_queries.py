@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings, vectors
 from ..operators import builders, joins, metrics
-from . import artifacts, construction
+from . import construction
 from .derived import PAIRS, labelled_pairs, table
 
 
@@ -215,7 +215,9 @@ def stratified_sample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variant_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = joins.variants(spark, [256, 512, 256], 3, base=7)
+    """A sweep over the sizes that parts have."""
+    limits = table(spark, sf_dir, "part").select((F.col("p_size") * 16).cast("int").alias("token_limit")).where("token_limit > 0").distinct()
+    got = joins.swept(limits, "token_limit", [7, 8, 9])
     return got.select(F.col("place").cast("long").alias("place"), "variant_id", "token_limit", "repeat", "seed")
 
 
@@ -268,30 +270,10 @@ def filler_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("n").cast("long").alias("n"), "question_id", F.col("place").cast("long").alias("place"), F.md5("text").alias("text_md5"))
 
 
-_STAGES = tuple(artifacts.STAGE_FIELDS)
-
-
-def fingerprint_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each field of the configuration, which stages are made again when it changes."""
-    paths = sorted({p for fields in artifacts.STAGE_FIELDS.values() for p in fields})
-
-    def keys(config: dict) -> list[str]:
-        out = [""]
-        for stage in _STAGES:
-            out.append(artifacts.fingerprint(stage, config, out[-1], templates=artifacts.templates_of(stage)))
-        return out[1:]
-
-    base, rows = keys({}), []
-    for path in paths:
-        (_, config), = construction.configurations({}, {path: ["changed"]})
-        rows += [(path, stage, a != b) for stage, a, b in zip(_STAGES, base, keys(config), strict=True)]
-    return spark.createDataFrame(rows, "field string, stage string, again boolean")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        response_pick, extraction_check, filler_sets, fingerprint_rerun,
+        response_pick, extraction_check, filler_sets,
         judge_metrics, judge_merge, verdict_parse, thinking_split, relation_parse, json_loose, repeat_stats, classification_report, confusion_matrix, cohen_kappa, model_agreement, error_breakdown, cot_delta,
         pairwise_relations_dist, chain_summary, older_pairs, dataset_overview, golden_histogram, build_stats, similarity_stats, ingest_stats, hybrid_select, lowering, distractor_gate, resume_pending, ready_gate,
         question_type_filter, filler_chunks, date_match_merge, stratified_quota, stratified_sample_hash, variant_matrix, name_safety, leak_check,
@@ -309,7 +291,6 @@ ORACLE_SQL = {
     SELECT CAST(n AS BIGINT) AS n, question_id, place, md5(text) AS text_md5 FROM d JOIN n ON place <= n
     UNION ALL SELECT DISTINCT CAST(0 AS BIGINT), question_id, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM d
     """,
-    "fingerprint_rerun": "WITH f(field, stage, place) AS (VALUES " + ", ".join(f"('{p}', '{x}', {i})" for i, (x, fields) in enumerate(artifacts.STAGE_FIELDS.items()) for p in fields) + "), s(stage, place) AS (VALUES " + ", ".join(f"('{x}', {i})" for i, x in enumerate(artifacts.STAGE_FIELDS)) + ") SELECT field, s.stage, s.place >= min(f.place) AS again FROM f CROSS JOIN s GROUP BY field, s.stage, s.place",
     "judge_metrics": f"""
     WITH {_J} SELECT coalesce(question_type, 'ALL') AS question_type, count(*) FILTER (WHERE NOT judge_api_failed AND is_correct) AS correct, count(*) FILTER (WHERE NOT judge_api_failed) AS judged,
       count(*) FILTER (WHERE judge_api_failed) AS api_failed, round(coalesce(count(*) FILTER (WHERE NOT judge_api_failed AND is_correct) / nullif(count(*) FILTER (WHERE NOT judge_api_failed), 0), 0.0), 6) AS accuracy
@@ -433,8 +414,8 @@ ORACLE_SQL = {
     SELECT question_type, size, CASE WHEN total <= 101 THEN size ELSE fl + CASE WHEN place <= 101 - CAST(sum(fl) OVER () AS BIGINT) THEN 1 ELSE 0 END END AS quota FROM r
     """,
     "variant_matrix": """
-    WITH l AS (SELECT * FROM (VALUES (0, 256), (1, 512)) t(o, token_limit)), r AS (SELECT * FROM (VALUES (0, 7), (1, 8), (2, 9)) t(repeat, seed))
-    SELECT row_number() OVER (ORDER BY o, repeat) AS place, printf('tl%d-r%02d-s%d', token_limit, repeat, seed) AS variant_id, token_limit, repeat, seed FROM l CROSS JOIN r
+    WITH l AS (SELECT DISTINCT CAST(p_size * 16 AS INTEGER) AS token_limit FROM part WHERE p_size > 0), r AS (SELECT * FROM (VALUES (0, 7), (1, 8), (2, 9)) t(repeat, seed))
+    SELECT row_number() OVER (ORDER BY token_limit, repeat) AS place, printf('tl%d-r%02d-s%d', token_limit, repeat, seed) AS variant_id, token_limit, repeat, seed FROM l CROSS JOIN r
     """,
     "name_safety": r"""
     WITH s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(url, ''))), '[^a-z0-9_-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[-_]+|[-_]+$', '', 'g') AS slug, coalesce(url, '') AS url FROM pages)

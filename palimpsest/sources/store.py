@@ -26,10 +26,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("time", F.coalesce(F.nullif("time", F.lit("")), date, F.lit("unknown_time")))
 
 
-def clear(spark: SparkSession, path: str, history: str) -> None:
+#: Characters that partition folders have as %XX, beside control characters.
+ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
+
+
+def folder(history: str | None) -> str:
+    """The folder of a history's partition; it is one step of a path whatever the name."""
+    if not history:
+        return "history_name=__HIVE_DEFAULT_PARTITION__"
+    return "history_name=" + "".join(f"%{ord(c):02X}" if c in ESCAPED or c < " " else c for c in history)
+
+
+def clear(spark: SparkSession, path: str, history: str | None) -> None:
     """Drop one history's partition."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/history_name={history}")
+    p = jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(None, None, folder(history)))
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -4,7 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.plans import artifacts, backends, experiment
+from palimpsest.operators import retrieval
+from palimpsest.plans import artifacts, backends, construction, experiment
 from palimpsest.sources import episodes, store
 from palimpsest.streaming import histories
 
@@ -305,3 +306,77 @@ def test_facts_as_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got == {0: True, 1: False, 2: True, 3: False, 4: True}
+
+
+def test_a_changed_field_makes_later_stages_anew():
+    """Each field of the configuration: the stages from the first one on that depends on it."""
+    stages = list(artifacts.STAGE_FIELDS)
+
+    def keys(config):
+        out = [""]
+        for stage in stages:
+            out.append(artifacts.fingerprint(stage, config, out[-1], templates=artifacts.templates_of(stage)))
+        return out[1:]
+
+    for path in {p for fields in artifacts.STAGE_FIELDS.values() for p in fields}:
+        (_, config), = construction.configurations({}, {path: ["changed"]})
+        first = min(i for i, stage in enumerate(stages) if path in artifacts.STAGE_FIELDS[stage])
+        assert [a != b for a, b in zip(keys({}), keys(config), strict=True)] == [i >= first for i in range(len(stages))]
+
+
+def test_models_are_told_what_to_do(spark, tmp_path):
+    (tmp_path / "raw.json").write_text(json.dumps(RAW))
+    sessions = episodes.sessions_of_raw(episodes.read_json(spark, str(tmp_path / "raw.json"), episodes.RAW))
+    said = lambda **more: experiment.extract(episodes.turns(sessions), "all", 0, Says(lambda p: json.dumps({"memories": [p]})), **more).first()
+    got = said(aspects=["events"])
+    assert [f.partition(" in this dialogue")[0] for f in got["facts"]] == ["List durable facts about the user", "List what the user did or plans to do, with its time,"]
+    assert all(f.endswith("\nDialogue:\n" + got["transcript"].strip()) and '{"memories": [...]}' in f for f in got["facts"])
+    assert len(said(aspects=["people", "events"], aspects_only=True)["facts"]) == 2
+    with pytest.raises(ValueError):
+        said(aspects_only=True)
+    asked = spark.createDataFrame([("Where?\nNow", "Lyon", "in Lyon"), ("Who?", "Ann", None)], "question string, answer string, model_answer string")
+    prompts = {r["question"]: r["verdict"] for r in experiment.judge(asked, Says(lambda p: p)).collect()}
+    assert prompts["Where?\nNow"].startswith("Question: Where? Now\nReference: Lyon\nAnswer: in Lyon\nDoes the answer agree") and "step by step" in prompts["Who?"]
+    assert experiment.judge(asked, Says(lambda p: p), use_cot=False).first()["verdict"].endswith("Say only 'yes' or 'no'.")
+
+
+def test_samples_and_ranking_before_fusion_are_stages_of_a_run(spark, tmp_path):
+    (tmp_path / "raw.json").write_text(json.dumps(RAW))
+    sessions = episodes.sessions_of_raw(episodes.read_json(spark, str(tmp_path / "raw.json"), episodes.RAW))
+    questions = spark.createDataFrame([("h1", f"q{i}", "Where does the user live?", "Lyon", "update") for i in range(6)], "history_name string, question_id string, question string, answer string, question_type string")
+    config = json.loads(json.dumps(CONFIG))
+    config["generate"] |= {"answer_stratified_sample": 4, "rank_before_fusion": True}
+    config["evaluate"] = {"judge_stratified_sample": 2}
+    line, words = backends.Lines(), backends.HashedWords()
+    got = experiment.run(spark, str(tmp_path / "out"), config, sessions, questions, "relation_decision", line, line, backends.Containment(), words)
+    assert {r["question_type"]: r["judged"] for r in got.collect()}["ALL"] == 2
+    run = experiment.Run(config, "relation_decision", line, line, backends.Containment(), words)
+    assert spark.read.parquet(f"{tmp_path}/out/stages/answer/{run.keys['answer']}").count() == 4
+    assert artifacts.Stages(spark, str(tmp_path / "out")).finished("fusion", run.keys["fusion"])
+    assert run.keys["answer"] != experiment.Run(CONFIG, "relation_decision", line, line, backends.Containment(), words).keys["answer"]
+
+
+def test_evidence_lifts_its_fused_row(spark):
+    """Only hidden evidence is like the question, so the fused row that holds it comes first."""
+    rows = [("h", 0, 0, "tea", [1.0, 0.0, 0.0], None, None), ("h", 1, 1, "green tea", [0.0, 1.0, 0.0], "evidence", 0), ("h", 2, 2, "milk", [0.0, 0.6, 0.8], None, None)]
+    memories = spark.createDataFrame(rows, "history_name string, memory_id long, seq long, text string, embedding array<double>, memory_role string, parent_primary long")
+    owners = spark.createDataFrame([("h", 10, 0, [0, 1]), ("h", 2, 2, [2])], "history_name string, fused_id long, seq long, member_ids array<long>")
+    asked = spark.createDataFrame([("h", 7, [0.0, 1.0, 0.0], "green")], "history_name string, query_id long, query array<double>, query_text string")
+    for mixed in (None, {"dense_weight": 0.5, "bm25_weight": 0.5}, {"full_corpus_pool": True}):
+        got = retrieval.retrieve(asked, memories, 2, F.col("memory_role").isNull(), mixed, owners).orderBy("rank").collect()
+        assert [r["memory_id"] for r in got] == [10, 2]
+
+
+def test_bundles_name_the_line_a_row_hangs_on(spark):
+    rows = [("h", 1, 1, "a", "t", None, None, None), ("h", 2, 2, "b", "t", "evidence", 1, "ATTACH"), ("h", 3, 3, "c", "t", "evidence", 2, "UPDATE"), ("h", 4, 4, "d", "t", "evidence", 2, "EQUIV")]
+    memories = spark.createDataFrame(rows, "history_name string, memory_id long, seq long, text string, time string, memory_role string, parent_primary long, edge string")
+    (said,) = (r["text"] for r in experiment.fused(memories, Says(lambda p: p)).collect())
+    assert said.splitlines()[1:] == ["1. [PRIMARY] a", "2. [ATTACH of 1] b", "3. [UPDATE of 2] c", "4. [EQUIV of 2] d"]
+
+
+@pytest.mark.parametrize("name", ["a:b", "a/b%c", "..", "plain", "tab\tand [x]={y}"])
+def test_a_history_of_any_name_can_be_dropped(spark, tmp_path, name):
+    rows = spark.createDataFrame([(name, 1), ("kept", 2)], "history_name string, memory_id long")
+    store.write(rows, str(tmp_path / "s"))
+    store.clear(spark, str(tmp_path / "s"), name)
+    assert [r["history_name"] for r in spark.read.parquet(str(tmp_path / "s")).collect()] == ["kept"]
