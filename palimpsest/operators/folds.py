@@ -65,6 +65,50 @@ def folded(facts: DataFrame, fold, schema: str) -> DataFrame:
     return facts.groupBy("history_name").applyInPandas(run, schema)
 
 
+class Texts:
+    """Rows by trimmed text and role, for dropping equal ones at the end of a chunk; only what changed is looked at.
+
+    Of equal rows the earliest by time stays (unknown times last), then the first; blank ones all stay.
+    """
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], dict[int, tuple]] = {}
+        self.key: dict[int, tuple[str, str]] = {}
+        self.changed: dict[int, tuple[str, str, float | None]] = {}
+
+    def put(self, i: int, text: str, role: str = "primary", when: float | None = None) -> None:
+        """A row is new, or has another text or role now."""
+        self.changed[i] = text.strip(" "), role, when
+
+    def settle(self) -> list[int]:
+        """The rows that go."""
+        met = set()
+        for i, (text, role, when) in self.changed.items():
+            if i in self.key:
+                self.groups[self.key[i]].pop(i, None)
+            self.key[i] = text, role
+            if text:
+                self.groups.setdefault((text, role), {})[i] = (when is None, when or 0.0, i)
+                met.add((text, role))
+        self.changed = {}
+        gone = []
+        for k in met:
+            held = self.groups[k]
+            if len(held) > 1:
+                best = min(held, key=held.get)
+                gone += [i for i in held if i != best]
+                self.groups[k] = {best: held[best]}
+        return sorted(gone)
+
+
+def _chunk_ends(pdf: pd.DataFrame, chunk: str | None) -> list[bool]:
+    """Whether each row is its chunk's last; without a column of chunks none is."""
+    if chunk is None or not len(pdf):
+        return [False] * len(pdf)
+    c = pdf[chunk].tolist()
+    return [*(a != b for a, b in zip(c, c[1:], strict=False)), True]
+
+
 # Admission -------------------------------------------------------------------
 
 
@@ -75,23 +119,36 @@ class Admission:
         self.weights, self.threshold = weights, threshold
         self.kept: list[np.ndarray] = [np.asarray(v, float) for v in kept or []]
 
-    def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Facts with utility, confidence, recency, type_prior and embedding: novelty against what was admitted."""
-        rows = []
-        for name, seq, embedding, utility, confidence, recency, prior in _rows(pdf, "history_name", "seq", "embedding", "utility", "confidence", "recency", "type_prior"):
+    def take(self, pdf: pd.DataFrame, chunk: str | None = None) -> pd.DataFrame:
+        """Facts with utility, confidence, recency, type_prior and embedding: novelty against what was admitted.
+
+        At the end of each value of a ``chunk`` column, admitted facts with a text that
+        another has (``text``, ``when``) are forgotten.
+        """
+        rows, texts = [], Texts()
+        held: list[tuple[int, np.ndarray]] = [(-1, v) for v in self.kept]
+        ends = _chunk_ends(pdf, chunk)
+        for i, (name, seq, embedding, utility, confidence, recency, prior, text, when) in enumerate(_rows(pdf, "history_name", "seq", "embedding", "utility", "confidence", "recency", "type_prior", "text", "when")):
             v = _unit(embedding)
             novelty = min(1.0, max(0.0, 1.0 - float(np.einsum("ij,j->i", np.array(self.kept), v).max()))) if self.kept else 1.0
             s = float(np.dot(self.weights, (utility, confidence, novelty, recency, prior)))
             ok = s >= self.threshold
             if ok:
-                self.kept = [*self.kept[-admission.TAIL + 1 :], v]
+                held.append((i, v))
+                if chunk is None:
+                    held = held[-admission.TAIL :]
+                else:
+                    texts.put(i, text or "", when=None if pd.isna(when) else float(when))
+            if ends[i] and (gone := set(texts.settle())):
+                held = [x for x in held if x[0] not in gone]
+            self.kept = [x for _, x in held[-admission.TAIL :]]
             rows.append((name, seq, novelty, s, ok))
         return pd.DataFrame(rows, columns=["history_name", "seq", "novelty", "score", "admitted"])
 
 
-def admit(pdf: pd.DataFrame, weights: tuple[float, ...] = admission.WEIGHTS, threshold: float = admission.THRESHOLD) -> pd.DataFrame:
+def admit(pdf: pd.DataFrame, weights: tuple[float, ...] = admission.WEIGHTS, threshold: float = admission.THRESHOLD, chunk: str | None = None) -> pd.DataFrame:
     """The facts of one history, whole."""
-    return Admission(weights, threshold).take(pdf)
+    return Admission(weights, threshold).take(pdf, chunk)
 
 
 ADMIT = "history_name string, seq long, novelty double, score double, admitted boolean"
@@ -180,6 +237,8 @@ class Memory:
     members: list[int] = field(default_factory=list)
     root: int | None = None
     point: int | None = None
+    when: float | None = None
+    gone: bool = False
 
 
 def words_label(old: str, new: str, threshold: float = 0.5) -> str:
@@ -206,6 +265,7 @@ class RelationStore:
         self.vectors = _Vectors()
         self.near: neighbours.Near | None = None
         self.points: dict[int, dict[int, None]] = {}  # primaries of each point, the earliest first
+        self.texts: Texts | None = None  # where equal texts are dropped
         self.log: list[tuple[str, dict]] = []
         self.label, self.fuse, self.embed, self.threshold, self.k, self.active = label, fuse, embed, threshold, k, active
 
@@ -214,8 +274,21 @@ class RelationStore:
         self.rows.append(row)
         if self.near is None:
             self.vectors.put(row.id, row.vector)
+        self._changed(row)
         return row
 
+    def _changed(self, row: Memory) -> None:
+        if self.texts is not None:
+            self.texts.put(row.id, row.text, row.role, row.when)
+
+    def deduplicate(self) -> int:
+        """Drop rows with a text and role that another has; what points to them stays as it is."""
+        gone = self.texts.settle()
+        for i in gone:
+            self.rows[i].gone = True
+            self.points.get(self.rows[i].point, {}).pop(i, None)
+        return len(gone)
+
     def candidates(self, vector: np.ndarray, point: int | None = None) -> list[Memory]:
         """The k nearest primaries, the earlier of equally near ones first.
 
@@ -248,7 +321,7 @@ class RelationStore:
             tied += islice(held, self.k)
         return [self.rows[i] for i in (found + sorted(tied))[: self.k]]
 
-    def add(self, text: str, vector, time: str = "", point: int | None = None) -> str:
+    def add(self, text: str, vector, time: str = "", point: int | None = None, when: float | None = None) -> str:
         """Take in one fact; the outcome."""
         text = text.strip()
         if not text:
@@ -264,14 +337,15 @@ class RelationStore:
         olds = found.get(relation, [])
         if relation in ("NSO", "EQV"):
             anchor = max(olds, key=lambda m: len(m.text.strip())) if relation == "NSO" else olds[0]
-            new = self._append(text=text, vector=v, time=time, role="evidence", parent=anchor.id, edge="ATTACH" if relation == "NSO" else "EQUIV")
+            new = self._append(text=text, vector=v, time=time, role="evidence", parent=anchor.id, edge="ATTACH" if relation == "NSO" else "EQUIV", when=when)
             hide = anchor
         else:
-            new = self._append(text=text, vector=v, time=time, point=point)
+            new = self._append(text=text, vector=v, time=time, point=point, when=when)
             self.points.setdefault(point, {})[new.id] = None
             for m in olds:
                 m.role, m.parent, m.edge = "evidence", new.id, "UPDATE" if relation == "CON" else "ATTACH"
                 del self.points[m.point][m.id]
+                self._changed(m)
             anchor, hide = (olds[0] if olds else None), new
         outcome = {"CON": "conflict_update", "OSN": "stronger_primary", "NSO": "weaker_evidence", "EQV": "equivalent_evidence", None: "fresh"}[relation]
         self.log.append(("plan", {"outcome": outcome, "new_id": new.id, "old_ids": [m.id for m in olds]}))
@@ -280,8 +354,8 @@ class RelationStore:
         return outcome
 
     def _answer(self, relation: str, anchor: Memory, hide: Memory, new: Memory, time: str) -> None:
-        """Write or extend the answer memory that the anchor points to."""
-        held = self.rows[anchor.answer] if anchor.answer is not None else None
+        """Write or extend the answer memory that the anchor points to; one that was dropped is written anew."""
+        held = self.rows[anchor.answer] if anchor.answer is not None and not self.rows[anchor.answer].gone else None
         current = held.text if held else anchor.text
         if self.fuse is None:
             text = new.text if relation in ("OSN", "CON") else anchor.text.strip()
@@ -291,8 +365,9 @@ class RelationStore:
             return
         vector = _unit(self.embed(text)) if self.embed else new.vector
         if held is None:
-            held = self._append(text=text, vector=vector, time=time, role="answer")
-        held.text, held.vector, held.time, held.root = text, vector, time, hide.id
+            held = self._append(text=text, vector=vector, time=time, role="answer", when=new.when)
+        held.text, held.vector, held.time, held.root, held.when = text, vector, time, hide.id, new.when
+        self._changed(held)
         if self.near is None:
             self.vectors.put(held.id, vector)
         self.log.append(("answer", {"answer_id": held.id, "hidden_id": hide.id, "relation": relation, "text": text}))
@@ -301,21 +376,27 @@ class RelationStore:
         anchor.answer = held.id
 
 
-def _related(pdf: pd.DataFrame, settings: dict, near: neighbours.Near | None = None) -> RelationStore:
+def _related(pdf: pd.DataFrame, settings: dict, near: neighbours.Near | None = None, chunk: str | None = None) -> RelationStore:
     store = RelationStore(**settings)
+    store.texts = Texts() if chunk else None
     embeddings, seqs = pdf["embedding"].tolist(), pdf["seq"].tolist() if "seq" in pdf else list(range(len(pdf)))
     store.near = neighbours.within(embeddings, seqs, store.threshold) if near is None else near
     points = neighbours.named(embeddings, seqs)
-    for text, embedding, time, point in zip(pdf["text"], embeddings, pdf["time"] if "time" in pdf else [None] * len(pdf), points, strict=True):
-        store.add(text or "", embedding, time or "", point)
+    for (text, time, when), embedding, point, ends in zip(_rows(pdf, "text", "time", "when"), embeddings, points, _chunk_ends(pdf, chunk), strict=True):
+        store.add(text or "", embedding, time or "", point, None if pd.isna(when) else float(when))
+        if ends:
+            store.deduplicate()
     return store
 
 
-def relate(pdf: pd.DataFrame, near: neighbours.Near | None = None, **settings) -> pd.DataFrame:
-    """One history's facts (seq, text, time, embedding) through a ``RelationStore``; ``near`` edges may be given."""
-    store = _related(pdf, settings, near)
+def relate(pdf: pd.DataFrame, near: neighbours.Near | None = None, chunk: str | None = None, **settings) -> pd.DataFrame:
+    """One history's facts (seq, text, time, embedding) through a ``RelationStore``; ``near`` edges may be given.
+
+    With a column of chunks equal texts are dropped after each (``when``: seconds).
+    """
+    store = _related(pdf, settings, near, chunk)
     name = pdf["history_name"].iloc[0] if len(pdf) else None
-    rows = [(name, m.id, m.text, m.time, m.role, m.parent, m.edge, m.hidden, m.answer, len(m.members)) for m in store.rows]
+    rows = [(name, m.id, m.text, m.time, m.role, m.parent, m.edge, m.hidden, m.answer, len(m.members)) for m in store.rows if not m.gone]
     out = pd.DataFrame(rows, columns=["history_name", "memory_id", "text", "time", "memory_role", "parent_primary", "edge", "answer_hidden", "answer_id", "fused_member_count"])
     return out.astype({"parent_primary": "Int64", "answer_id": "Int64"})
 
@@ -336,10 +417,10 @@ def joined(facts: DataFrame, fold, schema: str, threshold: float) -> DataFrame:
     return facts.groupBy("history_name").cogroup(near.groupBy("history_name")).applyInPandas(run, schema)
 
 
-def decisions(pdf: pd.DataFrame, near: neighbours.Near | None = None, **settings) -> pd.DataFrame:
+def decisions(pdf: pd.DataFrame, near: neighbours.Near | None = None, chunk: str | None = None, **settings) -> pd.DataFrame:
     """The log of the same fold: what each fact met, what was planned, which answer was written."""
     name = pdf["history_name"].iloc[0] if len(pdf) else None
-    log = _related(pdf, settings, near).log
+    log = _related(pdf, settings, near, chunk).log
     return pd.DataFrame([(name, i, event, json.dumps(detail, ensure_ascii=False, sort_keys=True, default=str)) for i, (event, detail) in enumerate(log)], columns=["history_name", "seq", "event", "detail"])
 
 

@@ -71,10 +71,16 @@ def scored(facts: DataFrame, settings: dict, models: Backends) -> DataFrame:
 
 def _amac(facts: DataFrame, settings: dict, models: Backends) -> DataFrame:
     weights = admission.parse_weights(settings["weights"]) if settings.get("weights") else admission.WEIGHTS
-    admit = partial(folds.admit, weights=weights, threshold=settings.get("threshold", admission.THRESHOLD))
-    rows = scored(facts, settings, models).select("history_name", "seq", "embedding", "utility", "confidence", "recency", "type_prior")
+    admit = partial(folds.admit, weights=weights, threshold=settings.get("threshold", admission.THRESHOLD), chunk="chunk")
+    rows = _chunked(scored(facts, settings, models)).select("history_name", "seq", "text", "when", "chunk", "embedding", "utility", "confidence", "recency", "type_prior")
     admitted = folds.folded(rows, admit, folds.ADMIT).where("admitted")
-    return facts.join(admitted.select("history_name", "seq"), ["history_name", "seq"], "left_semi")
+    kept = facts.join(admitted.select("history_name", "seq"), ["history_name", "seq"], "left_semi")
+    return memory.deduplicated(kept.withColumn("memory_role", F.lit(None).cast("string")))
+
+
+def _chunked(facts: DataFrame) -> DataFrame:
+    """Facts with the chunk after which equal texts are dropped, and their time in seconds."""
+    return facts.withColumns({"chunk": F.concat_ws("/", "session_index", "chunk_index"), "when": dates.parse_chat_time(F.col("time")).cast("double")})
 
 
 def _evermemos(facts: DataFrame, settings: dict, models: Backends) -> DataFrame:
@@ -105,13 +111,13 @@ def _embed(embedding: backends.Embedding, text: str) -> list[float]:
 
 def _relations(facts: DataFrame, settings: dict, models: Backends) -> DataFrame:
     own = relation_settings(settings, models)
-    return folds.joined(facts, partial(folds.relate, **own), folds.RELATE, own.get("threshold", folds.THRESHOLD)).withColumn("seq", F.col("memory_id"))
+    return folds.joined(_chunked(facts), partial(folds.relate, chunk="chunk", **own), folds.RELATE, own.get("threshold", folds.THRESHOLD)).withColumn("seq", F.col("memory_id"))
 
 
 def decisions(facts: DataFrame, settings: dict, models: Backends) -> DataFrame:
     """``history_name, seq, event, detail``: what relation decisions met, planned and wrote."""
     own = relation_settings(settings, models)
-    return folds.joined(facts, partial(folds.decisions, **own), folds.DECISIONS, own.get("threshold", folds.THRESHOLD))
+    return folds.joined(_chunked(facts), partial(folds.decisions, chunk="chunk", **own), folds.DECISIONS, own.get("threshold", folds.THRESHOLD))
 
 
 def _operations(facts: DataFrame, settings: dict, models: Backends) -> DataFrame:

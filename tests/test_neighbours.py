@@ -89,3 +89,50 @@ def test_operations_look_memories_up(spark):
         assert folds.operated(pdf, batch).equals(folds.operated(pdf, batch, decide=plain))
     pdf["part"] = pdf["seq"] // 7
     assert folds.operated(pdf, "part").equals(folds.operated(pdf, "part", decide=plain))
+
+
+def test_equal_texts_go_after_each_chunk(spark):
+    """The plain loop: after each chunk all rows of the history are compared by text and role."""
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        v = r.normal(size=4)
+        rows.append(("h", i, " ".join(r.choice(list("uvw"), r.integers(1, 3))), f"t{i}", v.tolist(), i // 10, None if i % 11 == 0 else float(r.integers(0, 50))))
+    df = spark.createDataFrame(rows, "history_name string, seq long, text string, time string, embedding array<double>, chunk int, when double")
+    store = folds.RelationStore(threshold=0.4)
+    for _, i, text, time, v, chunk, when in rows:
+        store.add(text, v, time, None, when)
+        if i == len(rows) - 1 or rows[i + 1][5] != chunk:
+            best: dict = {}
+            for m in store.rows:
+                if not m.gone:
+                    k, own = (m.text, m.role), (m.when is None, m.when or 0.0, m.id)
+                    best[k] = min(own, best.get(k, own))
+            for m in store.rows:
+                if not m.gone and best[m.text, m.role][2] != m.id:
+                    m.gone = True
+                    store.points.get(m.point, {}).pop(m.id, None)
+    want = [(m.id, m.text, m.role, m.parent, m.answer) for m in store.rows if not m.gone]
+    assert any(m.gone for m in store.rows)
+    got = folds.joined(df, partial(folds.relate, threshold=0.4, chunk="chunk"), folds.RELATE, 0.4).orderBy("memory_id")
+    assert [tuple(x) for x in got.select("memory_id", "text", "memory_role", "parent_primary", "answer_id").collect()] == want
+
+
+def test_admission_forgets_equal_texts(spark):
+    """The plain loop: novelty against the last rows of a store from which equal texts go after each chunk."""
+    r = np.random.default_rng(9)
+    rows = [("h", i, str(r.choice(list("abcde"))), r.normal(size=3).tolist(), i // 6, float(r.integers(0, 9)), 0.5, 0.5, 0.5, 0.5) for i in range(90)]
+    pdf = spark.createDataFrame(rows, "history_name string, seq long, text string, embedding array<double>, chunk int, when double, utility double, confidence double, recency double, type_prior double").toPandas()
+    weights, threshold = (0.1, 0.1, 0.6, 0.1, 0.1), 0.35
+    store, want = [], []
+    for i, (_, _, text, v, chunk, when, *_) in enumerate(rows):
+        u = np.array(v) / np.linalg.norm(v)
+        novelty = min(1.0, max(0.0, 1 - max(x @ u for *_, x in store[-64:]))) if store else 1.0
+        want.append(0.1 * 0.5 * 4 + 0.6 * novelty >= threshold)
+        if want[-1]:
+            store.append((text, when, i, u))
+        if i == len(rows) - 1 or rows[i + 1][4] != chunk:
+            store = [x for x in store if (x[1], x[2]) == min((y[1], y[2]) for y in store if y[0] == x[0])]
+    got = folds.admit(pdf, weights, threshold, "chunk")["admitted"].tolist()
+    assert got == want and 0 < sum(want) < len(want)
+    assert got != folds.admit(pdf, weights, threshold)["admitted"].tolist()
