@@ -244,9 +244,14 @@ def sampled(rows: DataFrame, n: int | None, seed: int) -> DataFrame:
 
 
 def judged(spark: SparkSession, stages: artifacts.Stages, run: Run, sessions: DataFrame, questions: DataFrame) -> DataFrame:
-    """All stages of a run; what is there under the same fingerprint is not made again."""
+    """All stages of a run; what is there under the same fingerprint is not made again.
+
+    With ``experiment.keep_answers`` what models say is kept below the root, so that a
+    task that runs again asks nothing twice.
+    """
     key, of = run.keys, run.value
-    facts = stages.once("candidate", key["candidate"], lambda: ordered(extract(episodes.turns(sessions), of("extract.granularity", "all"), of("extract.turn_overlap", 0), run.extractor, of("extract.aspect_templates"), of("extract.aspects_only", False)), sessions))
+    kept = lambda model: backends.Kept(model, f"{stages.root}/answers") if of("experiment.keep_answers", False) else model
+    facts = stages.once("candidate", key["candidate"], lambda: ordered(extract(episodes.turns(sessions), of("extract.granularity", "all"), of("extract.turn_overlap", 0), kept(run.extractor), of("extract.aspect_templates"), of("extract.aspects_only", False)), sessions))
     models = Backends(run.manager, run.embedding)
     held = stages.once("ingest", key["ingest"], lambda: ingest(backends.embedded(facts, "text", run.embedding), run.method, of(f"methods.{run.method}", {}), models), upstream=key["candidate"], method=run.method)
     mixed = of("generate.hybrid") or {}
@@ -254,9 +259,9 @@ def judged(spark: SparkSession, stages: artifacts.Stages, run: Run, sessions: Da
     k, limit, show = of("generate.retrieve_topk", 50), of("generate.memory_token_limit"), of("generate.show_memory_time", True)
     after = fuse_copy(spark, stages, key["ingest"], key["fusion"], run.manager) if "fusion" in key else None
     asked = sampled(questions, of("generate.answer_stratified_sample"), of("generate.answer_sample_seed", 42))
-    predicted = stages.once("answer", key["answer"], lambda: answer(held, asked, run.method, k, limit, run.answerer, run.embedding, weights, fused_rows=after, show_time=show), upstream=key.get("fusion", key["ingest"]), method=run.method)
+    predicted = stages.once("answer", key["answer"], lambda: answer(held, asked, run.method, k, limit, kept(run.answerer), run.embedding, weights, fused_rows=after, show_time=show), upstream=key.get("fusion", key["ingest"]), method=run.method)
     picked = sampled(predicted, of("evaluate.judge_stratified_sample"), of("evaluate.judge_sample_seed", 42))
-    return stages.once("judge", key["judge"], lambda: judge(picked, run.judging, of("evaluate.use_cot", True)), upstream=key["answer"], method=run.method)
+    return stages.once("judge", key["judge"], lambda: judge(picked, kept(run.judging), of("evaluate.use_cot", True)), upstream=key["answer"], method=run.method)
 
 
 def run(spark: SparkSession, root: str, config: dict, sessions: DataFrame, questions: DataFrame, method: str, extractor: backends.Language, answerer: backends.Language, judging: backends.Language, embedding: backends.Embedding, manager: backends.Language | None = None, nonce: str = "") -> DataFrame:

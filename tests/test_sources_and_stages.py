@@ -347,12 +347,14 @@ def test_samples_and_ranking_before_fusion_are_stages_of_a_run(spark, tmp_path):
     config = json.loads(json.dumps(CONFIG))
     config["generate"] |= {"answer_stratified_sample": 4, "rank_before_fusion": True}
     config["evaluate"] = {"judge_stratified_sample": 2}
+    config.setdefault("experiment", {})["keep_answers"] = True
     line, words = backends.Lines(), backends.HashedWords()
     got = experiment.run(spark, str(tmp_path / "out"), config, sessions, questions, "relation_decision", line, line, backends.Containment(), words)
     assert {r["question_type"]: r["judged"] for r in got.collect()}["ALL"] == 2
     run = experiment.Run(config, "relation_decision", line, line, backends.Containment(), words)
     assert spark.read.parquet(f"{tmp_path}/out/stages/answer/{run.keys['answer']}").count() == 4
     assert artifacts.Stages(spark, str(tmp_path / "out")).finished("fusion", run.keys["fusion"])
+    assert len(list((tmp_path / "out" / "answers").glob("*/*.json"))) == 3 + 1 + 1  # chunks, and one question and verdict of six alike
     assert run.keys["answer"] != experiment.Run(CONFIG, "relation_decision", line, line, backends.Containment(), words).keys["answer"]
 
 
@@ -380,3 +382,39 @@ def test_a_history_of_any_name_can_be_dropped(spark, tmp_path, name):
     store.write(rows, str(tmp_path / "s"))
     store.clear(spark, str(tmp_path / "s"), name)
     assert [r["history_name"] for r in spark.read.parquet(str(tmp_path / "s")).collect()] == ["kept"]
+
+
+class Counting:
+    """Writes down what it is asked; refuses the prompt "bad" until a file says that it may."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def complete(self, prompts):
+        with open(os.path.join(self.folder, f"{os.getpid()}.log"), "a") as f:
+            f.writelines(f"{p}\n" for p in prompts)
+        if "bad" in prompts and not os.path.exists(os.path.join(self.folder, "may")):
+            raise RuntimeError("refused")
+        return [None if p == "none" else p.upper() for p in prompts]
+
+
+def test_nothing_is_asked_twice(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    asked = lambda: sorted(x for f in (tmp_path / "log").glob("*.log") for x in f.read_text().split())
+    one = backends.Counting if hasattr(backends, "Counting") else Counting
+    rows = spark.createDataFrame([(f"p{i % 20}", i) for i in range(200)] + [("bad", 1), ("none", 2), (None, 3)], "prompt string, n int").repartition(4)
+    run = lambda: backends.answered(rows, "prompt", Counting(str(tmp_path / "log")), f"file://{tmp_path}/kept")
+    with pytest.raises(Exception, match="refused"):
+        run().collect()
+    before = asked()
+    assert len(before) == len(set(before))  # equal prompts once
+    (tmp_path / "log" / "may").write_text("")
+    got = {r["prompt"]: r["response"] for r in run().collect()}
+    assert got == {f"p{i}": f"P{i}" for i in range(20)} | {"bad": "BAD", "none": None, None: ""}
+    kept = {p for p in before if (p not in ("bad", "none"))}
+    again = asked()
+    # What came back before the failure is not asked for again; calls that failed are.
+    assert all(again.count(p) <= 2 for p in kept | {"bad"}) and again.count("none") <= 2
+    settled = asked()
+    assert {r["prompt"]: r["response"] for r in run().collect()} == got
+    assert [p for p in asked() if p != "none"] == [p for p in settled if p != "none"]
