@@ -55,4 +55,4 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
 
 def test_registry_names_every_operator():
     registry = importlib.import_module("palimpsest.llm.registry")
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
