@@ -272,6 +272,58 @@ def test_leaks_equal_all_windows(monkeypatch, cells):
     assert sorted(zip(*(x.tolist() for x in decontaminate.leaks_in(*decontaminate._words(buf, offs), found)))) == want
 
 
+@pytest.mark.parametrize("size", [20, 40, 80, 160, 240, 400])
+@pytest.mark.parametrize("even", [False, True])
+def test_recall_of_the_search_at_the_limit_of_edits(size, even):
+    r = random.Random(size)
+    items, docs = [[r.randrange(10**9) for _ in range(size)] for _ in range(60)], []
+    for w in items:
+        n, w = size // 5, list(w)
+        kinds = r.sample("s" * (n - n // 4 * 2) + "id" * (n // 4), n)
+        places = [i * size // n + size // n // 2 for i in range(n)] if even else r.sample(range(size), n)
+        for p in sorted(places, reverse=True):
+            kind = kinds.pop()
+            w[p : p + 1] = [r.randrange(10**9)] if kind == "s" else [w[p], r.randrange(10**9)] if kind == "i" else []
+        docs.append([r.randrange(10**9) for _ in range(15)] + w + [r.randrange(10**9) for _ in range(15)])
+    found = decontaminate.Items.of(list(range(60)), [" ".join(map(str, w)) for w in items])
+    want, got = set(), set()
+    for lo, _, buf, offs in text.doc_slices(pa.array([" ".join(map(str, w)) for w in docs])):
+        d, k, _, e = decontaminate.leaks_in(*decontaminate._words(buf, offs), found)
+        got |= set(zip((d + lo).tolist(), k.tolist(), e.tolist()))
+    # All windows of a document against its own item; the others share no word with it.
+    for i, (w, v) in enumerate(zip(docs, items)):
+        rows = np.array([w[s : s + size] for s in range(max(1, len(w) - size + 1))], np.uint64)
+        e = decontaminate.edit_distance(rows, np.full(len(rows), rows.shape[1]), np.repeat(np.array([v], np.uint64), len(rows), 0), np.full(len(rows), size)).min()
+        if e <= size // 5:
+            want.add((i, i, int(e)))
+    assert {x[:2] for x in got} <= {x[:2] for x in want}
+    assert len(want) >= 20 and len(got & want) >= 0.95 * len(want)
+
+
+def test_items_that_share_a_phrase_stay_within_memory():
+    import tracemalloc
+
+    r, phrase = random.Random(3), "which of the following statements about the passage is true".split()
+    items = [phrase + [f"w{r.randrange(10**6)}" for _ in range(r.randint(10, 40))] for _ in range(600)]
+    repeated = (" ".join(phrase) + " ") * 1100
+    (_, _, buf, offs), = text.doc_slices(pa.array([repeated + " ".join(items[7])]))
+    found = decontaminate.Items.of(list(range(len(items))), [" ".join(w) for w in items])
+    tracemalloc.start()
+    d, k, s, e = decontaminate.leaks_in(*decontaminate._words(buf, offs), found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (7, len(phrase) * 1100, 0) in set(zip(k.tolist(), s.tolist(), e.tolist()))
+    assert set(d.tolist()) == {0} and peak < 250 << 20
+
+
+def test_repeated_items_and_documents_each_give_rows(spark):
+    words = samples.words(61, 40)
+    docs = samples.frame(spark, [(1, " ".join(words), None, None, 0)] * 2 + [(2, "else", None, None, 0)])
+    items = spark.createDataFrame([(5, " ".join(words[3:20]))] * 3 + [(6, " ".join(words[3:20]))], "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"], x["start_word"], x["edits"]) for x in decontaminate.leaks(docs, items).collect())
+    assert got == [(1, 5, 3, 0)] * 6 + [(1, 6, 3, 0)] * 2
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
