@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import memory, relations, retrieval
+from ..operators import memory, postings, relations, retrieval
 from .derived import MEMORIES, PAIRS, PRIMARY_SQL, SCORED, VISIBLE_SQL, fact_pairs, labelled_pairs, memories, questions
 
 K = 10
@@ -39,6 +39,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("history_name", "query_id", F.col("rank").cast("long").alias("rank"), "memory_id", F.round("bm25", 6).alias("score"))
 
 
+def bm25_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bm25_topk``, from postings in blocks."""
+    m = memories(spark, sf_dir)
+    top = postings.bm25_top(questions(m), m.select("history_name", "memory_id", "seq", "text"), K)
+    return top.select("history_name", "query_id", F.col("rank").cast("long").alias("rank"), "memory_id", F.round("bm25", 6).alias("score"))
+
+
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
     return _ranked(retrieval.hybrid(questions(m), m, K, 0.7, 0.3, visible=memory.answer_visible()))
@@ -150,7 +157,7 @@ _HYBRID = f"""
     f AS (SELECT *, CAST(0.7 AS DOUBLE) * dp + CAST(0.3 AS DOUBLE) * tp AS score FROM s),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, round(tp, 9) DESC, round(dp, 9) DESC, memory_id) AS rank FROM f)"""
 
-QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_all_rows, dense_topk_answer_mode, bm25_topk, hybrid_topk, hybrid_answer, unfused_answer, unfused_rank_to_fused, knn_threshold_candidates, knn_batch_union_cap, session_cutoff, context_block, relation_label_rule, relation_plan, relation_nofusion_answer)}
+QUERIES = {f.__name__: f for f in (dense_topk, dense_topk_all_rows, dense_topk_answer_mode, bm25_topk, bm25_topk_blocks, hybrid_topk, hybrid_answer, unfused_answer, unfused_rank_to_fused, knn_threshold_candidates, knn_batch_union_cap, session_cutoff, context_block, relation_label_rule, relation_plan, relation_nofusion_answer)}
 ORACLE_SQL = {
     "dense_topk": _TOP(_VALID, 10),
     "dense_topk_all_rows": _TOP("TRUE", 10),
@@ -233,3 +240,4 @@ ORACLE_SQL = {
     SELECT new_id, old_id, label AS relation, md5(CASE WHEN label IN ('OSN', 'CON') THEN new ELSE trim(old) END) AS text_md5 FROM b WHERE n = 1
     """,
 }
+ORACLE_SQL["bm25_topk_blocks"] = ORACLE_SQL["bm25_topk"]

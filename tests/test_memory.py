@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import admission, builders, folds, joins, memory, metrics, relations, retrieval, windows
+from palimpsest.operators import admission, builders, folds, joins, memory, metrics, postings, relations, retrieval, windows
 
 V = [1.0] + [0.0] * 7
 
@@ -154,6 +156,24 @@ def test_bm25_against_the_formula(spark):
         assert got[i] == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize("block, k", [(8, 3), (64, 5), (1024, 200)])
+def test_postings_give_the_rows_of_all_pairs(spark, monkeypatch, block, k):
+    r = random.Random(block)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda: " ".join(vocabulary[int(r.random() ** 3 * 60)] for _ in range(r.randint(0, 12)))
+    rows = [(h, 1000 * j + i, i, t) for j, (h, n) in enumerate([("big", 300), ("small", 3), ("one", 1)]) for i, t in enumerate(["common W1 w2"] * (n // 10) + [text() for _ in range(n - n // 10)])]
+    m = spark.createDataFrame(rows + [("small", 99, 7, None), ("small", 98, 8, "")], "history_name string, memory_id long, seq long, text string")
+    asked = [("big", 1, "common w1"), ("big", 2, "w40 w41 w0 w0"), ("big", 3, ""), ("big", 4, None), ("big", 5, "nowhere"), ("small", 6, rows[300][3]), ("one", 7, rows[303][3]), ("none", 8, "w1"), (None, 9, "w1")] + [("big", 10 + i, text()) for i in range(20)]
+    q = spark.createDataFrame(asked, "history_name string, query_id long, query_text string")
+    monkeypatch.setattr(postings, "FIRST", 1)
+    order = [F.desc(F.round("bm25", 9)), F.asc("seq")]
+    plain = retrieval.top(retrieval.bm25(q, m.fillna("", ["text"])), ["history_name", "query_id"], order, k)
+    rows_of = lambda df: sorted((x["query_id"], x["rank"], x["memory_id"], round(x["bm25"], 9)) for x in df.collect())
+    got = rows_of(postings.bm25_top(q, m, k, block))
+    assert got == rows_of(plain) and len(got) > 20
+    assert postings.bm25_top(q, m.limit(0), k, block).count() == 0 == postings.bm25_top(q.limit(0), m, k, block).count()
+
+
 def test_context(spark):
     hits = spark.createDataFrame([("h", 1, 1, "one", "2023/05/20 (Sat) 05:03", 1), ("h", 1, 2, "two", "", 1), ("h", 1, 3, "three", "2023/05/20 (Sat) 05:03", 2)], "history_name string, query_id long, rank int, text string, time string, fused_member_count int")
     asked = spark.createDataFrame([("h", 1), ("h", 2)], "history_name string, query_id long")
