@@ -87,13 +87,15 @@ def hybrid(questions: DataFrame, memories: DataFrame, k: int, dense_weight: floa
     Rows that are not visible are dropped after the pools are cut. Negative
     weights count as 0; if both are 0, dense counts alone.
     """
+    from . import postings
+
     wd, wb = max(0.0, dense_weight), max(0.0, bm25_weight)
     wd, wb = (1.0, 0.0) if wd + wb == 0 else (wd / (wd + wb), wb / (wd + wb))
     group = ["history_name", "query_id"]
     pooled = lambda rows, order: rows if pool_mult is None else top(rows, group, order, max(k * pool_mult, LEAST_POOL))
     d = pooled(scored(questions, memories), [F.desc("score"), F.asc("seq")]).select(*group, "memory_id", F.col("score").alias("d"))
-    words = bm25(questions, memories.select("history_name", "memory_id", "seq", "text"))
-    t = pooled(words, [F.desc("bm25"), F.asc("seq")]).select(*group, "memory_id", F.col("bm25").alias("t"))
+    words = postings.bm25_top(questions, memories.select("history_name", "memory_id", "seq", "text"), None if pool_mult is None else max(k * pool_mult, LEAST_POOL), nulls=False).drop("rank")
+    t = words.select(*group, "memory_id", F.col("bm25").alias("t"))
     flags = memories.select("history_name", "memory_id", (F.lit(True) if visible is None else visible).alias("_v"))
     both = d.join(t, [*group, "memory_id"], "full_outer").join(flags, ["history_name", "memory_id"]).where("_v")
     best = W.partitionBy(*group)

@@ -184,6 +184,14 @@ def test_an_index_has_a_row_for_each_block(spark):
     assert postings.index(m, 8, nulls=False).where("history_name = 'c'").first()["sized"] == 0
 
 
+def test_hybrid_joins_no_terms(spark):
+    m = spark.createDataFrame([("h", i, i, f"w{i} same", [1.0, float(i)]) for i in range(9)] + [("h", 9, 9, None, [1.0, 0.5])], "history_name string, memory_id long, seq long, text string, embedding array<double>")
+    q = m.select("history_name", F.col("memory_id").alias("query_id"), F.col("text").alias("query_text"), F.col("embedding").alias("query"))
+    got = retrieval.hybrid(q, m, 3, 0.0, 1.0)
+    assert "explode" not in got._jdf.queryExecution().toString()
+    assert {r["query_id"]: r["memory_id"] for r in got.where("rank = 1").collect()} == {i: i if i < 9 else 9 for i in range(10)}
+
+
 def test_context(spark):
     hits = spark.createDataFrame([("h", 1, 1, "one", "2023/05/20 (Sat) 05:03", 1), ("h", 1, 2, "two", "", 1), ("h", 1, 3, "three", "2023/05/20 (Sat) 05:03", 2)], "history_name string, query_id long, rank int, text string, time string, fused_member_count int")
     asked = spark.createDataFrame([("h", 1), ("h", 2)], "history_name string, query_id long")
