@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import admission, folds, memory, neighbours, trees
+from ..operators import admission, folds, memory, neighbours, operations, trees
 from .derived import MEMORIES, PRIMARY_SQL, VISIBLE_SQL, memories, table
 
 
@@ -156,13 +156,13 @@ def near_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mem0_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.folded(_facts(spark, sf_dir).select("history_name", "seq", "text", "time"), folds.operate, folds.OPERATE)
+    return operations.log(_facts(spark, sf_dir).select("history_name", "seq", "text", "time"))
 
 
 def mem0_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the operations leave of each history."""
-    left = folds.folded(_facts(spark, sf_dir).select("history_name", "seq", "text", "time"), folds.operated, folds.OPERATED)
-    return left.select("history_name", "memory_id", "seq", F.md5("text").alias("text_md5"), "time", "source")
+    left = operations.left(_facts(spark, sf_dir).select("history_name", "seq", "text", "time"), F.md5("text"))
+    return left.select("history_name", "memory_id", "seq", F.col("text").alias("text_md5"), "time", "source")
 
 
 def relation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
