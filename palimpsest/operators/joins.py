@@ -44,12 +44,16 @@ def matched_by_date(chunks: DataFrame, extra: DataFrame, key: str) -> DataFrame:
     ``chunks``: key, chunk_index, date. ``extra``: key, date, fact. New chunks
     are numbered by date.
     """
-    first = chunks.groupBy(key, "date").agg(F.min("chunk_index").alias("chunk_index"))
-    top = chunks.groupBy(key).agg(F.max("chunk_index").alias("_top"))
-    both = extra.join(first, [key, "date"], "left").join(top, key, "left")
+    dates = extra.select(key, "date").distinct()
+    met = chunks.join(dates.select(key).distinct(), key, "left_semi")
+    first = met.groupBy(key, "date").agg(F.min("chunk_index").alias("chunk_index"))
+    top = met.groupBy(key).agg(F.max("chunk_index").alias("_top"))
+    both = dates.join(first, [key, "date"], "left").join(top, key, "left")
+    # Only the different dates are numbered, so no task sorts the facts of a key.
     new = F.dense_rank().over(W.partitionBy(key, F.col("chunk_index").isNull()).orderBy("date"))
     index = F.coalesce(F.col("chunk_index"), F.coalesce("_top", F.lit(-1)) + new)
-    return both.withColumn("is_new", F.col("chunk_index").isNull()).withColumn("chunk_index", index).drop("_top")
+    placed = both.select(F.col(key).alias("_key"), F.col("date").alias("_date"), index.alias("chunk_index"), F.col("chunk_index").isNull().alias("is_new"))
+    return extra.join(placed, F.col(key).eqNullSafe(F.col("_key")) & F.col("date").eqNullSafe(F.col("_date"))).drop("_key", "_date")
 
 
 def older_pairs(facts: DataFrame, key: str, pos: str, date: str, text: str) -> DataFrame:
