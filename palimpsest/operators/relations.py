@@ -24,8 +24,8 @@ def labelled(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return rows.withColumn("label", label).drop(z)
 
 
-def plans(labelled: DataFrame, key: list[str]) -> DataFrame:
-    """One plan for each new fact from its labelled candidates (old_id, old, rank, label).
+def plans(labelled: DataFrame, key: list[str], length: Column | None = None) -> DataFrame:
+    """One plan for each new fact from its labelled candidates (old_id, old, rank, label); ``length`` may stand for that of the old text.
 
     The strongest label present decides: CON, OSN, NSO, EQV, else the fact is
     fresh. CON and OSN take all olds with that label, in rank order; NSO the one
@@ -34,7 +34,7 @@ def plans(labelled: DataFrame, key: list[str]) -> DataFrame:
     here = lambda x: F.filter(F.sort_array(F.collect_list(F.when(F.col("label") == x, F.struct("rank", "old_id")))), lambda s: s.isNotNull())
     got = labelled.groupBy(*key).agg(
         here("CON").alias("con"), here("OSN").alias("osn"), here("EQV").alias("eqv"),
-        F.max_by(F.when(F.col("label") == "NSO", F.col("old_id")), F.when(F.col("label") == "NSO", F.struct(F.length(F.trim("old")), -F.col("rank")))).alias("parent"),
+        F.max_by(F.when(F.col("label") == "NSO", F.col("old_id")), F.when(F.col("label") == "NSO", F.struct(F.length(F.trim("old")) if length is None else length, -F.col("rank")))).alias("parent"),
     )
     some = lambda c: F.size(c) > 0
     outcome = F.when(some("con"), "conflict_update").when(some("osn"), "stronger_primary").when(F.col("parent").isNotNull(), "weaker_evidence").when(some("eqv"), "equivalent_evidence").otherwise("fresh")

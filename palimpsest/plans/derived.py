@@ -86,10 +86,12 @@ def fact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.array_join(
         F.when(i == 0, F.col("w")).when(i == 1, F.slice("w", 1, half)).when(i == 2, F.concat(F.col("w"), F.array(F.lit("moreover"), F.lit("indeed"))))
         .when(i == 3, F.concat(F.slice("w", F.lit(1), F.size("w") - quarter), F.array(F.lit("instead")))).otherwise(other), " ")
-    facts = d.withColumn("w", words).where(F.size("w") > 0).select(F.col("doc_id").alias("new_id"), new.alias("new"))
-    olds = d.select(F.col("doc_id").alias("old_id"), F.trim("text").alias("old"))
-    near = facts.withColumn("rank", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("old_id", F.col("new_id") - F.col("rank") + 1).where("floor(old_id / 50) = floor(new_id / 50)")
-    return near.join(olds, "old_id").select("new_id", "old_id", "rank", "old", "new")
+    # Texts are dealt by blocks, once; what is made of pairs afterwards stays where they are.
+    d = d.withColumn("block", F.floor(F.col("doc_id") / 50)).repartition("block")
+    facts = d.withColumn("w", words).where(F.size("w") > 0).select("block", F.col("doc_id").alias("new_id"), new.alias("new"))
+    olds = d.select("block", F.col("doc_id").alias("old_id"), F.trim("text").alias("old"))
+    rank = F.col("new_id") - F.col("old_id") + 1
+    return facts.hint("merge").join(olds, "block").where(rank.between(1, 3)).select("block", "new_id", "old_id", rank.cast("int").alias("rank"), "old", "new")
 
 
 PAIRS = r"""
