@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import strings, vectors
+from ..session import ship
 
 #: Prior of each fact type; an unknown type counts 0.5.
 TYPE_PRIORS = {
@@ -66,11 +72,12 @@ def parse_weights(given: str | None) -> tuple[float, ...]:
 
 def type_of(text: Column) -> Column:
     """The type of a fact: by pattern, else by most keywords (of equal counts the first type), else unknown."""
-    low = F.lower(text)
     by_pattern = F.coalesce(*[F.when(F.regexp_like(text, F.lit("(?i)" + p)), F.lit(t)) for t, p in TYPE_PATTERNS])
-    held = lambda keys: F.size(F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(low, k)))
-    best = F.array_max(F.array(*[F.struct(held(keys).alias("n"), F.lit(-i).alias("place"), F.lit(t).alias("kind")) for i, (t, keys) in enumerate(TYPE_KEYWORDS.items())]))
-    by_keyword = F.when(best["n"] > 0, best["kind"])
+    held = lambda low, keys: sum((F.contains(low, F.lit(k)).cast("int") for k in keys), F.lit(0))
+    best = lambda low: F.array_max(F.array(*[F.struct(held(low, keys).alias("n"), F.lit(-i).alias("place"), F.lit(t).alias("kind")) for i, (t, keys) in enumerate(TYPE_KEYWORDS.items())]))
+    # Each step over an array of one value, so that the lower-cased text and the counts are made once.
+    counts = F.transform(F.array(F.lower(text)), best)
+    by_keyword = F.get(F.transform(counts, lambda b: F.when(b["n"] > 0, b["kind"])), F.lit(0))
     return F.coalesce(by_pattern, by_keyword, F.lit("unknown"))
 
 
@@ -100,10 +107,37 @@ def score(u: Column, c: Column, n: Column, r: Column, t: Column, weights: tuple[
     return weights[0] * u + weights[1] * c + weights[2] * n + weights[3] * r + weights[4] * t
 
 
-def novelty_setwise(facts: DataFrame) -> DataFrame:
-    """``history_name, seq, novelty``: 1 less the best cosine to the 64 rows before, by place; 1 for the first."""
-    order = W.partitionBy("history_name").orderBy("seq")
-    v = facts.select("history_name", "seq", vectors.normalized(F.col("embedding")).alias("v"))
-    near = v.withColumn("tail", F.collect_list("v").over(order.rowsBetween(-TAIL, -1)))
-    best = F.array_max(F.transform("tail", lambda w: vectors.dot(F.col("v"), w)))
-    return near.select("history_name", "seq", F.coalesce(vectors.clamp(1 - best), F.lit(1.0)).alias("novelty"))
+def _novelties(rows: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by history and seq, batch by batch; the last ``TAIL`` vectors go on to the next batch."""
+    names, tail = np.empty(0, object), np.empty((0, 0))
+    for batch in rows:
+        own, lists = batch.column("history_name").to_numpy(zero_copy_only=False), batch.column("v")
+        v = np.zeros((len(own), max(int(pc.max(pc.list_value_length(lists)).as_py() or 0), tail.shape[1])))
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+        row = np.repeat(np.arange(len(own)), sizes)
+        v[row, np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]] = np.asarray(pc.cast(lists.flatten(), pa.float64()))
+        v[np.asarray(lists.is_null())] = np.nan
+        held = np.concatenate([np.pad(tail, ((0, 0), (0, v.shape[1] - tail.shape[1]))), v])
+        code = pd.factorize(np.concatenate([names, own]), use_na_sentinel=False)[0]
+        old, best = len(tail), np.full(len(own), -np.inf)
+        for back in range(1, min(TAIL, len(held) - 1) + 1):
+            at = np.arange(max(old, back), len(held))
+            at = at[code[at] == code[at - back]]
+            if not len(at):  # rows of a history are together
+                break
+            best[at - old] = np.fmax(best[at - old], np.einsum("ij,ij->i", held[at], held[at - back]))
+        novelty = np.where(np.isinf(best), 1.0, np.clip(1 - best, 0.0, 1.0))
+        names, tail = np.concatenate([names, own])[-TAIL:], held[-TAIL:]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in schema.names[:-1]), pa.array(novelty)], schema=schema)
+
+
+def novelty_setwise(facts: DataFrame, *others: str) -> DataFrame:
+    """``history_name, seq, novelty`` and ``others`` of the facts: 1 less the best cosine to the 64 rows before, by place; 1 for the first.
+
+    A task goes over sorted rows and holds a batch and the 64 vectors before it.
+    """
+    ship(facts.sparkSession)
+    v = facts.select("history_name", "seq", *others, vectors.normalized(F.col("embedding")).alias("v"))
+    kept = v.drop("v").withColumn("novelty", F.lit(0.0)).schema
+    arrow = to_arrow_schema(kept)
+    return v.repartition("history_name").sortWithinPartitions("history_name", "seq").mapInArrow(lambda rows: _novelties(rows, arrow), kept).select("history_name", "seq", "novelty", *others)

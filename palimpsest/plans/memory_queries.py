@@ -110,8 +110,8 @@ def amac_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def amac_admit_setwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir)
-    n = admission.novelty_setwise(m).join(m.select("history_name", "seq", "text"), ["history_name", "seq"])
-    s = admission.score(F.lit(admission.NO_UTILITY), F.lit(0.0), F.col("novelty"), F.lit(1.0), admission.type_prior(F.col("text")))
+    n = admission.novelty_setwise(m.withColumn("prior", admission.type_prior(F.col("text"))), "prior")
+    s = admission.score(F.lit(admission.NO_UTILITY), F.lit(0.0), F.col("novelty"), F.lit(1.0), F.col("prior"))
     return n.select("history_name", "seq", F.round("novelty", 6).alias("novelty"), F.round(s, 6).alias("score"), (F.round(s, 9) >= admission.THRESHOLD).alias("admitted"))
 
 
